@@ -15,5 +15,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op6_token_counts": op6_token_counts}
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .wavelet import token_shards
+
+    return token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op6_token_counts": op6_token_counts, "op9_token_shards": op9_token_shards}
 ORACLE_SQL: dict[str, str] = {}
