@@ -21,6 +21,12 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ctw import scores
+
+    return scores(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity_scores
 
@@ -41,5 +47,5 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op3_order_minhash": op3_order_minhash, "op5_toxicity": op5_toxicity, "op6_token_counts": op6_token_counts, "op8_quality": op8_quality, "op9_token_shards": op9_token_shards}
+QUERIES = {"op3_order_minhash": op3_order_minhash, "op4_context_tree": op4_context_tree, "op5_toxicity": op5_toxicity, "op6_token_counts": op6_token_counts, "op8_quality": op8_quality, "op9_token_shards": op9_token_shards}
 ORACLE_SQL: dict[str, str] = {}
