@@ -15,6 +15,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .order_minhash import fingerprints
 
@@ -47,5 +53,5 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op3_order_minhash": op3_order_minhash, "op4_context_tree": op4_context_tree, "op5_toxicity": op5_toxicity, "op6_token_counts": op6_token_counts, "op8_quality": op8_quality, "op9_token_shards": op9_token_shards}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op3_order_minhash": op3_order_minhash, "op4_context_tree": op4_context_tree, "op5_toxicity": op5_toxicity, "op6_token_counts": op6_token_counts, "op8_quality": op8_quality, "op9_token_shards": op9_token_shards}
 ORACLE_SQL: dict[str, str] = {}

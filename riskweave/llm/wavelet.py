@@ -22,9 +22,11 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from riskweave.session import scratch, ship
 
 from .common import id_bounds, range_of
-from .token_count import encode_all, load, specials
+from .token_count import encode_all, load
 
 MAGIC, BLOCK = b"RWWM1", 4096
 #: Tokens after which a task closes a file; a document is never cut.
@@ -183,55 +185,92 @@ class Shard:
 # ------------------------------------------------------------------ tokens
 
 
+class _Numbers(dict):
+    """Numbers keys as they are first met and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+
+class _Pool:
+    """Id sequences by number, gathered many at a time."""
+
+    def __init__(self, kind: type):
+        self.ids, self.start, self.size = np.empty(1 << 16, kind), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
+        self.used = self.n = 0
+
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, self.ids])
+        while self.n + len(size) > len(self.size):
+            self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
+        at = slice(self.n, self.n + len(size))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.size[at] = size
+        self.start[at] = self.used + np.cumsum(size) - size
+        self.used += len(flat)
+        self.n += len(size)
+
+    def take(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences ``k`` one after the other, and where each ends."""
+        size = self.size[k]
+        end = np.cumsum(size, dtype=np.int64)
+        at = np.arange(end[-1] if len(end) else 0, dtype=np.int64)
+        return self.ids[at + np.repeat(self.start[k] - end + size, size)], end
+
+
 class Words:
-    """Encodes texts with the library, each distinct word once in a while.
+    """Encodes texts with the library, each distinct piece of a word once in a while.
 
     The tokenizer lower-cases character by character, composes within words, and drops white space, so
-    its ids of a text are those of its words in turn. Texts with a special token's string or an odd
-    separator go to the library whole. ``remember`` bounds the words kept.
+    its ids of a text are those of its words in turn. A new word of Latin letters, without an apostrophe,
+    is lower-cased and cut where letters meet other characters, which the tokenizer also does; its pieces,
+    and all other words, go to the library when they are new. Texts with a special token's string or an
+    odd separator go there whole. ``remember`` bounds the words and the
+    pieces kept; when words are forgotten, their pieces are not.
     """
 
-    def __init__(self, path: str, remember: int = 700_000):
-        self.tok, self.limit, self.memo = load(path), remember, {}
-        self.odd = specials(self.tok)
-        self.pool = np.empty(1 << 16, np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32)
-        self.start, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
-        self.used = 0
-
-    def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            ids = encode_all(self.tok, part)
-            flat = np.fromiter((i for x in ids for i in x), self.pool.dtype)
-            n = len(self.memo)
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, self.pool])
-            while n + len(part) > len(self.start):
-                self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.size[n : n + len(part)] = size
-            self.start[n : n + len(part)] = self.used + np.cumsum(size) - size
-            self.used += len(flat)
-            self.memo.update(zip(part, range(n, n + len(part)), strict=True))
+    PLAIN = re.compile("[^\x00-\u017f]|'")
+    PIECE = re.compile("[a-zªµºß-öø-\u017f]+|[^\\sa-zªµºß-öø-\u017f]+")
+
+    def __init__(self, path: str, remember: tuple[int, int] = (500_000, 1_500_000)):
+        self.tok, (self.most_words, self.most_pieces) = load(path), remember
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()] + list("\x1c\x1d\x1e\x1f\u180e\ufeff")
+        self.kind = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
+        self.words, self.of_word = _Numbers(), _Pool(self.kind)
+        self.pieces, self.of_piece = _Numbers(), _Pool(self.kind)
+
+    def _learn(self) -> None:
+        new, self.words.new = self.words.new, []
+        cut = [[w] if self.PLAIN.search(w) else self.PIECE.findall(w.lower()) for w in new]
+        k = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(cut)), np.int64)
+        fresh, self.pieces.new = self.pieces.new, []
+        for at in range(0, len(fresh), 20_000):
+            ids = encode_all(self.tok, fresh[at : at + 20_000])
+            self.of_piece.add(np.fromiter(chain.from_iterable(ids), self.kind), np.fromiter(map(len, ids), np.int32, len(ids)))
+        flat, end = self.of_piece.take(k)
+        last = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+        self.of_word.add(flat, np.diff(np.concatenate([[0], end])[np.concatenate([[0], last])]).astype(np.int32))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [None if self.odd.search(s) else s.split() for s in texts]
-        every = set().union(*(c for c in cut if c))
-        if len(self.memo) + len(every) > self.limit:
-            self.memo, self.used = {}, 0
-        self._learn(list(every - self.memo.keys()))
-        out = []
-        for s, c in zip(texts, cut, strict=True):
-            if c is None:
-                out.append(np.array(encode_all(self.tok, [s])[0], self.pool.dtype))
-                continue
-            k = np.fromiter(map(self.memo.__getitem__, c), np.int64, len(c))
-            size = self.size[k]
-            end = np.cumsum(size)
-            at = np.arange(end[-1] if len(end) else 0, dtype=np.int64)
-            out.append(self.pool[at + np.repeat(self.start[k] - end + size, size)])
-        return out
+        if len(self.words) > self.most_words:
+            self.words, self.of_word = _Numbers(), _Pool(self.kind)
+        if len(self.pieces) > self.most_pieces:
+            self.pieces, self.of_piece = _Numbers(), _Pool(self.kind)
+        whole = [any(x in s for x in self.special) for s in texts]
+        cut = [[] if w else s.split() for s, w in zip(texts, whole, strict=True)]
+        k = np.fromiter(map(self.words.__getitem__, chain.from_iterable(cut)), np.int64)
+        self._learn()
+        flat, end = self.of_word.take(k)
+        last = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+        parts = np.split(flat, np.concatenate([[0], end])[last][:-1]) if texts else []
+        return [np.array(encode_all(self.tok, [s])[0], self.kind) if w else p for s, w, p in zip(texts, whole, parts, strict=True)]
 
 
 _WORDS: dict[str, Words] = {}

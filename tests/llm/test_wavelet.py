@@ -19,7 +19,7 @@ def test_words_equal_library(text):
     assert W.encode([text])[0].tolist() == TOK.encode(text, add_special_tokens=False).ids
 
 
-W = Words(PATH, remember=50)
+W = Words(PATH, remember=(50, 60))
 
 
 @settings(max_examples=60, deadline=None)
