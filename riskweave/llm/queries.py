@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
 from .common import table
 
 
@@ -53,5 +54,11 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op3_order_minhash": op3_order_minhash, "op4_context_tree": op4_context_tree, "op5_toxicity": op5_toxicity, "op6_token_counts": op6_token_counts, "op8_quality": op8_quality, "op9_token_shards": op9_token_shards}
-ORACLE_SQL: dict[str, str] = {}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import plan
+
+    return plan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op3_order_minhash": op3_order_minhash, "op4_context_tree": op4_context_tree, "op5_toxicity": op5_toxicity, "op6_token_counts": op6_token_counts, "op8_quality": op8_quality, "op9_token_shards": op9_token_shards, "op10_mixing": op10_mixing}
+ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.ORACLE}
