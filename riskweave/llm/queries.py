@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import licenses, mixing
 from .common import table
 
 
@@ -22,6 +22,12 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .order_minhash import fingerprints
 
@@ -40,6 +46,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_scores
 
@@ -60,5 +70,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op3_order_minhash": op3_order_minhash, "op4_context_tree": op4_context_tree, "op5_toxicity": op5_toxicity, "op6_token_counts": op6_token_counts, "op8_quality": op8_quality, "op9_token_shards": op9_token_shards, "op10_mixing": op10_mixing}
-ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.ORACLE}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_decontaminate": op2_decontaminate, "op3_order_minhash": op3_order_minhash, "op4_context_tree": op4_context_tree, "op5_toxicity": op5_toxicity, "op6_token_counts": op6_token_counts, "op7_licenses": op7_licenses, "op8_quality": op8_quality, "op9_token_shards": op9_token_shards, "op10_mixing": op10_mixing}
+ORACLE_SQL: dict[str, str] = {"op7_licenses": licenses.oracle(), "op10_mixing": mixing.ORACLE}
