@@ -153,14 +153,14 @@ def oracle() -> str:
     """The same rows in DuckDB: shares of each template's shingles by window, without signatures."""
     rows = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in NOTICES)
     cut = "list_filter(string_split(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
-    gram = f"array_to_string(w[p:p+{SHINGLE - 1}], ' ')"
+    grams = f"unnest(list_transform(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1), lambda p: {{'p': p, 'g': array_to_string(w[p:p+{SHINGLE - 1}], ' ')}})) AS s"
     return f"""
 WITH t0 AS (SELECT license, {cut.format("text")} AS w, row_number() OVER () AS id FROM (VALUES {rows}) v(license, text)),
 t1 AS (SELECT *, greatest({LEAST}, (2 ** ceil(log2(len(w))))::INT) AS c FROM t0),
-t AS (SELECT DISTINCT id, license, c, {gram} AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) AS p FROM t1)),
+t AS (SELECT DISTINCT id, license, c, s.g AS g FROM (SELECT id, license, c, {grams} FROM t1)),
 n AS (SELECT id, count(*) AS n FROM t GROUP BY id),
 d0 AS (SELECT rowid AS r, doc_id, {cut.format("text")} AS w FROM (SELECT row_number() OVER () AS rowid, * FROM documents)),
-d AS (SELECT r, len(w) AS size, p, {gram} AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) AS p FROM d0 WHERE len(w) > 0)),
+d AS (SELECT r, size, s.p AS p, s.g AS g FROM (SELECT r, len(w) AS size, {grams} FROM d0 WHERE len(w) > 0)),
 m AS (SELECT r, size, p, t.* FROM d JOIN t USING (g)),
 x AS (SELECT *, unnest([(p - 1) // c, (p - 1) // c - 1]) AS k FROM m),
 y AS (SELECT r, id, license, k, count(DISTINCT g) AS hit FROM x

@@ -7,7 +7,8 @@ ROWS bins make a band; documents that agree on a band share a bucket. At a simil
 26 bands miss a pair with a probability of (1 - 0.8**4)**26, about one in a million.
 
 Equal sets are one node. A bucket's nodes are compared with one centre, a star: as many pairs as nodes.
-Pairs whose sizes allow the similarity are confirmed on their full sets, and components formed. Where a
+The centre is the node that
+meets most others in all its buckets, as the original of many copies does. Pairs whose sizes allow the similarity are confirmed on their full sets, and components formed. Where a
 bucket still holds several components, what the star left open follows: buckets of up to ``SMALL`` nodes
 compare the pairs across components, larger ones take four times as many centres in each round and the rest
 as members, until no bucket has an open pair. So no link within a bucket is lost, and a row emits a bounded
@@ -138,7 +139,8 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, n_bands: int
     schema = "band long, node long, n long"
     shared = every.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
     buckets = saved(every.join(shared, "band", "left_semi").select("band", "node", "n"), schema, "buckets")
-    found, labels, centres = None, None, 1
+    found = labels = tried = None
+    centres = 1
     while True:
         if labels is not None:
             b = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -146,22 +148,28 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, n_bands: int
             b = b.join(open_, "band", "left_semi")
         else:
             b = buckets.withColumn("label", F.col("node"))
-        b = saved(b.select("band", "node", "n", "label"), schema + ", label long", "open")
         size = b.groupBy("band").agg(F.count("*").alias("members"))
-        if not size.take(1):
+        # a node's company: the members of all its buckets; the original of many copies has most of it
+        company = b.join(size, "band").groupBy("node").agg(F.sum("members").alias("company"))
+        b = saved(b.join(size, "band").join(company, "node").select("band", "node", "n", "label", "members", "company"), schema + ", label long, members long, company long", "open")
+        if not b.take(1):
             break
-        # centres: the least nodes by a hash that changes each round; min_by keeps one for each of ``centres`` slots
+        # centres: of each of ``centres`` slots of a bucket's nodes, the one with most company
         slot = F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(centres))
-        whole = b.join(size.where(F.col("members") <= small), "band", "left_semi") if labels is not None else None
-        stars = b.join(size.where(F.col("members") > small), "band", "left_semi") if labels is not None else b
-        heads = stars.groupBy("band", slot.alias("slot")).agg(F.min("node").alias("head")).select("band", "head")
+        whole = b.where(F.col("members") <= small) if labels is not None else None
+        stars = b.where(F.col("members") > small) if labels is not None else b
+        heads = stars.groupBy("band", slot.alias("slot")).agg(F.max_by("node", "company").alias("head")).select("band", "head")
         heads = saved(heads.join(stars.select("band", F.col("node").alias("head"), F.col("n").alias("hn"), F.col("label").alias("hl")), ["band", "head"]), "band long, head long, hn long, hl long", "heads")
         fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  sizes alone allow the similarity
         pairs = stars.join(heads, "band").where((F.col("label") != F.col("hl")) & fits(F.col("n"), F.col("hn"))).select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v"))
         if whole is not None:
             other = whole.select("band", F.col("node").alias("head"), F.col("n").alias("hn"), F.col("label").alias("hl"))
             pairs = pairs.unionByName(whole.join(other, "band").where((F.col("node") < F.col("head")) & (F.col("label") != F.col("hl")) & fits(F.col("n"), F.col("hn"))).select(F.col("node").alias("u"), F.col("head").alias("v")))
-        pairs = saved(pairs.distinct(), "u long, v long", "pairs")
+        pairs = pairs.distinct()
+        if tried is not None:  # two nodes may meet in several buckets, in different rounds
+            pairs = pairs.join(tried, ["u", "v"], "left_anti")
+        pairs = saved(pairs, "u long, v long", "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
         if pairs.take(1):
             good = _confirmed(docs, nodes, pairs, n, percent)
             found = saved(good if labels is None else good.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))), "u long, v long", "links")

@@ -25,7 +25,7 @@ def test_whole_and_partial_notices(spark):
             rows.append((100 * i + k, f"{filler(r.randrange(300))} {t.upper() if k % 2 else t} {filler(r.randrange(60))}"))
         w = t.split()
         rows.append((100 * i + 50, " ".join([filler(9), *w[: len(w) * 6 // 10], filler(9)])))
-    odd = [(9001, None), (9002, ""), (None, lc.NOTICES[0][1]), (9003, "license"), (9003, "license"), (9004, "word " * 100_000 + lc.NOTICES[2][1])]
+    odd = [(9001, None), (9002, ""), (None, lc.NOTICES[0][1]), (9003, "license"), (9003, "license"), (9004, "word " * 20_000 + lc.NOTICES[2][1])]
     docs = spark.createDataFrame([(*x, "old", 1) for x in rows + odd], "doc_id long, text string, license string, coverage int")
     got = sorted((tuple(r) for r in lc.scan(docs).select("doc_id", "n_licenses", "licenses", "coverage").collect()), key=str)
     con = duckdb.connect()
