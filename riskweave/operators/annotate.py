@@ -248,7 +248,7 @@ def findings(records: DataFrame, families: Iterable[str] | None = None) -> DataF
     rows = rows.join(rules, F.col("h.rule") == F.col("rule"))
     raised = F.col("h.up")
     return rows.select(
-        "record_id", "platform", F.lit("static").alias("detector"), "family", "rule", (F.col("place") * 1_000_000_000 + F.col("h.n")).cast("long").alias("seq"), "taxonomy_id", "pattern_id",
+        "record_id", "platform", F.lit("static").alias("detector"), "family", "rule", (F.col("place").cast("long") * 1_000_000_000 + F.col("h.n")).alias("seq"), "taxonomy_id", "pattern_id",
         F.when(raised, F.col("raised_to")).otherwise(F.col("confidence")).alias("confidence"), "message", (F.col("review") & ~(raised & F.col("settled"))).alias("needs_review"),
         F.col("h.at.message_index").alias("message_index"), F.col("h.at.role").alias("role"), F.col("h.pos").alias("char_start"), (F.col("h.pos") + F.length("h.m")).alias("char_end"), F.substring("h.m", 1, 200).alias("matched_text"), F.col("h.snippet").alias("snippet"), F.col("h.evidence").alias("evidence"),
     )

@@ -139,7 +139,7 @@ def judged_findings(judged_: DataFrame, records: DataFrame) -> tuple[DataFrame,
     most 0.98. A category with a failed chunk has no finding. Evidence is placed in the one message that holds it.
     """
     g = judged_.groupBy("record_id", "platform", "taxonomy_id").agg(
-        F.count_if("error is not null").alias("failed"), F.count("*").alias("n_chunks"), F.count_if("v.hit").alias("n_hits"),
+        F.count_if(F.col("error").isNotNull()).alias("failed"), F.count("*").alias("n_chunks"), F.count_if(F.col("v.hit")).alias("n_hits"),
         F.max_by("v", F.when(F.col("v.hit"), F.struct("v.confidence", -F.col("index")))).alias("best"),
     )
     status = g.select("record_id", "taxonomy_id", F.when(F.col("failed") == 0, "ok").when(F.col("failed") == F.col("n_chunks"), "failed").otherwise("partial").alias("status"))
