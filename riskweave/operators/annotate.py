@@ -58,9 +58,15 @@ EVIDENCE = {
 }
 
 
+def possible(rule: str) -> str:
+    """Whether a text can match a rule at all, from the columns low and han."""
+    needs = R.NEEDS.get(rule)
+    return " or ".join("han" if x == R.HAN else f"contains(low, '{x}')" for x in needs) if needs else "true"
+
+
 def rule_hits(rule: R.Rule) -> Column:
-    """Array of a text rule's hits in the columns text, links, marks."""
-    hits = rx.matches_sql("text", pattern_of(rule))
+    """Array of a text rule's hits in the columns text, low, han, links, marks."""
+    hits = f"if({possible(rule.id)}, {rx.matches_sql('text', pattern_of(rule))}, cast(array() as {rx.MATCHES}))"
     early = rule.only in ("base64", "hex")  # these decode their first matches, the others keep their first findings
     if rule.cap and early:
         hits = f"slice({hits}, 1, {rule.cap})"
@@ -228,8 +234,9 @@ def annotate(records: DataFrame, families: Iterable[str] | None = None) -> DataF
     """
     wanted = set(R.FAMILIES if families is None else families)
     text = F.col("text")
-    marks = [rx.java(r.regex, r.flags) for r in R.SYSTEM_PROMPT if r.pattern == "SPL-1"]
-    rows = with_context(records).withColumn("marks", F.expr(" + ".join(f"regexp_count(text, {rx.quoted(p)})" for p in marks)))
+    marks = [f"if({possible(r.id)}, regexp_count(text, {rx.quoted(rx.java(r.regex, r.flags))}), 0)" for r in R.SYSTEM_PROMPT if r.pattern == "SPL-1"]
+    low = F.translate(F.lower("text"), "\u017f\u0131", "si")  # the letters that case folding brings to s and i
+    rows = with_context(records).withColumns({"low": low, "han": text.rlike("[\\x{2E80}-\\x{9FFF}]")}).withColumn("marks", F.expr(" + ".join(marks)))
     parts = [rule_hits(r) for r in R.RULES if r.family in wanted]
     for f, make in BY_FAMILY.items():
         if f in wanted or f == "link_analysis" and "stego_imagery" in wanted:
@@ -243,7 +250,8 @@ def annotate(records: DataFrame, families: Iterable[str] | None = None) -> DataF
 
 def findings(records: DataFrame, families: Iterable[str] | None = None) -> DataFrame:
     """One row for each finding before merging: a record's hits with their rules, which are a small broadcast table."""
-    rows = annotate(records, families).select("record_id", "platform", F.explode("hits").alias("h"))
+    # an outer explode: for the plain one, Catalyst infers filters that evaluate all rules twice more
+    rows = annotate(records, families).select("record_id", "platform", F.explode_outer("hits").alias("h")).where("h is not null")
     rules = F.broadcast(catalogue(records.sparkSession))
     rows = rows.join(rules, F.col("h.rule") == F.col("rule"))
     raised = F.col("h.up")

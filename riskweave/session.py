@@ -13,8 +13,17 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each application, so that Python workers can import it."""
+    """Send this package to the executors once for each application, so that Python workers can import it.
+
+    Texts are long rows: unless the session says otherwise, Arrow batches have 1,000 of them, not 10,000, so
+    that a batch takes a few megabytes on either side.
+    """
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, "1000")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
