@@ -27,7 +27,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """Word (bytes) to 64-bit hash, remembered; forgets all beyond ``limit`` words, so memory is bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
@@ -38,6 +38,20 @@ class WordHash(dict):
         return h
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(operator: str, name: str, make):
+    """What an operator keeps in a Python worker between tasks: made once, and dropped when another operator runs there."""
+    if operator not in _KEPT:
+        _KEPT.clear()
+        _KEPT[operator] = {}
+    own = _KEPT[operator]
+    if name not in own:
+        own[name] = make()
+    return own[name]
+
+
 def words(text: str | None) -> list[bytes]:
     """Lower-cases A-Z and takes the words ``[^\\x20\\x09-\\x0D]+`` as UTF-8; a null text has none."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from riskweave.session import ship
 
-from .common import mix64
+from .common import kept, mix64
 from .graph import saved
 
 WINDOW, PERCENT, BITS = 5, 80, 1 << 24
@@ -65,20 +66,34 @@ def parse(word: str) -> tuple[list[tuple[int, int, str]], bool]:
     return [(NAME if core[0].isupper() and not core.isupper() else LITERAL, _hash(low), low)], ends
 
 
+class _Words(dict):
+    """Word to its number, parsed when first met."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.learn(word)
+        return n
+
+
 class Templates:
     """Turns texts into template tokens; remembers words, up to a bound."""
 
-    def __init__(self, remember: int = 400_000):
+    def __init__(self, remember: int = 250_000):
         self.limit = remember
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.kind, self.hash, self.value, self.first, self.size, self.ends = [], [], [], [], [], []
+        self.number = _Words(self._learn)
+        # of tokens: kind, hash, value; of words: first token, number of tokens, whether a sentence may end
+        self.kind, self.hash, self.value = array("b"), array("Q"), []
+        self.first, self.size, self.ends = array("q"), array("q"), array("b")
 
-    def _learn(self, w: str) -> int:
+    def _learn(self, w: str) -> None:
         tokens, ends = parse(w)
-        n = self.number[w] = len(self.first)
         self.first.append(len(self.kind))
         self.size.append(len(tokens))
         self.ends.append(ends)
@@ -86,27 +101,26 @@ class Templates:
             self.kind.append(k)
             self.hash.append(h)
             self.value.append(v)
-        return n
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """Of all texts' tokens: kind, literal hash, index of the value, and the text's number."""
         if len(self.number) > self.limit:
             self._clear()
         cut = [t.replace("\n", ".\n").split() for t in texts]  # a sentence may end with a line
-        for w in set(chain.from_iterable(cut)) - self.number.keys():
-            self._learn(w)
         k = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64)
         owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, cut), np.int64, len(cut)))
-        first, size, ends = np.array(self.first, np.int64), np.array(self.size, np.int64), np.array(self.ends, bool)
-        kinds, hashes = np.array(self.kind, np.int8), np.array(self.hash, np.uint64)
         if not len(k):
-            return kinds[:0], hashes[:0], k, owner
+            return np.empty(0, np.int8), np.empty(0, np.uint64), k, owner
+        first, size, ends = (np.frombuffer(x, t) for x, t in ((self.first, np.int64), (self.size, np.int64), (self.ends, bool)))
+        kinds, hashes = np.frombuffer(self.kind, np.int8), np.frombuffer(self.hash, np.uint64)
         opens = np.ones(len(k), bool)
         opens[1:] = ends[k[:-1]] | (owner[1:] != owner[:-1])
         n = size[k]
         stop = np.cumsum(n)
         at = np.arange(stop[-1]) + np.repeat(first[k] - stop + n, n)
-        kind, h, who = kinds[at].copy(), hashes[at], np.repeat(owner, n)
+        if not len(at):
+            return np.empty(0, np.int8), np.empty(0, np.uint64), at, owner[:0]
+        kind, h, who = kinds[at], hashes[at], np.repeat(owner, n)
         kind[(kind == NAME) & np.repeat(opens, n)] = LITERAL
         after = np.zeros(len(kind), bool)
         after[1:] = (kind[:-1] == NUM) & (who[1:] == who[:-1])
@@ -148,13 +162,8 @@ class Templates:
         return [f"{kind[i]}{self.value[at[i]]}" for i in range(p, p + width) if kind[i] != LITERAL]
 
 
-_STATE: list[Templates] = []
-
-
 def _templates() -> Templates:
-    if not _STATE:
-        _STATE.append(Templates())
-    return _STATE[0]
+    return kept("decontaminate", "templates", Templates)
 
 
 HITS = "array<struct<win:long,at:long,slots:array<string>>>"

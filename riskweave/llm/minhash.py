@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from riskweave.session import ship
 
-from .common import WordHash, mix64, shingles, words
+from .common import WordHash, kept, mix64, shingles, words
 from .graph import components, saved
 
 BANDS, ROWS, SMALL = 26, 4, 16
@@ -81,13 +81,9 @@ def node_of(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-_HASHES: list[WordHash] = []
-
-
 def _sets(texts: list[str | None], n: int) -> list[np.ndarray]:
-    if not _HASHES:
-        _HASHES.append(WordHash())
-    return [shingles(words(t), n, _HASHES[0]) for t in texts]
+    hashes = kept("minhash", "words", WordHash)
+    return [shingles(words(t), n, hashes) for t in texts]
 
 
 def signatures(docs: DataFrame, n: int, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 
 from riskweave.session import ship
 
+from .common import kept
+
 CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD = re.compile("[\x1c-\x1f᠎﻿]")
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -61,15 +63,13 @@ def single_tokens(tok) -> set[str]:
     return {s for s, e in zip(fit, encode_all(tok, fit), strict=True) if len(e) == 1}
 
 
-_STATE: dict[str, tuple] = {}
-
-
 def _state(path: str) -> tuple:
-    if path not in _STATE:
+    def make() -> tuple:
         tok = load(path)
         single = single_tokens(tok)
-        _STATE[path] = tok, single, specials(tok), dict.fromkeys(single, 1)
-    return _STATE[path]
+        return tok, single, specials(tok), dict.fromkeys(single, 1)
+
+    return kept("token_count", path, make)
 
 
 def count(strings: list[str], path: str) -> list[int]:

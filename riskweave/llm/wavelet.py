@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from riskweave.session import scratch, ship
 
-from .common import id_bounds, range_of
+from .common import id_bounds, kept, range_of
 from .token_count import encode_all, load
 
 MAGIC, BLOCK = b"RWWM1", 4096
@@ -273,13 +273,8 @@ class Words:
         return [np.array(encode_all(self.tok, [s])[0], self.kind) if w else p for s, w, p in zip(texts, whole, parts, strict=True)]
 
 
-_WORDS: dict[str, Words] = {}
-
-
 def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
-    if path not in _WORDS:
-        _WORDS[path] = Words(path)
-    return _WORDS[path].encode
+    return kept("wavelet", path, lambda: Words(path)).encode
 
 
 # ------------------------------------------------------------------ files
