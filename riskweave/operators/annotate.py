@@ -16,8 +16,9 @@ from .context import located, with_context
 HIT = "struct<rule:string,n:int,pos:int,m:string,up:boolean,evidence:string>"
 NO_HITS = f"cast(array() as array<{HIT}>)"
 MIXED = f"(?<![{rx.WORD}])(?=[{rx.WORD}]*\\p{{IsLatin}})(?=[{rx.WORD}]*[\\p{{IsCyrillic}}\\p{{IsGreek}}])[{rx.WORD}]+"
-#: The repetition is bounded, which changes neither where the first match is nor its first 80 characters.
-SHORT = {"B-6": R.BY_ID["B-6"].regex.replace("{29,}", "{29,60}")}
+#: The repetition is bounded, which changes neither where the first match is nor its first 80 characters; what follows
+#: the word is no word character, so it need not be tried shorter.
+SHORT = {"B-6": R.BY_ID["B-6"].regex.replace("{29,}", "{29,60}").replace("{1,12}", "{1,12}+")}
 
 
 def pattern_of(rule: R.Rule) -> str:
@@ -60,6 +61,8 @@ EVIDENCE = {
 
 def possible(rule: str) -> str:
     """Whether a text can match a rule at all, from the columns low and han."""
+    if rule == "U-4":
+        return "mixed"
     needs = R.NEEDS.get(rule)
     return " or ".join("han" if x == R.HAN else f"contains(low, '{x}')" for x in needs) if needs else "true"
 
@@ -132,8 +135,8 @@ def catalogue(spark: SparkSession) -> DataFrame:
 
 def abuse(text: Column) -> list[Column]:
     """Volume, depth, tables, repeated prefixes, compression, entities and attachments."""
-    lines = F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
-    depth = F.array_max(F.transform(lines, lambda x: F.length(x) - F.length(F.ltrim(x, F.lit(" >\t")))))
+    ends = "\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+    lines = F.split(text, f"\r\n|[{ends}]")
     pipes = lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit("")))
     refs = F.regexp_extract_all(text, F.lit(rx.java(r"&\w+;")), F.lit(0))
     chars, ratio, far = F.col("chars"), F.col("ratio"), F.col("longest_repeat")
@@ -142,7 +145,7 @@ def abuse(text: Column) -> list[Column]:
     packed = _json(ratio=ratio, chars=chars)
     return [
         _one(chars >= R.SIZE_HIGH, "B-1", evidence=_json(chars=chars)), _one((chars >= R.SIZE_WARN) & (chars < R.SIZE_HIGH), "B-2", evidence=_json(chars=chars)),
-        _one(depth >= R.DEPTH_WARN, "B-3"), _one(F.exists(lines, lambda x: pipes(x) >= R.COLUMNS_WARN), "B-4"), _one(far >= 20_000, "B-8", evidence=_json(longest_repeat=far)),
+        _one(text.rlike(f"(?:^|[{ends}])[ >\t]{{{R.DEPTH_WARN}}}"), "B-3"), _one((pipes(text) >= R.COLUMNS_WARN) & F.exists(lines, lambda x: pipes(x) >= R.COLUMNS_WARN), "B-4"), _one(far >= 20_000, "B-8", evidence=_json(longest_repeat=far)),
         _one((chars > 10_000) & (ratio < 0.01), "B-9", evidence=packed), _one((chars > 10_000) & (ratio >= 0.01) & (ratio < 0.05), "B-10", evidence=packed),
         _one(F.contains(text, F.lit("&")) & (F.size(refs) > 2_000) & (F.size(F.array_distinct(refs)) < 10), "B-11"),
         F.transform(archive, lambda a, n: _hit("B-12", n, evidence=F.to_json(a))), F.transform(escape, lambda a, n: _hit("B-15", n, evidence=F.to_json(a))),
@@ -213,7 +216,7 @@ def hidden_rules(text: Column) -> list[Column]:
     """Tag characters, mixed scripts in bulk, and keywords that appear when look-alikes are undone."""
     tags, strange = "[\\x{E0000}-\\x{E007F}]", f"[{R.ZERO_WIDTH}{R.LOOKALIKE}]"
     first = F.get(rx.matches(text, tags), 0)
-    many = F.regexp_count(text, F.lit(MIXED))
+    many = F.when(F.col("mixed"), F.regexp_count(text, F.lit(MIXED))).otherwise(0)
     bare = F.translate(F.regexp_replace(F.translate(text, R.ZERO_WIDTH, ""), tags, ""), R.LOOKALIKE, R.PLAIN)
     window = lambda h: F.substring(text, F.greatest(h["pos"] - 5, F.lit(0)) + 1, h["pos"] + F.length(h["m"]) + 5 - F.greatest(h["pos"] - 5, F.lit(0)))
     exposed = F.filter(rx.matches(bare, rx.java(R.KEYWORDS, "i")), lambda h: window(h).rlike(strange))
@@ -236,7 +239,7 @@ def annotate(records: DataFrame, families: Iterable[str] | None = None) -> DataF
     text = F.col("text")
     marks = [f"if({possible(r.id)}, regexp_count(text, {rx.quoted(rx.java(r.regex, r.flags))}), 0)" for r in R.SYSTEM_PROMPT if r.pattern == "SPL-1"]
     low = F.translate(F.lower("text"), "\u017f\u0131", "si")  # the letters that case folding brings to s and i
-    rows = with_context(records).withColumns({"low": low, "han": text.rlike("[\\x{2E80}-\\x{9FFF}]")}).withColumn("marks", F.expr(" + ".join(marks)))
+    rows = with_context(records).withColumns({"low": low, "han": text.rlike("[\\x{2E80}-\\x{9FFF}]"), "mixed": text.rlike("[\\p{IsCyrillic}\\p{IsGreek}]")}).withColumn("marks", F.expr(" + ".join(marks)))
     parts = [rule_hits(r) for r in R.RULES if r.family in wanted]
     for f, make in BY_FAMILY.items():
         if f in wanted or f == "link_analysis" and "stego_imagery" in wanted:
