@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from riskweave.session import ship
 
-from .common import kept, mix64
+from .common import kept, mix64, tidy
 from .graph import saved
 
 WINDOW, PERCENT, BITS = 5, 80, 1 << 24
@@ -195,7 +195,7 @@ def _windows(rows: DataFrame, key: str, bitmap=None) -> DataFrame:
 
     schema = f"row long, {key} long, text_key long, n_windows long, hits {HITS}"
     rows = rows.select(F.col(key).cast("long").alias(key), "text", F.xxhash64("text").alias("text_key"))
-    return saved(rows.mapInArrow(run, schema), schema, f"windows-{key}")
+    return saved(rows.mapInArrow(tidy("decontaminate", run), schema), schema, f"windows-{key}")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:

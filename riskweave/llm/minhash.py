@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from riskweave.session import ship
 
-from .common import WordHash, kept, mix64, shingles, words
+from .common import WordHash, kept, mix64, shingles, tidy, words
 from .graph import components, saved
 
 BANDS, ROWS, SMALL = 26, 4, 16
@@ -97,7 +97,7 @@ def signatures(docs: DataFrame, n: int, n_bands: int = BANDS, rows: int = ROWS)
                 keys = [bands(signature(s, n_bands * rows), rows).tolist() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_shingles", "node", "bands"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, SIGNATURES)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(tidy("minhash", run), SIGNATURES)
 
 
 def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -113,7 +113,7 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, perc
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "items"])
 
     schema = "node long, items array<long>"
-    items = saved(texts.mapInArrow(run, schema).dropDuplicates(["node"]), schema, "pair-sets")
+    items = saved(texts.mapInArrow(tidy("minhash", run), schema).dropDuplicates(["node"]), schema, "pair-sets")
     both = pairs.join(items.withColumnsRenamed({"node": "u", "items": "a"}), "u").join(items.withColumnsRenamed({"node": "v", "items": "b"}), "v")
     common = F.size(F.array_intersect("a", "b")).cast("long")
     return both.withColumn("common", common).where(F.col("common") * 100 >= percent * (F.size("a") + F.size("b") - F.col("common"))).select("u", "v")

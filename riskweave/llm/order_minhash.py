@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from riskweave.session import ship
 
-from .common import id_bounds, mix64, range_of
+from .common import id_bounds, mix64, range_of, tidy
 
 K, L, M = 8, 2, 64
 RANGE_CHARS = 32 << 20
@@ -146,4 +146,4 @@ def fingerprints(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     tail = F.when(F.col("doc_id").isin(bounds), own - 1) if bounds else F.lit(None).cast("int")
     dealt = docs.select("doc_id", "text", F.explode(F.filter(F.array(F.struct(own.alias("_range"), F.lit(False).alias("_tail")), F.struct(tail.alias("_range"), F.lit(True).alias("_tail")), F.struct(F.when(F.coalesce(first, F.lit(False)), len(bounds)).alias("_range"), F.lit(True).alias("_tail"))), lambda r: r["_range"].isNotNull())).alias("r")).select("doc_id", "text", "r.*")
     dealt = dealt.where("_range >= 0").repartitionById(len(bounds) + 1, "_range").sortWithinPartitions("_range", "_tail", "doc_id", "text")
-    return dealt.mapInArrow(_run, SCHEMA)
+    return dealt.mapInArrow(tidy("order_minhash", _run), SCHEMA)

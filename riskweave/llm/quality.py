@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from riskweave.session import ship
 
+from .common import kept, release, tidy
 from .learn import held_out, labelled_sample, sigmoid
 
 #: Bound of the labelled rows that the model is fitted on.
@@ -154,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Addit
             x = matrix([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    rows = labelled_sample(docs, labels, "quality", fit_rows).mapInArrow(run, "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    rows = labelled_sample(docs, labels, "quality", fit_rows).mapInArrow(tidy("quality", run), "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     return fit(np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES)), rows["y"].to_numpy(float))
 
 
@@ -169,7 +170,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, f
                 score = model.score(matrix([t or "" for t in part.column("text").to_pylist()]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy("quality", run), "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -181,6 +182,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, fit_ro
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(matrix([t or "" for t in texts])))
+        kept("quality", "", list)
+        out = pd.Series(model.score(matrix([t or "" for t in texts])))
+        release()
+        return out
 
     return docs.where(score("text") >= threshold)

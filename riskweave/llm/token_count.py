@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from riskweave.session import ship
 
-from .common import kept
+from .common import kept, tidy
 
 CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD = re.compile("[\x1c-\x1f᠎﻿]")
@@ -100,4 +100,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, rows:
                 size = [len(s.encode()) for s in strings]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tidy("token_count", run), SCHEMA)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from riskweave.session import ship
 
+from .common import tidy
 from .learn import held_out, labelled_sample, logistic, sigmoid
 
 #: Bounds of the labelled rows to learn from, of the lexicon, and of the candidates that the driver sees.
@@ -149,7 +150,7 @@ _TALLY = "key string, tf0 long, tf1 long, df0 long, df1 long"
 
 
 def _sums(sample: DataFrame, kind: str, lexicon: Lexicon | None = None) -> DataFrame:
-    return sample.mapInArrow(_tally(kind, lexicon), _TALLY).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("tf0", "tf1", "df0", "df1")))
+    return sample.mapInArrow(tidy("toxicity", _tally(kind, lexicon)), _TALLY).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("tf0", "tf1", "df0", "df1")))
 
 
 def choose(rows: list, n0: int, n1: int, w0: float, w1: float, size: int) -> dict[str, float]:
@@ -190,7 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Lexic
                 x = [lexicon.hits(t or "", automaton) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *(pa.array([r[k] for r in x], pa.float64()) for k in range(3))], names=["doc_id", "y", "total", "hits", "words"])
 
-        got = sample.mapInArrow(run, "doc_id long, y int, total double, hits double, words double").toPandas().sort_values("doc_id", kind="stable")
+        got = sample.mapInArrow(tidy("toxicity", run), "doc_id long, y int, total double, hits double, words double").toPandas().sort_values("doc_id", kind="stable")
         weights = logistic(signals(got[["total", "hits", "words"]].to_numpy(float)), got["y"].to_numpy(float))
         return Lexicon(lexicon.entries, lexicon.exceptions, tuple(weights.tolist()))
     finally:
@@ -209,5 +210,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
                 x = np.array([lexicon.hits(t or "", automaton) for t in part.column("text").to_pylist()], float).reshape(-1, 3)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lexicon.score(x)), pa.array(x[:, 1].astype(np.int64))], names=["doc_id", "score", "hits"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, hits long")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy("toxicity", run), "doc_id long, score double, hits long")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "hits")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from riskweave.session import scratch, ship
 
-from .common import id_bounds, kept, range_of
+from .common import id_bounds, kept, range_of, tidy
 from .token_count import encode_all, load
 
 MAGIC, BLOCK = b"RWWM1", 4096
@@ -344,7 +344,7 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["file", "docs", "tokens"])
 
     manifest = f"{out_dir}/manifest"
-    ranged.mapInArrow(run, "file string, docs long, tokens long").write.mode("overwrite").parquet(manifest)
+    ranged.mapInArrow(tidy("wavelet", run), "file string, docs long, tokens long").write.mode("overwrite").parquet(manifest)
     rows = spark.read.schema("file string, docs long, tokens long").parquet(manifest)
     return rows.withColumn("start", F.coalesce(F.sum("tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
@@ -370,7 +370,7 @@ def digests(spark: SparkSession, out_dir: str, manifest: DataFrame) -> DataFrame
                 crc = [zlib.crc32(tokens[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids)), pa.array(ids, pa.int64()), pa.array(ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], names=["file", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    docs = read_shards(spark, out_dir).mapInArrow(run, schema)
+    docs = read_shards(spark, out_dir).mapInArrow(tidy("wavelet", run), schema)
     return docs.join(manifest.select("file", F.col("start").alias("before")), "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
