@@ -9,13 +9,14 @@ estimates of all depths along its context. A context that was never seen adds no
 its parent. A text ends with the byte 0xFF and starts after ``DEPTH`` bytes 0xFE, which UTF-8 never uses,
 so probabilities of all texts sum to one.
 
-Counting: every task counts the byte strings of DEPTH + 1 bytes of its training texts, and Spark adds them
-up; this grows with the corpus. The trees below each context of ``TOP`` bytes are then weighted side by
-side, in streams sorted by that context, and the levels above by aggregations. All counts take part in
-the weights. A node seen twice or more is then hashed to a slot, 2**SLOT_BITS for each level; of nodes that
-meet in a slot the one seen most stays, with 8 check bits, and the others count as never seen. So the
-model has the same bounded size for every corpus. It is written to the shared folder, and each Python
-worker loads it once. Scoring mixes each distinct byte string once and looks it up from then on.
+Counting: every task counts the byte strings of DEPTH + 1 bytes of its texts (those of held-out texts count
+0), and Spark adds them up; this grows with the corpus. The trees below each context of ``TOP`` bytes are then
+weighted side by side, in streams sorted by that context, which also mixes these levels for each string there;
+the levels above are weighted by aggregations, and complete each string's log probability. No node is dropped
+or shares its place: the levels above ``TOP`` have at most 256**TOP nodes for any corpus and are loaded whole.
+The strings with their values are cut by a hash into slices of about 2**SLICE_BITS, as many as the number of
+strings asks for; the texts are scored in one pass for each slice, which a Python worker loads once, and the
+sums of the passes are added up for each row.
 
 The base model needs the exact count of every word. Words with counts of at least a power of two that
 leaves at most ``FREQUENT`` of them are broadcast; the tokens that are not among them are counted by a
@@ -38,14 +39,16 @@ from pyspark.sql import functions as F
 from riskweave.session import scratch, ship
 
 from .common import WordHash, kept, mix64, tidy, words
+from .graph import saved
 from .learn import held_out
 
-DEPTH, TOP, SLOT_BITS = 5, 3, 22
+DEPTH, TOP, SLICE_BITS = 5, 3, 22
+#: Times that a node at depth 2 or more must have been seen; the registered query keeps all nodes (1).
+LEAST = 2
 #: Words whose counts are broadcast, at most.
 FREQUENT = 200_000
 START, END = 0xFE, 0xFF
 _STEP = 1500.0  # logits are kept as multiples of 1 / _STEP in 16 bits
-_NONE = np.int16(-32768)
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -96,16 +99,6 @@ def bit_nodes(symbol: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
     return np.uint64(1 << j) | (s >> np.uint64(8 - j)), (s >> np.uint64(7 - j)) & np.uint64(1)
 
 
-def slots(depth: int, context: np.ndarray, node: np.ndarray, bits: int = SLOT_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """A node's slot and check bits: the node itself up to depth 1, a hash beyond."""
-    key = context << np.uint64(8) | node
-    if depth < 2:
-        return key.astype(np.int64), np.zeros(len(key), np.uint8)
-    with np.errstate(over="ignore"):
-        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(depth))
-    return (key >> np.uint64(64 - bits)).astype(np.int64), (key & np.uint64(255)).astype(np.uint8)
-
-
 def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.argsort(keys)
     return _sum_runs(keys[order], *(v[order] for v in values))
@@ -142,85 +135,114 @@ def up(keys: np.ndarray, depth: int, n0: np.ndarray, n1: np.ndarray, pw: np.ndar
     return _sum_by((keys >> np.uint64(8) & keep) << np.uint64(8) | keys & np.uint64(255), n0, n1, pw)
 
 
-def entries(depth: int, keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, share: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Table entries of nodes: depth and slot in one number, and (count, check bits, KT logit, logit of w) in another, whose maximum wins a slot."""
-    n = n0 + n1
-    use = n >= (2 if depth > 1 else 1)
-    keys, n0, n1, share, n = keys[use], n0[use], n1[use], share[use], n[use]
-    slot, check = slots(depth, keys >> np.uint64(8), keys & np.uint64(255), bits)
+def entries(depth: int, keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, share: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes seen ``least`` times (once up to depth 1): depth and key in one number; KT logit and logit of w in another."""
+    use = n0 + n1 >= (least if depth > 1 else 1)
+    keys, n0, n1, share = keys[use], n0[use], n1[use], share[use]
     p = np.clip(np.log((n1 + 0.5) / (n0 + 0.5)) * _STEP, -32000, 32000).round().astype(np.int64) + 32768
     w = np.clip(share * _STEP, -32000, 32000).round().astype(np.int64) + 32768
-    packed = np.minimum(n, (1 << 22) - 1).astype(np.int64) << 40 | check.astype(np.int64) << 32 | p << 16 | w
-    return np.int64(depth) << 40 | slot, packed
+    return np.int64(depth) << 56 | keys.astype(np.int64), p << 16 | w
 
 
-def subtree(grams: np.ndarray, counts: np.ndarray, depth: int, top: int, bits: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, ...]]:
-    """Levels ``depth`` to ``top`` of the trees of some contexts, from ascending strings: table entries of each, and the sums for level top - 1."""
+def subtree(grams: np.ndarray, counts: np.ndarray, depth: int, top: int, _bits: int = SLICE_BITS, least: int = 1) -> tuple[list[tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, ...]]:
+    """Levels ``depth`` to ``top`` of the trees of some contexts, from ascending strings: entries of each, and the sums for level top - 1."""
     keys, n0, n1 = leaves(grams, counts)
     below, out = None, []
     for d in range(depth, top - 1, -1):
         pw, share = weigh(n0, n1, below)
-        out.append(entries(d, keys, n0, n1, share, bits))
+        out.append(entries(d, keys, n0, n1, share, least))
         if d:
             keys, n0, n1, below = up(keys, d, n0, n1, pw)
     return out, (keys, n0, n1, below)
 
 
-_SIGMOID = (1 / (1 + np.exp(-(np.arange(65536) - 32768) / _STEP))).astype(np.float32)
+_SIGMOID = 1 / (1 + np.exp(-(np.arange(65536) - 32768) / _STEP))
 
 
 class Model:
-    """The slots of all levels: the KT estimate of a one, w, and check bits; 0 stands for an empty slot."""
+    """All nodes of some levels, each level's in ascending order: the KT estimate of a one, and w."""
 
-    def __init__(self, depth: int = DEPTH, bits: int = SLOT_BITS, memo_bits: int = 22):
-        self.depth, self.bits, self.memo_bits = depth, bits, memo_bits
-        sizes = [1 << (8 if d == 0 else 16 if d == 1 else bits) for d in range(depth + 1)]
-        self.p, self.w, self.check = [np.zeros(n, np.uint16) for n in sizes], [np.zeros(n, np.uint16) for n in sizes], [np.zeros(n, np.uint8) for n in sizes]
-        self.known, self.value = np.zeros(1 << memo_bits, np.uint64), np.full(1 << memo_bits, np.nan, np.float32)
+    def __init__(self, depth: int = DEPTH, *_sizes: int):
+        self.depth = depth
+        self.parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(depth + 1)]
 
     def put(self, place: np.ndarray, packed: np.ndarray) -> None:
-        """Fills slots from entries, one for each slot."""
-        depth = place >> 40
+        """Adds nodes from entries, each once."""
+        depth = place >> 56
         for d in np.unique(depth):
-            at, v = place[depth == d] & ((1 << 40) - 1), packed[depth == d]
-            self.p[d][at], self.w[d][at], self.check[d][at] = v >> 16 & 65535, v & 65535, v >> 32 & 255
+            self.parts[d].append(((place[depth == d] & ((1 << 56) - 1)).astype(np.uint64), packed[depth == d].astype(np.uint32)))
 
-    def mix(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of each string's last byte after the others."""
+    def level(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts[d]) > 1 or self.parts[d] and np.any(self.parts[d][0][0][1:] < self.parts[d][0][0][:-1]):
+            keys, packed = (np.concatenate(x) for x in zip(*self.parts[d], strict=True))
+            order = np.argsort(keys)
+            self.parts[d] = [(keys[order], packed[order])]
+        return self.parts[d][0] if self.parts[d] else (np.empty(0, np.uint64), np.empty(0, np.uint32))
+
+    def decisions(self, grams: np.ndarray, low: np.ndarray | None = None) -> np.ndarray:
+        """Probability of each decision of the strings' last bytes by the levels held; ``low`` is that of deeper levels, NaN where no context was seen."""
         context, symbol = grams >> np.uint64(8), grams & np.uint64(255)
-        out = np.zeros(len(grams))
-        for j in range(8):
-            node, bit = bit_nodes(symbol, j)
-            one = np.full(len(grams), np.nan, np.float32)
-            for d in range(self.depth, -1, -1):
-                at, check = slots(d, context & np.uint64((1 << 8 * d) - 1), node, self.bits)
-                p = self.p[d][at]
-                own, w = _SIGMOID[p], _SIGMOID[self.w[d][at]]
-                mixed = np.where(np.isnan(one), own, one + w * (own - one))
-                one = np.where((p != 0) & (self.check[d][at] == check), mixed, one)
-            one = np.nan_to_num(one, nan=0.5).astype(float)
-            out += np.log10(np.where(bit == 1, one, 1 - one))
+        out = np.full((8, len(grams)), np.nan) if low is None else low.astype(float)
+        for d in range(self.depth, -1, -1):
+            keys, packed = self.level(d)
+            if not len(keys):
+                continue
+            own_context = (context & np.uint64((1 << 8 * d) - 1)) << np.uint64(8)
+            for j in range(8):
+                node, bit = bit_nodes(symbol, j)
+                key = own_context | node
+                at = np.searchsorted(keys, key)
+                at[at == len(keys)] = 0
+                seen = keys[at] == key
+                v = packed[at].astype(np.int64)
+                p = v >> 16
+                own, w = _SIGMOID[np.where(bit == 1, p, 65536 - p)], _SIGMOID[v & 65535]
+                mixed = np.where(np.isnan(out[j]), own, out[j] + w * (own - out[j]))
+                out[j] = np.where(seen, mixed, out[j])
         return out
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        """log10 probability of each text, its end included."""
-        if not texts:
-            return np.empty(0)
-        grams, size = pack(texts, self.depth)
-        shift = np.uint64(64 - self.memo_bits)
-        with np.errstate(over="ignore"):
-            where = (grams * np.uint64(0x9E3779B97F4A7C15) >> shift).astype(np.int64)
-        got = self.value[where]
-        got[self.known[where] != grams] = np.nan
-        miss = np.flatnonzero(np.isnan(got))
-        if len(miss):
-            new, first, back = np.unique(grams[miss], return_index=True, return_inverse=True)
-            value = self.mix(new).astype(np.float32)
-            got[miss] = value[back]
-            place = where[miss[first]]
-            self.known[place] = new
-            self.value[place] = value
-        return np.add.reduceat(got, np.cumsum(size) - size, dtype=float)
+    def mix(self, grams: np.ndarray, low: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each string's last byte after the others."""
+        return np.log10(np.nan_to_num(self.decisions(grams, low), nan=0.5)).sum(axis=0)
+
+
+def slice_of(grams: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of each string."""
+    return (mix64(grams) % np.uint64(slices)).astype(np.int32)
+
+
+class Values:
+    """Strings with their log10 probabilities: a table of slots, a smaller one for those whose slot is taken, and so on until none is left."""
+
+    def __init__(self, keys: np.ndarray, value: np.ndarray):
+        self.tables = []
+        while len(keys):
+            bits = max(4, len(keys).bit_length())
+            factor, shift = mix64(np.uint64([len(self.tables) + 1])) | np.uint64(1), np.uint64(64 - bits)
+            known, held = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
+            with np.errstate(over="ignore"):
+                at = (keys * factor >> shift).astype(np.int64)
+            known[at] = keys
+            left = known[at] != keys
+            held[at[~left]] = value[~left]
+            self.tables.append((factor, shift, known, held))
+            keys, value = keys[left], value[left]
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        out, todo = np.zeros(len(keys), np.float32), None
+        for factor, shift, known, held in self.tables:
+            with np.errstate(over="ignore"):
+                at = (keys * factor >> shift).astype(np.int64)
+            miss = np.flatnonzero(known[at] != keys)
+            if todo is None:
+                out, todo = held[at], miss
+            else:
+                out[todo] = held[at]
+                todo = todo[miss]
+            keys = keys[miss]
+        if len(keys):
+            raise ValueError("texts changed between the passes")
+        return out
 
 
 # ------------------------------------------------------------------ training
@@ -252,10 +274,12 @@ def _counter(keys_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        for _, texts in _text_parts(batches):
-            k, n = np.unique(keys_of(texts), return_counts=True)
-            held.append((k, n.astype(np.int64)))
-            size += len(k)
+        for part, texts in _text_parts(batches):
+            out = part.column("held_out").to_pylist() if "held_out" in part.schema.names else [False] * len(texts)
+            for aside in set(out):  # texts that are held out only show which keys there are
+                k, n = np.unique(keys_of([t for t, o in zip(texts, out, strict=True) if o == aside]), return_counts=True)
+                held.append((k, n.astype(np.int64) * (not aside)))
+                size += len(k)
             if size > 1_000_000:
                 held = [_merge(held)]
                 size = len(held[0][0])
@@ -280,13 +304,17 @@ def word_keys(texts: list[str], hashes) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens)), size
 
 
-def train_trees(train: DataFrame, depth: int = DEPTH, bits: int = SLOT_BITS, top: int = TOP) -> DataFrame:
-    """Table entries (place, packed), one for each slot, of the training texts' trees."""
-    spark = train.sparkSession
+LOW = [f"b{j}" for j in range(8)]
+
+
+def string_values(docs: DataFrame, depth: int = DEPTH, bits: int = SLICE_BITS, top: int = TOP, least: int = LEAST) -> tuple[str, int]:
+    """Where the log10 probabilities (key, value) of all strings of the texts lie, by slice, and the number of slices; the rows not held_out train."""
+    spark, top = docs.sparkSession, min(top, depth)
+
     def strings(texts: list[str]) -> np.ndarray:
         return pack(texts, depth)[0]
 
-    grams = train.select("text").mapInArrow(tidy("ctw-trees", _counter(strings)), "key long, n long")
+    grams = docs.select("text", "held_out").mapInArrow(tidy("ctw-trees", _counter(strings)), "key long, n long")
     near = F.col("key").bitwiseAND((1 << 8 * (top + 1)) - 256)
     # dealt by the nearest bytes once: the sums and the trees below them need no other exchange
     grams = grams.withColumn("near", near).repartition("near").groupBy("near", "key").agg(F.sum("n").alias("n")).sortWithinPartitions("near")
@@ -295,10 +323,16 @@ def train_trees(train: DataFrame, depth: int = DEPTH, bits: int = SLOT_BITS, top
         def weighed(k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
             k = k.view(np.uint64)
             order = np.argsort(k)
-            levels, (keys, n0, n1, low) = subtree(k[order], n[order], depth, top, bits)
-            for place, packed in levels:
-                yield _arrow(place=place, packed=packed, n0=np.zeros(len(place), np.int64), n1=np.zeros(len(place), np.int64), below=np.zeros(len(place)))
-            yield _arrow(place=-1 - keys.astype(np.int64), packed=np.zeros(len(keys), np.int64), n0=n0, n1=n1, below=low)
+            k, n = k[order], n[order]
+            model = Model(depth)
+            if n.any():
+                levels, (keys, n0, n1, low) = subtree(k[n > 0], n[n > 0], depth, top, least=least)
+                for place, packed in levels:
+                    model.put(place, packed)
+                yield rows(keys, len(keys), n0=n0, n1=n1, below=low)
+            for at in range(0, len(k), 100_000):
+                part = k[at : at + 100_000]
+                yield rows(part, len(part), **dict(zip(LOW, model.decisions(part).astype(np.float32), strict=True)))
 
         held: list[np.ndarray] = []
         size = 0
@@ -316,13 +350,18 @@ def train_trees(train: DataFrame, depth: int = DEPTH, bits: int = SLOT_BITS, top
             t = np.concatenate(held, axis=1)
             yield from weighed(t[1], t[2])
 
+    def rows(keys: np.ndarray, n: int, **columns: np.ndarray) -> pa.RecordBatch:
+        kinds = {"n0": pa.int64(), "n1": pa.int64(), "below": pa.float64()} | dict.fromkeys(LOW, pa.float32())
+        data = [pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()]
+        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), *data], names=["key", *kinds])
+
     def level(d: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 keys, n0, n1, low = (b.column(c).to_numpy() for c in ("key", "n0", "n1", "below"))
                 keys = keys.astype(np.uint64)
                 pw, share = weigh(n0, n1, low)
-                place, packed = entries(d, keys, n0, n1, share, bits)
+                place, packed = entries(d, keys, n0, n1, share, least)
                 zero = np.zeros(len(place), np.int64)
                 yield _arrow(place=place, packed=packed, n0=zero, n1=zero, below=zero.astype(float))
                 if d:
@@ -331,39 +370,82 @@ def train_trees(train: DataFrame, depth: int = DEPTH, bits: int = SLOT_BITS, top
 
         return run
 
+    path, low = scratch(spark, "ctw-levels"), "key long, n0 long, n1 long, below double, " + ", ".join(f"{c} float" for c in LOW)
+    grams.mapInArrow(tidy("ctw-trees", below), low).write.parquet(f"{path}/low")
+    both = spark.read.schema(low).parquet(f"{path}/low")
     schema = "place long, packed long, n0 long, n1 long, below double"
-    path = scratch(spark, "ctw-levels")
-    grams.mapInArrow(tidy("ctw-trees", below), schema).write.parquet(f"{path}/{top}")
-    parts = [spark.read.schema(schema).parquet(f"{path}/{top}")]
+    sums = both.where("below is not null").select("key", "n0", "n1", "below")
     for d in range(top - 1, -1, -1):
-        sums = parts[-1].where("place < 0").groupBy((-1 - F.col("place")).alias("key")).agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below")))
-        sums.mapInArrow(tidy("ctw-trees", level(d)), schema).write.parquet(f"{path}/{d}")
-        parts.append(spark.read.schema(schema).parquet(f"{path}/{d}"))
-    found = parts[0]
-    for x in parts[1:]:
-        found = found.unionByName(x)
-    return found.where("place >= 0").groupBy("place").agg(F.max("packed").alias("packed"))
+        sums = sums.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below")))
+        sums.mapInArrow(tidy("ctw-trees", level(d)), schema).write.parquet(f"{path}/nodes/level={d}")
+        sums = spark.read.schema(schema).parquet(f"{path}/nodes/level={d}").where("place < 0").select((-1 - F.col("place")).alias("key"), "n0", "n1", "below")
+
+    all_strings = both.where("below is null")
+    slices = max(1, -(-all_strings.count() >> bits)) if bits < 63 else 1
+
+    def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            model = load_model(f"{path}/nodes", top)
+            keys = b.column("key").to_numpy().astype(np.uint64)
+            value = model.mix(keys, np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in LOW]))
+            yield _arrow(key=keys.view(np.int64), value=value.astype(np.float32), slice=slice_of(keys, slices))
+
+    values = all_strings.select("key", *LOW).mapInArrow(tidy("ctw-values", complete), "key long, value float, slice int")
+    values.write.partitionBy("slice").parquet(f"{path}/values")
+    return f"{path}/values", slices
 
 
-def load_model(path: str, depth: int, bits: int) -> Model:
-    """The model written below ``path``; each Python process loads it once."""
+def _stored(path: str, columns: list[str], where=None) -> Iterator[pa.RecordBatch]:
+    """Batches of the Parquet files below ``path``, none where nothing was written."""
+    from pyarrow import dataset, fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    if store.get_file_info(at).type != fs.FileType.NotFound:
+        yield from dataset.dataset(at, filesystem=store, format="parquet").to_batches(columns=columns, filter=where)
+
+
+def load_model(path: str, top: int) -> Model:
+    """The levels above ``top`` written below ``path``; each Python process loads them once."""
 
     def make() -> Model:
-        from pyarrow import dataset, fs
+        from pyarrow import dataset
 
-        store, at = fs.FileSystem.from_uri(path)
-        model = Model(depth, bits)
-        for b in dataset.dataset(at, filesystem=store, format="parquet").to_batches(columns=["place", "packed"]):
-            model.put(b.column("place").to_numpy(), b.column("packed").to_numpy())
+        model = Model(top - 1)
+        for d in range(top):
+            for b in _stored(f"{path}/level={d}", ["place", "packed"], dataset.field("place") >= 0):
+                model.put(b.column("place").to_numpy(), b.column("packed").to_numpy())
         return model
 
-    return kept("ctw", path, make)
+    return kept("ctw-values", path, make)
+
+
+def load_values(path: str, k: int) -> Values:
+    """Slice ``k`` of the values; a Python process loads it once and holds no other."""
+
+    def make() -> Values:
+        got = [(b.column("key").to_numpy().view(np.uint64), b.column("value").to_numpy()) for b in _stored(f"{path}/slice={k}", ["key", "value"])]
+        return Values(*(np.concatenate(x) for x in zip(*got, strict=True))) if got else Values(np.empty(0, np.uint64), np.empty(0, np.float32))
+
+    return kept(f"ctw-{path}-{k}", "values", make)
+
+
+def slice_scores(texts: list[str], values: Values, k: int, slices: int, depth: int) -> np.ndarray:
+    """What the strings of slice ``k`` add to the log10 probability of each text, its end included."""
+    if not texts:
+        return np.empty(0)
+    grams, size = pack(texts, depth)
+    if slices == 1:
+        got = values.get(grams)
+    else:
+        got, mine = np.zeros(len(grams), np.float32), np.flatnonzero(slice_of(grams, slices) == k)
+        got[mine] = values.get(grams[mine])
+    return np.add.reduceat(got, np.cumsum(size) - size, dtype=float)
 
 
 # ------------------------------------------------------------------ scoring
 
 
-def scores(docs: DataFrame, mod: int = 5, depth: int = DEPTH, bits: int = SLOT_BITS, frequent: int = FREQUENT) -> DataFrame:
+def scores(docs: DataFrame, mod: int = 5, depth: int = DEPTH, bits: int = SLICE_BITS, frequent: int = FREQUENT, least: int = LEAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of each row.
 
     Learns from the rows that are not held out: crc32 of doc_id's digits does not leave 1 modulo ``mod``.
@@ -372,8 +454,10 @@ def scores(docs: DataFrame, mod: int = 5, depth: int = DEPTH, bits: int = SLOT_B
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     train = docs.where(~held_out(mod))
-    model_path = scratch(spark, "ctw-model")
-    train_trees(train, depth, bits).write.parquet(model_path)
+    values_path, slices = string_values(docs.withColumn("held_out", held_out(mod)), depth, bits, least=least)
+    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    if slices > 1:  # rows keep their numbers over the passes
+        docs = saved(docs, "doc_id long, text string, row long", "lm-docs")
 
     def hashed(texts: list[str]) -> np.ndarray:
         return word_keys(texts, _hashes("ctw-words"))[0]
@@ -394,14 +478,12 @@ def scores(docs: DataFrame, mod: int = 5, depth: int = DEPTH, bits: int = SLOT_B
     scale = total + 0.5 * (distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         key, n = shared.value
         order = np.argsort(key)
         key, n = key[order], n[order]
-        logs, row = np.log10((n + 0.5) / scale), TaskContext.get().partitionId() << 40
-        model, hashes = load_model(model_path, depth, bits), _hashes("ctw")
+        logs = np.log10((n + 0.5) / scale)
         for part, texts in _text_parts(batches):
+            values, hashes = load_values(values_path, 0), _hashes(f"ctw-{values_path}-0")
             h, size = word_keys(texts, hashes)
             at = np.searchsorted(key, h)
             at[at == len(key)] = 0
@@ -411,15 +493,29 @@ def scores(docs: DataFrame, mod: int = 5, depth: int = DEPTH, bits: int = SLOT_B
             known = np.add.reduceat(found.astype(np.int64), start)
             rest = np.add.reduceat((~found).astype(np.int64), start)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rest)]).astype(np.int32)), pa.array(h[~found].view(np.int64)))
-            score = model.score(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(texts))), part.column("doc_id"), pa.array(size), pa.array(known), pa.array(base), pa.array(score), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), lists], names=names)
-            row += len(texts)
+            score = slice_scores(texts, values, 0, slices, depth)
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(size), pa.array(known), pa.array(base), pa.array(score), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), lists], names=names)
 
     schema = "row long, doc_id long, n_tokens long, known long, base double, score double, n_bytes long, rest array<long>"
     names = [x.split()[0] for x in schema.split(", ")]
     path = scratch(spark, "lm-rows")
-    docs.mapInArrow(tidy("ctw", run), schema).write.parquet(path)
+    docs.mapInArrow(tidy(f"ctw-{values_path}-0", run), schema).write.parquet(path)
     rows = spark.read.schema(schema).parquet(path)
+
+    def again(k: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, texts in _text_parts(batches):
+                score = slice_scores(texts, load_values(values_path, k), k, slices, depth)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(score)], names=["row", "score"])
+
+        return run
+
+    more = scratch(spark, "lm-slices")
+    for k in range(1, slices):
+        docs.select("row", "text").mapInArrow(tidy(f"ctw-{values_path}-{k}", again(k)), "row long, score double").write.parquet(f"{more}/{k}")
+    if slices > 1:
+        others = spark.read.schema("row long, score double").parquet(*(f"{more}/{k}" for k in range(1, slices))).groupBy("row").agg(F.sum("score").alias("rest_score"))
+        rows = rows.join(others, "row").withColumn("score", F.col("score") + F.col("rest_score")).drop("rest_score")
     rest = rows.select("row", F.explode("rest").alias("key")).join(counts, "key", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(scale) or 1.0))
     rest = rest.groupBy("row").agg(F.sum(log).alias("more"), F.count("n").alias("more_known"))

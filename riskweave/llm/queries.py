@@ -37,7 +37,7 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ctw import scores
 
-    return scores(table(spark, sf_dir, "documents"))
+    return scores(table(spark, sf_dir, "documents"), least=1)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,3 +107,59 @@ def test_probabilities_sum_to_one():
 def test_beats_words(spark):
     r = ctw.scores(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
     assert r.s > r.b
+
+
+def test_every_node_counts(spark):
+    """No node is dropped, in however many slices the strings are scored."""
+    train = ["abcabd abcabe", "xyz once only", "the cat sat on the mat"]
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1][: len(train)]
+    held = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1)
+    docs = spark.createDataFrame([*zip(ids, train, strict=True), (held, "abc once cat \x00\x00\x00\x00\x00")], "doc_id long, text string")
+
+    want = exact(train, [*train, "abc once cat \x00\x00\x00\x00\x00"])
+    for bits in (3, 22):
+        got = {r.doc_id: r.score for r in ctw.scores(docs, depth=DEPTH, bits=bits, least=1).collect()}
+        for d, s in zip([*ids, held], want, strict=True):
+            assert math.isclose(got[d], s, rel_tol=2e-3, abs_tol=0.01)
+
+
+def exact(train, texts, depth=DEPTH):
+    """Context-tree weighting itself: code lengths of a byte after a context, with every node of the tree."""
+    n = Counter()
+    for t in train:
+        raw = bytes([ctw.START]) * depth + t.encode() + b"\xff"
+        for i in range(depth, len(raw)):
+            s = f"{raw[i]:08b}"
+            for d in range(depth + 1):
+                for j in range(8):
+                    n[raw[i - d : i], s[:j], s[j]] += 1
+    pe = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    pw, below = {}, Counter()
+    for c, b in sorted({(c, b) for c, b, _ in n}, key=lambda x: -len(x[0])):
+        own = pe(n[c, b, "0"], n[c, b, "1"])
+        pw[c, b] = own if len(c) == depth else np.logaddexp(own, below[c, b]) - math.log(2)
+        if c:
+            below[c[1:], b] += pw[c, b]
+
+    def one(c, b):
+        """Probability of a one: the mixture at each node of the path, from the deepest that was seen."""
+        got = 0.5
+        for d in range(depth + 1):
+            x = c[len(c) - (depth - d) :] if d < depth else b""
+            zeros, ones = n[x, b, "0"], n[x, b, "1"]
+            if zeros + ones:
+                own = (ones + 0.5) / (zeros + ones + 1)
+                w = 1.0 if len(x) == depth or not any((y, b) in pw for y in [c[len(c) - len(x) - 1 :]]) else 1 / (1 + math.exp(-max(-20, min(20, pe(zeros, ones) - below[x, b]))))
+                got = w * own + (1 - w) * got
+        return got
+
+    out = []
+    for t in texts:
+        raw, total = bytes([ctw.START]) * depth + t.encode() + b"\xff", 0.0
+        for i in range(depth, len(raw)):
+            s = f"{raw[i]:08b}"
+            for j in range(8):
+                p = one(raw[i - depth : i], s[:j])
+                total += math.log10(p if s[j] == "1" else 1 - p)
+        out.append(total)
+    return out
