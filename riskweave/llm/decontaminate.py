@@ -2,18 +2,22 @@
 
 Words become template tokens: numbers, names (capitalised words that do not start a sentence) and units
 (after a number) are replaced by typed placeholders, everything else is lower-cased and stripped of outer
-punctuation. Every window of WINDOW tokens with at least two literal ones is hashed. The benchmark's
-windows set bits in a bitmap of fixed size; documents give up only the windows whose bit is set, with the
+punctuation. Every window of WINDOW tokens with at least two literal ones is hashed; one with fewer, but two
+words of any kind, is hashed with its exact values, so a copy of it is found but no variant. An item of fewer
+tokens is one window of its own width, and documents give windows of each such width that the benchmark has.
+The first word of an item counts as opening a sentence and, in a second hash, as what it is within one. The
+benchmark's windows set bits in a bitmap of fixed size; documents give up only the windows whose bit is set, with the
 values of their slots, and an exact join on the hash follows, so nothing of either side is broadcast but
 the bitmap.
 
 Windows of a document and an item that lie at the same distance belong to one alignment. Its slots are
 consistent if every value of the item's slots stands for one value in the document: then the passage is the
 item, perhaps with other numbers and names. An item leaks into a document if consistent alignments cover at
-least ``percent`` of the item's windows.
+least ``percent`` of its windows with two literal tokens, its first word as at a sentence's start; or else of all its
+windows, or of all with two literal tokens, its first word in either form.
 
-Defined results: a null or empty text has no windows and is clean; a text with fewer tokens than a window
-is one window; an item without windows (no text, or fewer than two literal words in each) matches nothing;
+Defined results: a null or empty text has no windows and is clean; an item without windows (no text, or in
+each at most one word, the rest numbers; a single word is a window) matches nothing;
 equal rows are judged each; a null doc_id is a document like others; a null item_id never matches.
 """
 
@@ -57,10 +61,10 @@ def parse(word: str) -> tuple[list[tuple[int, int, str]], bool]:
     if not core:
         return [], ends
     if NUMBER.fullmatch(core):
-        return [(NUM, 0, core.rstrip(".,:"))], ends
+        return [(NUM, _hash(core.rstrip(".,:")), core.rstrip(".,:"))], ends
     low = core.lower()
     if (m := GLUED.fullmatch(core)) and m[2].lower() in UNITS:
-        return [(NUM, 0, m[1]), (UNIT, _hash(m[2].lower()), m[2].lower())], ends
+        return [(NUM, _hash(m[1]), m[1]), (UNIT, _hash(m[2].lower()), m[2].lower())], ends
     if low in UNITS:
         return [(UNIT, _hash(low), low)], ends
     return [(NAME if core[0].isupper() and not core.isupper() else LITERAL, _hash(low), low)], ends
@@ -127,35 +131,62 @@ class Templates:
         kind[(kind == UNIT) & ~after] = LITERAL
         return kind, h, at, who
 
-    def windows(self, texts: list[str], width: int = WINDOW) -> tuple[np.ndarray, ...]:
-        """Of all windows with two literal tokens or more: hash, first token, its text, its length; and the tokens."""
+    def windows(self, texts: list[str], widths: list[int] | None = None) -> tuple[np.ndarray, ...]:
+        """Of all windows with two words or more: hash, first token, its text, its length, whether it takes exact values for want of
+        two literal tokens (by the item's own form, and in this hash), and whether its first token counts as within a sentence; the tokens, their kinds so, and where texts begin.
+
+        Windows of ``widths``; None stands for an item's: WINDOW, or the whole of a shorter text, the first also as within a sentence.
+        """
         kind, h, at, who = self.tokens(texts)
-        with np.errstate(over="ignore"):
-            h = np.where(kind == LITERAL, h, kind.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            size = np.bincount(who, minlength=len(texts)) if len(who) else np.zeros(len(texts), np.int64)
-            stop = np.cumsum(size)
-            literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-            out = []
-            n = len(h) - width + 1
-            if n > 0:
-                w = h[:n].copy()
-                for j in range(1, width):
-                    w = mix64(w * _BASE + h[j : j + n])
-                fit = (who[:n] == who[width - 1 :]) & (literal[width:] - literal[:n] >= min(2, width))
-                p = np.flatnonzero(fit)
-                out.append((mix64(w[p] + np.uint64(width)), p, np.full(len(p), width)))
-            for k in np.flatnonzero((size > 0) & (size < width)):
-                a, b = stop[k] - size[k], stop[k]
-                if literal[b] - literal[a] >= min(2, size[k]):
-                    w = h[a : a + 1].copy()
-                    for j in range(a + 1, b):
-                        w = mix64(w * _BASE + h[j : j + 1])
-                    out.append((mix64(w + np.uint64(size[k])), np.array([a]), np.array([size[k]])))
+        size = np.bincount(who, minlength=len(texts)) if len(who) else np.zeros(len(texts), np.int64)
+        begin = np.cumsum(size) - size
+        inner, first = kind.copy(), begin[size > 0]
+        if len(first):
+            inner[first] = np.frombuffer(self.kind, np.int8)[at[first]]
+        turned = np.zeros(len(kind), bool)
+        turned[first] = inner[first] != kind[first]
+        own, out = widths is None, []
+        for width in range(1, WINDOW + 1) if own else widths:
+            n = len(kind) - width + 1
+            if n < 1:
+                continue
+            fit = who[:n] == who[width - 1 :]
+            if own and width < WINDOW:
+                fit &= size[who[:n]] == width
+            few = self._few(kind, width)
+            for kinds, use, alone in ((kind, fit, False), (inner, fit & turned[:n], True)):
+                if not alone or own and use.any():
+                    win, p = self._hashed(kinds, h, width, use)
+                    out.append((win, p, np.full(len(p), width), few[p], self._few(kinds, width)[p], np.full(len(p), alone)))
         if not out:
             z = np.empty(0, np.int64)
-            return np.empty(0, np.uint64), z, z, z, kind, at, stop - size
-        win, p, width_ = (np.concatenate(x) for x in zip(*out, strict=True))
-        return win, p, who[p], width_, kind, at, stop - size
+            return np.empty(0, np.uint64), z, z, z, z.astype(bool), z.astype(bool), z.astype(bool), kind, inner, at, begin
+        win, p, width_, exact, bare, within = (np.concatenate(x) for x in zip(*out, strict=True))
+        return win, p, who[p], width_, exact, bare, within, kind, inner, at, begin
+
+    def _few(self, kind: np.ndarray, width: int) -> np.ndarray:
+        """Whether the windows have too few literal tokens."""
+        literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
+        return literal[width:] - literal[:-width] < min(2, width)
+
+    def _hashed(self, kind: np.ndarray, h: np.ndarray, width: int, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and first token of the windows in ``use`` that have two words or more."""
+        n, few = len(use), self._few(kind, width)
+        word = np.concatenate([[0], np.cumsum(kind != NUM)])
+        p = np.flatnonzero(use & (word[width:] - word[:-width] >= min(2, width)))
+        with np.errstate(over="ignore"):
+            code = np.where(kind == LITERAL, h, kind.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            w = code[:n].copy()
+            for j in range(1, width):
+                w = mix64(w * _BASE + code[j : j + n])
+            win = mix64(w[p] + np.uint64(width))
+            exact = np.flatnonzero(few[p])
+            e = p[exact]
+            w = h[e]
+            for j in range(1, width):
+                w = mix64(w * _BASE + h[e + j])
+            win[exact] = mix64(w + np.uint64(width + 2 * WINDOW))
+        return win, p
 
     def slots(self, kind: np.ndarray, at: np.ndarray, p: int, width: int) -> list[str]:
         """Typed values of a window's placeholders, in order."""
@@ -166,12 +197,12 @@ def _templates() -> Templates:
     return kept("decontaminate", "templates", Templates)
 
 
-HITS = "array<struct<win:long,at:long,slots:array<string>>>"
+HITS = "array<struct<win:long,at:long,exact:boolean,within:boolean,slots:array<string>>>"
 
 
-def _windows(rows: DataFrame, key: str, bitmap=None) -> DataFrame:
-    """key, text_key, n_windows and the windows (all, or those whose bit is set) of each row, in ``hits``; ``row`` tells rows apart."""
-    kind = pa.list_(pa.struct([("win", pa.int64()), ("at", pa.int64()), ("slots", pa.list_(pa.string()))]))
+def _windows(rows: DataFrame, key: str, bitmap=None, widths: list[int] | None = None) -> DataFrame:
+    """key, text_key, n_windows, n_plain (with two literal tokens), width and the windows (an item's, or those of ``widths`` whose bit is set) of each row, in ``hits``; ``row`` tells rows apart."""
+    kind = pa.list_(pa.struct([("win", pa.int64()), ("at", pa.int64()), ("exact", pa.bool_()), ("within", pa.bool_()), ("slots", pa.list_(pa.string()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -182,18 +213,20 @@ def _windows(rows: DataFrame, key: str, bitmap=None) -> DataFrame:
             for start in range(0, b.num_rows, 500):
                 part = b.slice(start, 500)
                 texts = [x or "" for x in part.column("text").to_pylist()]
-                win, p, who, width, kinds, at, begin = t.windows(texts)
-                n = np.bincount(who, minlength=len(texts)) if len(who) else np.zeros(len(texts), np.int64)
+                win, p, who, width, exact, bare, within, kinds, inner, at, begin = t.windows(texts, widths)
+                n, plain = (np.bincount(who[x], minlength=len(texts)) for x in (~within, ~within & ~exact))
+                widest = np.zeros(len(texts), np.int64)
+                np.maximum.at(widest, who, width)
                 if bits is not None:
                     k = (win & np.uint64(BITS - 1)).astype(np.int64)
-                    win, p, who, width = (x[(bits[k >> 3] >> (k & 7).astype(np.uint8) & 1) == 1] for x in (win, p, who, width))
+                    win, p, who, width, exact, bare, within = (x[(bits[k >> 3] >> (k & 7).astype(np.uint8) & 1) == 1] for x in (win, p, who, width, exact, bare, within))
                 hits: list[list] = [[] for _ in texts]
-                for w, i, o, size in zip(win.view(np.int64).tolist(), p.tolist(), who.tolist(), width.tolist(), strict=True):
-                    hits[o].append({"win": w, "at": i - int(begin[o]), "slots": t.slots(kinds, at, i, size)})
-                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(texts))), part.column(key), part.column("text_key"), pa.array(n), pa.array(hits, kind)], names=["row", key, "text_key", "n_windows", "hits"])
+                for w, i, o, size, few, same, alone in zip(win.view(np.int64).tolist(), p.tolist(), who.tolist(), width.tolist(), exact.tolist(), bare.tolist(), within.tolist(), strict=True):
+                    hits[o].append({"win": w, "at": i - int(begin[o]), "exact": few, "within": alone, "slots": [] if same else t.slots(inner if alone else kinds, at, i, size)})
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(texts))), part.column(key), part.column("text_key"), pa.array(n), pa.array(plain), pa.array(widest), pa.array(hits, kind)], names=["row", key, "text_key", "n_windows", "n_plain", "width", "hits"])
                 row += len(texts)
 
-    schema = f"row long, {key} long, text_key long, n_windows long, hits {HITS}"
+    schema = f"row long, {key} long, text_key long, n_windows long, n_plain long, width long, hits {HITS}"
     rows = rows.select(F.col(key).cast("long").alias(key), "text", F.xxhash64("text").alias("text_key"))
     return saved(rows.mapInArrow(tidy("decontaminate", run), schema), schema, f"windows-{key}")
 
@@ -203,19 +236,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Data
     spark = docs.sparkSession
     ship(spark)
     items = _windows(benchmark.where("item_id is not null"), "item_id")
-    own = items.select("row", "item_id", "n_windows", F.explode("hits").alias("h")).select(F.col("row").alias("item"), "item_id", "n_windows", F.col("h.win").alias("win"), F.col("h.at").alias("item_at"), F.col("h.slots").alias("item_slots"))
+    own = items.select("row", "item_id", "n_windows", "n_plain", F.explode("hits").alias("h")).select(F.col("row").alias("item"), "item_id", "n_windows", "n_plain", F.col("h.exact").alias("exact"), (F.col("h.exact") | F.col("h.within")).alias("extra"), F.col("h.win").alias("win"), F.col("h.at").alias("item_at"), F.col("h.slots").alias("item_slots"))
     place = F.col("win").bitwiseAND(BITS - 1) + 1
     found = own.groupBy(F.call_function("bitmap_bucket_number", place).alias("b")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", place)).alias("bits")).collect()
     bitmap = bytearray(BITS // 8)
     for r in found:  # BITS / 8 bytes whatever the benchmark's size
         bitmap[(r.b - 1) * 4096 : r.b * 4096] = r.bits
-    rows = _windows(docs, "doc_id", spark.sparkContext.broadcast(bytes(bitmap)))
+    widths = sorted({r.width for r in items.where("n_windows > 0").select("width").distinct().collect()})  # 1 to WINDOW
+    rows = _windows(docs, "doc_id", spark.sparkContext.broadcast(bytes(bitmap)), widths)
     hits = rows.select("row", F.explode("hits").alias("h")).select("row", F.col("h.win").alias("win"), F.col("h.at").alias("at"), F.col("h.slots").alias("slots"))
     both = hits.join(own, "win").withColumn("distance", F.col("at") - F.col("item_at"))
     line = ["row", "item", "distance"]
-    pairs = both.select(*line, F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("s"))
-    even = pairs.groupBy(*line).agg(F.count_distinct("s.item_slots", "s.slots").alias("pairs"), F.count_distinct("s.item_slots").alias("values"), F.coalesce(F.max(F.col("s.item_slots") != F.col("s.slots")), F.lit(False)).alias("changed")).where("pairs = values")
-    cover = both.join(even.select(*line, "changed"), line).groupBy("row", "item", "item_id").agg((F.count_distinct("item_at") / F.max("n_windows")).alias("coverage"), F.max("changed").alias("changed")).where(F.col("coverage") * 100 >= percent - 1e-9)
+    pairs = both.select(*line, "extra", F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("s"))
+    plain, some = ~F.col("extra"), F.col("s.item_slots").isNotNull()
+    differs = lambda use: F.coalesce(F.max(F.when(use, F.col("s.item_slots") != F.col("s.slots"))), F.lit(False))
+    even = lambda use: F.count_distinct(F.when(use & some, F.struct("s.item_slots", "s.slots"))) == F.count_distinct(F.when(use, F.col("s.item_slots")))
+    lines = pairs.groupBy(*line).agg(even(plain).alias("even"), differs(plain).alias("differs"), even(F.lit(True)).alias("all_even"), differs(F.lit(True)).alias("all_differ")).where("even or all_even")
+    share = lambda use, of: F.coalesce(F.count_distinct(F.when(use, F.col("item_at"))) / F.nullif(F.max(of), F.lit(0)), F.lit(0.0))
+    every = F.col("all_even")
+    cover = both.join(lines, line).groupBy("row", "item", "item_id").agg(share(F.col("even") & plain, "n_plain").alias("coverage"), F.coalesce(F.max(F.when(F.col("even") & plain, F.col("differs"))), F.lit(False)).alias("changed"), F.greatest(share(every, "n_windows"), share(every & ~F.col("exact"), "n_plain")).alias("wide"), F.coalesce(F.max(F.when(every, F.col("all_differ"))), F.lit(False)).alias("wide_changed"))
+    # what the windows with literals show by themselves stands; all windows speak for the items that these miss
+    enough = F.col("coverage") * 100 >= percent - 1e-9
+    cover = cover.select("row", "item", "item_id", F.when(enough, F.col("coverage")).otherwise(F.col("wide")).alias("coverage"), F.when(enough, F.col("changed")).otherwise(F.col("wide_changed")).alias("changed")).where(enough)
     best = cover.groupBy("row").agg(F.count_distinct("item_id").alias("n_items"), F.max_by(F.struct("item_id", "coverage", "changed"), F.struct("coverage", -F.col("item_id"))).alias("best"))
     out = rows.select("row", "doc_id", "text_key").join(best, "row", "left")
     return out.select("doc_id", F.col("best").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.col("best.item_id").alias("item_id"), F.round("best.coverage", 6).alias("coverage"), F.col("best.changed").alias("changed"), "text_key")

@@ -82,3 +82,23 @@ def test_parameters(spark):
     assert not any(flags[k][0] for k in (3, 4, 5, 6, 8, 9))
     assert dc.drop_leaks(d, b).columns == d.columns and dc.drop_leaks(d, b).count() == 6
     assert run(d.limit(0), b) == [] and not any(r[1] for r in run(d, b.limit(0)))
+
+
+def flagged(spark, docs, bench):
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    return {r.doc_id: r.item_id for r in dc.leaks(d, b).collect() if r.contaminated}
+
+
+def test_short_items(spark):
+    bench = [(1, "Who wrote Hamlet?"), (2, "Which river runs through old town?"), (3, "zebra")]
+    around = "we were asked {} and nobody could answer that at all"
+    docs = [(1, around.format(bench[0][1])), (2, around.format(bench[1][1])), (3, around.format("a zebra")), (4, around.format("Who wrote Faust?")), (5, around.format("nothing")), (6, "Who wrote Hamlet?"), (7, around.format("this. " + bench[1][1]))]
+    assert flagged(spark, docs, bench) == {1: 1, 2: 2, 3: 3, 6: 1, 7: 2}
+
+
+def test_few_literals(spark):
+    names, units = "The Old Red Lion And King George Inn", "10 km 20 kg 30 km 40 kg 50 km 60 kg"
+    mixed = "Give the sum for Anna Maria Clara Bella Donna Erika and then divide it by the number of people"
+    docs = [(1, f"they met at {names} by noon"), (2, f"listed are {units} in all"), (3, f"they met at {names.replace('Lion', 'Bear')} by noon"), (4, f"listed are {units.replace('30', '31')} in all"), (5, mixed.replace("Clara", "Carla"))]
+    got = flagged(spark, docs, [(1, names), (2, units), (3, mixed)])
+    assert got == {1: 1, 2: 2, 5: 3}
