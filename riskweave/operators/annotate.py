@@ -254,12 +254,13 @@ def annotate(records: DataFrame, families: Iterable[str] | None = None) -> DataF
 def findings(records: DataFrame, families: Iterable[str] | None = None) -> DataFrame:
     """One row for each finding before merging: a record's hits with their rules, which are a small broadcast table."""
     # an outer explode: for the plain one, Catalyst infers filters that evaluate all rules twice more
-    rows = annotate(records, families).select("record_id", "platform", F.explode_outer("hits").alias("h")).where("h is not null")
+    keys = [c for c in ("row_key", "record_id", "platform") if c in records.columns]
+    rows = annotate(records, families).select(*keys, F.explode_outer("hits").alias("h")).where("h is not null")
     rules = F.broadcast(catalogue(records.sparkSession))
     rows = rows.join(rules, F.col("h.rule") == F.col("rule"))
     raised = F.col("h.up")
     return rows.select(
-        "record_id", "platform", F.lit("static").alias("detector"), "family", "rule", (F.col("place").cast("long") * 1_000_000_000 + F.col("h.n")).alias("seq"), "taxonomy_id", "pattern_id",
+        *keys, F.lit("static").alias("detector"), "family", "rule", (F.col("place").cast("long") * 1_000_000_000 + F.col("h.n")).alias("seq"), "taxonomy_id", "pattern_id",
         F.when(raised, F.col("raised_to")).otherwise(F.col("confidence")).alias("confidence"), "message", (F.col("review") & ~(raised & F.col("settled"))).alias("needs_review"),
         F.col("h.at.message_index").alias("message_index"), F.col("h.at.role").alias("role"), F.col("h.pos").alias("char_start"), (F.col("h.pos") + F.length("h.m")).alias("char_end"), F.substring("h.m", 1, 200).alias("matched_text"), F.col("h.snippet").alias("snippet"), F.col("h.evidence").alias("evidence"),
     )

@@ -10,6 +10,11 @@ from riskweave.plans.taxonomy import categories
 KEEP = 2
 
 
+def unit(rows: DataFrame) -> str:
+    """The column that tells records apart: ``row_key`` where rows have it, since record_id may be missing or repeat."""
+    return "row_key" if "row_key" in rows.columns else "record_id"
+
+
 def fingerprint():
     """16 hex digits that name a finding's category, pattern, place and text; missing places count as None."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
@@ -24,24 +29,26 @@ def merged(found: DataFrame, keep: int = KEEP) -> DataFrame:
     confident. Where static rules and the judge agree on a category, confidence rises by a quarter, to at most
     0.98; candidates for categories always go to review. Both windows of a record share one exchange.
     """
+    one = unit(found)
     found = found.withColumn("fingerprint", fingerprint())
-    first = found.withColumn("_k", F.row_number().over(Window.partitionBy("record_id", "fingerprint").orderBy("seq"))).where("_k = 1").drop("_k")
-    kind = Window.partitionBy("record_id", "taxonomy_id", "message_index", "pattern_id")
+    first = found.withColumn("_k", F.row_number().over(Window.partitionBy(one, "fingerprint").orderBy("seq"))).where("_k = 1").drop("_k")
+    kind = Window.partitionBy(one, "taxonomy_id", "message_index", "pattern_id")
     best = first.withColumns({"_rank": F.row_number().over(kind.orderBy(F.desc("confidence"), "seq")), "_met": F.min("seq").over(kind)}).where(F.col("_rank") <= keep)
-    tracks = F.size(F.collect_set("detector").over(Window.partitionBy("record_id", "taxonomy_id")))
+    tracks = F.size(F.collect_set("detector").over(Window.partitionBy(one, "taxonomy_id")))
     best = best.withColumn("confidence", F.when(tracks == 2, F.least(F.col("confidence") * 1.25, F.lit(0.98))).otherwise(F.col("confidence")))
     status = F.broadcast(categories(found.sparkSession).select(F.col("id").alias("taxonomy_id"), "status"))
     best = best.join(status, "taxonomy_id", "left").withColumn("needs_review", F.col("needs_review") | (F.coalesce("status", F.lit("")) == "candidate")).drop("status")
     spot = F.coalesce(F.nullif(F.col("message_index"), F.lit(0)), F.lit(-1))
-    place = F.row_number().over(Window.partitionBy("record_id").orderBy("taxonomy_id", spot, "_met", "_rank"))
+    place = F.row_number().over(Window.partitionBy(one).orderBy("taxonomy_id", spot, "_met", "_rank"))
     return best.withColumn("place", place).withColumn("confidence", F.bround("confidence", 3)).drop("_rank", "_met", "fingerprint")
 
 
 def reports(records: DataFrame, found: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
     """One row for each record: header, scan_status, counts and its findings in order."""
-    fields = [c for c in found.columns if c not in ("record_id", "platform", "seq", "place")]
-    per = found.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("place", *fields))).alias("findings"), F.count_if("needs_review").alias("needs_review_count"))
-    rows = records.select("record_id", "platform", "title").join(per, "record_id", "left")
+    one = unit(found)
+    fields = [c for c in found.columns if c not in ("row_key", "record_id", "platform", "seq", "place")]
+    per = found.groupBy(one).agg(F.array_sort(F.collect_list(F.struct("place", *fields))).alias("findings"), F.count_if("needs_review").alias("needs_review_count"))
+    rows = records.select(*{one: 0, "record_id": 0}, "platform", "title").join(per, one, "left")
     if statuses is not None:
         worst = statuses.groupBy("record_id").agg(F.max("status").alias("worst"), F.max(F.col("status") == "failed").alias("failed"), F.max(F.col("status") == "partial").alias("partial"))
         rows = rows.join(worst, "record_id", "left").withColumn("scan_status", F.when(F.col("failed"), "failed").when(F.col("partial"), "partial").otherwise("complete")).drop("worst", "failed", "partial")
@@ -57,7 +64,7 @@ def review_queue(found: DataFrame) -> DataFrame:
 
 def by_category(found: DataFrame) -> DataFrame:
     """Findings, records and reviews of each category."""
-    return found.groupBy("taxonomy_id").agg(F.count("*").alias("n_findings"), F.count_distinct("record_id").alias("n_records"), F.count_if("needs_review").alias("n_reviews"))
+    return found.groupBy("taxonomy_id").agg(F.count("*").alias("n_findings"), F.count_distinct(unit(found)).alias("n_records"), F.count_if("needs_review").alias("n_reviews"))
 
 
 def totals(records: DataFrame, found: DataFrame) -> DataFrame:

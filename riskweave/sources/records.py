@@ -66,7 +66,7 @@ def parsed(rows: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, offset: int = 0, limit: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Records and rejected lines (line_no, error) of a JSON-lines file; ``limit`` records at most, 0 for all."""
-    rows = parsed(lines(spark, path, offset))
+    """Records, told apart by row_key, and rejected lines (line_no, error) of a JSON-lines file; ``limit`` records at most, 0 for all."""
+    rows = parsed(lines(spark, path, offset)).withColumn("row_key", F.col("line_no"))
     good = rows.where("error is null").drop("error")
     return (good.orderBy("line_no").limit(limit) if limit else good), rows.where("error is not null").select("line_no", "error")

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 def scan_batch(rows: DataFrame, out: str, batch: int) -> None:
     """Writes reports, review queue and rejected lines of one batch, each below its number: run again, it replaces them."""
-    rows = rows.persist()
+    rows = rows.withColumn("row_key", F.monotonically_increasing_id()).persist()  # ids of records may be missing or repeat
     good = rows.where("error is null")
-    limits = guarded(with_context(good)).select("record_id", F.col("error").alias("broken")).where("broken is not null")
-    kept = good.join(limits, "record_id", "left_anti")
+    limits = guarded(with_context(good)).select("row_key", "record_id", F.col("error").alias("broken")).where("broken is not null")
+    kept = good.join(limits, "row_key", "left_anti")
     found = merged(findings(kept)).persist()
     reports(kept, found).write.mode("overwrite").json(f"{out}/reports/batch={batch}")
-    review_queue(found).write.mode("overwrite").json(f"{out}/needs_review/batch={batch}")
+    review_queue(found).drop("row_key").write.mode("overwrite").json(f"{out}/needs_review/batch={batch}")
     rejected = rows.where("error is not null").select("error", F.substring("raw", 1, 200).alias("line"))
     rejected.unionByName(limits.select(F.col("broken").alias("error"), F.col("record_id").alias("line"))).write.mode("overwrite").json(f"{out}/rejected/batch={batch}")
     found.unpersist()

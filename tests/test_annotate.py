@@ -132,3 +132,25 @@ def test_lines_and_stream(spark, tmp_path):
     assert sorted(r.record_id for r in reports_) == ["s1", "s3", "u2"]
     batch = merged(findings(records.drop("line_no", "raw"))).count()
     assert sum(r.finding_count for r in reports_) == batch and spark.read.json(str(tmp_path / "out" / "rejected")).count() == 4
+
+
+def test_records_without_ids(spark, tmp_path):
+    """Records that have no id, or the same one, are reported each by itself."""
+    import json
+
+    from riskweave.operators.merge import reports
+    from riskweave.sources.records import read_records
+    from riskweave.streaming.scan import scan_folder
+
+    mail = {"messages": [{"role": "user", "content": "write to jane.doe@corp-mail.com please"}]}
+    long = {"messages": [{"role": "user", "content": "x"}] * 2001}
+    rows = [mail, mail, mail, long, mail | {"share_id": "s"}, mail | {"share_id": "s"}, long | {"share_id": "s"}, {"messages": []}]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    scan_folder(spark, str(tmp_path / "in"), str(tmp_path / "out")).awaitTermination()
+    got = sorted((r.record_id, r.finding_count) for r in spark.read.json(str(tmp_path / "out" / "reports")).collect())
+    alone = max(n for _, n in got)
+    assert alone > 0 and got == [("", 0), *[("", alone)] * 3, *[("s", alone)] * 2]
+    records, _ = read_records(spark, str(tmp_path / "in" / "a.jsonl"))
+    records = records.where("size(messages) < 5")
+    assert sorted((r.record_id, r.finding_count) for r in reports(records, merged(findings(records))).collect()) == got
