@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import hashlib
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -102,15 +103,20 @@ def texts(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 2
             yield part, [t or "" for t in part.column(column).to_pylist()]
 
 
+#: Ranges of ids at most; beyond, ranges grow. Bounds are numbers in the plan, found by two short searches a row.
+MOST_RANGES = 1 << 14
+
+
 def id_bounds(docs: DataFrame, parts: int) -> list[int]:
     """At most ``parts - 1`` ascending doc_ids that cut the rows into ranges of about equal numbers.
 
-    Only the ids are read; the driver receives one number for each range.
+    Only the ids are read; the driver receives one number for each range, of ``MOST_RANGES`` at most.
     """
+    parts = min(parts, MOST_RANGES)
     if parts < 2:
         return []
-    at = [k / parts for k in range(1, parts)]
-    got = docs.where(F.col("doc_id").isNotNull()).select(F.percentile_approx("doc_id", F.array(*map(F.lit, at)), F.lit(20 * parts))).first()[0]
+    at = ", ".join(f"{k / parts!r}d" for k in range(1, parts))
+    got = docs.where(F.col("doc_id").isNotNull()).select(F.expr(f"percentile_approx(doc_id, array({at}), {20 * parts})")).first()[0]
     return sorted(set(got or []))
 
 
@@ -118,7 +124,24 @@ def range_of(bounds: list[int]):
     """Column: the number of bounds that are not above doc_id; a null doc_id comes first."""
     if not bounds:
         return F.lit(0)
-    return F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id"))))
+    step = isqrt(len(bounds)) + 1
+    groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    listed = lambda xs: f"array({', '.join(f'cast({x} as long)' for x in xs)})"
+    upto = lambda xs: f"size(filter({xs}, b -> b <= doc_id))"
+    group = upto(listed([g[0] for g in groups]))
+    within = upto(f"get(array({', '.join(map(listed, groups))}), {group} - 1)")
+    return F.expr(f"case when doc_id is null or doc_id < {bounds[0]} then 0 else ({group} - 1) * {step} + {within} end")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that the table does not have in any case, for columns of our own beside a caller's."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

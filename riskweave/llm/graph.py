@@ -17,6 +17,14 @@ def saved(df: DataFrame, schema: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes what ``saved`` wrote, once nothing that is still to run reads it."""
+    for t in tables:
+        for d in {f.rpartition("/")[0] for f in t.inputFiles()} if t is not None else ():
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(d)
+            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _least(both: DataFrame) -> DataFrame:
     return both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
@@ -32,15 +40,19 @@ def components(edges: DataFrame, most: int = 64) -> DataFrame:
     for _ in range(most):
         # large star: a node's larger neighbours move to its least neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        e = both.join(_least(both), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(_least(both), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours move to the least of them
-        pairs = e.join(_least(e), "u")
-        e = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(pairs.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = saved(e, EDGE, "edges")
+        pairs = large.join(_least(large), "u")
+        small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(pairs.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        last, e = e, saved(small, EDGE, "edges")
+        forget(last)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND((1 << 40) - 1))).first())
         if now == before:
             break
         before = now
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    labels = e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    labels = saved(labels, "node long, label long", "labels")
+    forget(e)
+    return labels

@@ -6,13 +6,22 @@ sequence of bins (optimal densification), so every bin samples the set by itself
 ROWS bins make a band; documents that agree on a band share a bucket. At a similarity of 0.8, four rows and
 26 bands miss a pair with a probability of (1 - 0.8**4)**26, about one in a million.
 
-Equal sets are one node. A bucket's nodes are compared with one centre, a star: as many pairs as nodes.
-The centre is the node that
-meets most others in all its buckets, as the original of many copies does. Pairs whose sizes allow the similarity are confirmed on their full sets, and components formed. Where a
-bucket still holds several components, what the star left open follows: buckets of up to ``SMALL`` nodes
-compare the pairs across components, larger ones take four times as many centres in each round and the rest
-as members, until no bucket has an open pair. So no link within a bucket is lost, and a row emits a bounded
-number of pairs a round.
+Equal sets are one node. A bucket's nodes are compared with one centre, a star: as many pairs as nodes. The
+centre is the node that meets most others in all its buckets, as the original of many copies does. Pairs
+whose sizes allow the similarity are confirmed on their full sets, and components formed.
+
+A star does not link two members that are like each other but not like the centre. So ``LEVELS`` finer
+levels follow, all in one pass. Level k has one bucket for each run of k + 1 neighbouring bands, 26 a node, which
+only documents share that agree on all of them; buckets whose nodes are in one component already are left out.
+Two centres are drawn in each: a bucket's components are ordered by a hash of component and bucket, and the
+first and the last one send their node with most company, so that small components come up as often as
+large ones. Each member of another component is compared with them. All levels emit at most
+26 * (2 * LEVELS + 1) pairs a node, however large a group of copies is.
+
+What the levels may still leave apart is a node that is like some members of a large group, but neither like
+a centre nor a centre itself in any bucket that they share. ``small`` is the way to be sure: buckets of up
+to so many nodes compare all pairs across components at the end (bounded by small / 2 pairs a member), and
+None compares them in all buckets, which loses nothing but grows with the square of a group that stays open.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked with nothing; a
 text with fewer words than a shingle is one shingle; a null doc_id is linked with nothing, its component_id
@@ -33,10 +42,10 @@ from pyspark.sql import functions as F
 
 from riskweave.session import ship
 
-from .common import WordHash, kept, mix64, shingles, tidy, words
-from .graph import components, saved
+from .common import WordHash, kept, mix64, shingles, tidy, unused, words
+from .graph import EDGE, components, forget, saved
 
-BANDS, ROWS, SMALL = 26, 4, 16
+BANDS, ROWS, LEVELS = 26, 4, 3
 #: Documents in candidate pairs, up to which their ids are broadcast to fetch their texts; beyond, a shuffle join does it.
 BROADCAST_IDS = 2_000_000
 SIGNATURES = "doc_id long, text_key long, n_shingles long, node long, bands array<long>"
@@ -100,10 +109,9 @@ def signatures(docs: DataFrame, n: int, n_bands: int = BANDS, rows: int = ROWS)
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(tidy("minhash", run), SIGNATURES)
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose full sets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node").select("doc_id").distinct()
-    ids = saved(ids, "doc_id long", "pair-docs")
+def _item_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """node and items, its full set of shingle hashes, of ``nodes`` (node, doc_id)."""
+    ids = saved(nodes.select("doc_id").distinct(), "doc_id long", "pair-docs")
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,13 +121,54 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, perc
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "items"])
 
     schema = "node long, items array<long>"
-    items = saved(texts.mapInArrow(tidy("minhash", run), schema).dropDuplicates(["node"]), schema, "pair-sets")
+    out = saved(texts.mapInArrow(tidy("minhash", run), schema).dropDuplicates(["node"]), schema, "pair-sets")
+    forget(ids)
+    return out
+
+
+def _confirmed(items: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose full sets reach the similarity."""
+    need = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    items = items.join(F.broadcast(need) if need.count() <= BROADCAST_IDS else need, "node", "left_semi")
     both = pairs.join(items.withColumnsRenamed({"node": "u", "items": "a"}), "u").join(items.withColumnsRenamed({"node": "v", "items": "b"}), "v")
     common = F.size(F.array_intersect("a", "b")).cast("long")
     return both.withColumn("common", common).where(F.col("common") * 100 >= percent * (F.size("a") + F.size("b") - F.col("common"))).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, n_bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
+def _buckets(nodes: DataFrame, n_bands: int, levels: range, labels: DataFrame | None) -> DataFrame:
+    """key, node, n, label and members of the buckets of some levels that hold more than one component."""
+    keys = [f"transform(sequence(0, {n_bands - 1}), i -> xxhash64({level}, {', '.join(f'bands[(i + {j}) % {n_bands}]' for j in range(level + 1))}))" for level in levels]
+    each = nodes.select("node", "n", F.explode(F.expr(f"concat({', '.join(keys)})")).alias("key"))
+    each = each.withColumn("label", F.col("node")) if labels is None else each.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    size = each.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    return saved(each.join(size.select("key", "members"), "key").select("key", "node", "n", "label", "members"), "key long, node long, n long, label long, members long", "buckets")
+
+
+def _stars(buckets: DataFrame, two: bool, percent: int) -> DataFrame:
+    """Candidate pairs (u, v): each member with the centre of its bucket, or with two centres."""
+    # a node's company: the members of all its buckets; the original of many copies has most of it
+    company = buckets.groupBy("node").agg(F.sum("members").alias("company"))
+    b = buckets.join(company, "node")
+    member, turn = F.struct("node", "n", "label"), F.xxhash64("label", "key")
+    if two:
+        ends = F.array(F.max_by(member, F.struct(turn, "company", "node")), F.min_by(member, F.struct(turn, -F.col("company"), "node")))
+    else:
+        ends = F.array(F.max_by(member, F.struct("company", "node")))
+    heads = b.groupBy("key").agg(ends.alias("heads")).select("key", F.explode("heads").alias("h"))
+    fits = 100 * F.least("n", "h.n") >= percent * F.greatest("n", "h.n")  # sizes alone allow the similarity
+    pairs = buckets.join(heads, "key").where((F.col("label") != F.col("h.label")) & fits)
+    return pairs.select(F.least("node", "h.node").alias("u"), F.greatest("node", "h.node").alias("v")).distinct()
+
+
+def _rest(buckets: DataFrame, small: int | None, percent: int) -> DataFrame:
+    """All pairs (u, v) across components in buckets of up to ``small`` nodes, or in all."""
+    b = buckets if small is None else buckets.where(F.col("members") <= small)
+    other = b.select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "label")))
+    fits = 100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n")
+    return b.join(other, "key").where((F.col("node") < F.col("o_node")) & (F.col("label") != F.col("o_label")) & fits).select(F.col("node").alias("u"), F.col("o_node").alias("v")).distinct()
+
+
+def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, n_bands: int = BANDS, rows: int = ROWS, small: int | None = 1, levels: int = LEVELS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and text_key (xxhash64 of the text) of each row.
 
     Rows are linked if their sets of ``n``-word shingles have 100 * intersection >= ``percent`` * union.
@@ -129,54 +178,30 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, n_bands: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows_ = saved(signatures(docs, n, n_bands, rows), SIGNATURES, "signatures")
     linked = rows_.where("node is not null and doc_id is not null")
-    nodes = saved(linked.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n")), "node long, doc_id long, n long", "nodes")
-    # one row for each node and band; buckets with one node only go at once
-    every = linked.dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    schema = "band long, node long, n long"
-    shared = every.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
-    buckets = saved(every.join(shared, "band", "left_semi").select("band", "node", "n"), schema, "buckets")
-    found = labels = tried = None
-    centres = 1
-    while True:
-        if labels is not None:
-            b = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            open_ = b.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-            b = b.join(open_, "band", "left_semi")
-        else:
-            b = buckets.withColumn("label", F.col("node"))
-        size = b.groupBy("band").agg(F.count("*").alias("members"))
-        # a node's company: the members of all its buckets; the original of many copies has most of it
-        company = b.join(size, "band").groupBy("node").agg(F.sum("members").alias("company"))
-        b = saved(b.join(size, "band").join(company, "node").select("band", "node", "n", "label", "members", "company"), schema + ", label long, members long, company long", "open")
-        if not b.take(1):
-            break
-        # centres: of each of ``centres`` slots of a bucket's nodes, the one with most company
-        slot = F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(centres))
-        whole = b.where(F.col("members") <= small) if labels is not None else None
-        stars = b.where(F.col("members") > small) if labels is not None else b
-        heads = stars.groupBy("band", slot.alias("slot")).agg(F.max_by("node", "company").alias("head")).select("band", "head")
-        heads = saved(heads.join(stars.select("band", F.col("node").alias("head"), F.col("n").alias("hn"), F.col("label").alias("hl")), ["band", "head"]), "band long, head long, hn long, hl long", "heads")
-        fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  sizes alone allow the similarity
-        pairs = stars.join(heads, "band").where((F.col("label") != F.col("hl")) & fits(F.col("n"), F.col("hn"))).select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v"))
-        if whole is not None:
-            other = whole.select("band", F.col("node").alias("head"), F.col("n").alias("hn"), F.col("label").alias("hl"))
-            pairs = pairs.unionByName(whole.join(other, "band").where((F.col("node") < F.col("head")) & (F.col("label") != F.col("hl")) & fits(F.col("n"), F.col("hn"))).select(F.col("node").alias("u"), F.col("head").alias("v")))
-        pairs = pairs.distinct()
-        if tried is not None:  # two nodes may meet in several buckets, in different rounds
+    nodes = saved(linked.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands")), "node long, doc_id long, n long, bands array<long>", "nodes")
+    # nodes that share a bucket with another one; the others are done
+    each = nodes.select("node", F.explode("bands").alias("band"))
+    shared = each.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("band")
+    meet = each.join(shared, "band", "left_semi").select("node").distinct()
+    active = saved(nodes.join(meet, "node", "left_semi"), "node long, doc_id long, n long, bands array<long>", "active")
+    items = _item_sets(docs, active, n)
+    labels = found = tried = None
+    for step in ("first", "finer", "rest"):
+        if step == "rest" and small == 1 or step == "finer" and not levels:
+            continue
+        buckets = _buckets(active, n_bands, range(1, levels + 1) if step == "finer" else range(1), labels)
+        pairs = _rest(buckets, small, percent) if step == "rest" else _stars(buckets, step == "finer", percent)
+        if tried is not None:  # two nodes may meet in several buckets, at different levels
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = saved(pairs, "u long, v long", "pairs")
+        pairs = saved(pairs, EDGE, "pairs")
+        good = saved(_confirmed(items, pairs, percent), EDGE, "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if pairs.take(1):
-            good = _confirmed(docs, nodes, pairs, n, percent)
-            found = saved(good if labels is None else good.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))), "u long, v long", "links")
-            labels = saved(components(found), "node long, label long", "labels")
-        elif labels is None:
-            labels = spark.createDataFrame([], "node long, label long")
-        # a centre has met all members of its bucket, a small bucket is done
-        buckets = stars.join(heads.select("band", F.col("head").alias("node")), ["band", "node"], "left_anti").select("band", "node", "n")
-        if len(heads.take(1)) == 0:
-            break
-        centres *= 4
+        found = good if found is None else found.unionByName(good)
+        if good.take(1):
+            before, labels = labels, components(found)
+            forget(before)
+        forget(buckets)
+    forget(active, items)
     if labels is None:
         labels = spark.createDataFrame([], "node long, label long")
     group = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
@@ -189,16 +214,17 @@ def near_duplicates(docs: DataFrame, n: int = 2, percent: int = 80, n_bands: int
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, whole, one of each group of near-duplicates: that of its least doc_id, and one of equal rows."""
     found = saved(near_duplicates(docs, n, percent).select("doc_id", "text_key", "kept"), "doc_id long, text_key long, kept boolean", "kept")
+    own_id, own_key = unused(docs, "id", "key")
     id_, key = F.col("doc_id").cast("long"), F.xxhash64("text")
 
     def rows_in(part: DataFrame, how: str) -> DataFrame:
-        part = part.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+        part = part.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)).distinct()
         part = F.broadcast(part) if part.count() <= BROADCAST_IDS else part
-        return docs.join(part, (id_ == F.col("_id")) & (key == F.col("_key")), how)
+        return docs.join(part, (id_ == F.col(own_id)) & (key == F.col(own_key)), how)
 
     lost = found.where("not kept")
     again = found.where("kept and doc_id is not null").groupBy("doc_id", "text_key").count().where("count > 1")
     if not again.take(1):
         return rows_in(lost, "left_anti")
-    once = rows_in(again, "left_semi").withColumns({"_id": id_, "_key": key}).dropDuplicates(["_id", "_key"]).drop("_id", "_key")
+    once = rows_in(again, "left_semi").withColumns({own_id: id_, own_key: key}).dropDuplicates([own_id, own_key]).drop(own_id, own_key)
     return rows_in(lost.select("doc_id", "text_key").unionByName(again.select("doc_id", "text_key")), "left_anti").unionByName(once)
