@@ -21,8 +21,12 @@ no rows; a single source has weight 1 and one pass.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .graph import saved
 
@@ -81,44 +85,56 @@ def weights(docs: DataFrame, entropy: float = 0.9, repetition: float = 4.0) -> t
     return stats.select("source", "tokens", (power / F.lit(z)).alias("weight"), F.round(F.lit(most) * power).cast("long").alias("quota")), a
 
 
-def mixed(docs: DataFrame, entropy: float = 0.9, repetition: float = 4.0) -> DataFrame:
-    """The rows of ``docs`` once for each copy, with ``_block`` (0, 1, ...) and ``_place`` in [0, 1)."""
+def copies(docs: DataFrame, keep: list[str], entropy: float = 0.9, repetition: float = 4.0) -> DataFrame:
+    """Each copy of a row: ``r`` (a struct of its columns ``keep``), ``block`` (0, 1, ...) and ``place`` in [0, 1).
+
+    The caller's columns travel inside ``r``, so no name of theirs meets one of ours. Of rows equal in doc_id,
+    text and source, those first by their other columns get the extra copy.
+    """
     by, _ = weights(docs, entropy, repetition)
-    by = saved(by, "source string, tokens long, weight double, quota long", "weights").withColumns({"_full": F.expr("quota div tokens"), "_rest": F.expr("quota % tokens"), "_passes": F.col("quota") / F.col("tokens")})
-    ids = docs.select("doc_id", "source", tokens(F.col("text")).alias("_n"), F.xxhash64("text").alias("_key"))
-    of = by.select(F.col("source").alias("_source"), "_full", "_rest", "_passes")
-    ids = ids.join(of, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_u", unit(F.col("doc_id"), F.col("_full"))).withColumn("_slice", F.floor(F.col("_u") * SLICES).cast("int"))
-    schema = "doc_id long, source string, _n long, _key long, _full long, _rest long, _passes double, _u double, _slice int"
-    ids = saved(ids.withColumn("doc_id", F.col("doc_id").cast("long")).select(*(c.split()[0] for c in schema.split(", "))), schema, "copies")
-    part = ids.where("_rest > 0")
-    before = part.groupBy("source", "_slice").agg(F.sum("_n").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("source").alias("_s"), F.col("_slice").alias("_l"), "_before")
-    part = part.join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_l"))).withColumn("_to", F.col("_before") + F.sum("_n").over(Window.partitionBy("source", "_slice").orderBy("_u", "doc_id", "_key").rowsBetween(Window.unboundedPreceding, 0)))
-    last = part.where("_to <= _rest").select("doc_id", "_key", "source").groupBy("doc_id", "_key", "source").agg(F.count("*").alias("_extra"))
+    by = saved(by, "source string, tokens long, weight double, quota long", "weights")
+    of = by.select(F.col("source").alias("of_source"), F.expr("quota div tokens").alias("full"), F.expr("quota % tokens").alias("rest"), (F.col("quota") / F.col("tokens")).alias("passes"))
+    own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("key")]
+    same = lambda *pairs: reduce(and_, (F.col(x).eqNullSafe(F.col(y)) for x, y in pairs))
+    ids = docs.select(*own, tokens(F.col("text")).alias("n")).join(of, same(("source", "of_source"))).drop("of_source")
+    ids = ids.withColumn("u", unit(F.col("doc_id"), F.col("full"))).withColumn("slice", F.floor(F.col("u") * SLICES).cast("int"))
+    schema = "doc_id long, source string, key long, n long, full long, rest long, passes double, u double, slice int"
+    ids = saved(ids.select(*(c.split()[0] for c in schema.split(", "))), schema, "copies")
+    part = ids.where("rest > 0")
+    earlier = Window.partitionBy("of_source").orderBy("of_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = part.groupBy(F.col("source").alias("of_source"), F.col("slice").alias("of_slice")).agg(F.sum("n").alias("m")).select("of_source", "of_slice", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before"))
+    upto = Window.partitionBy("source", "slice").orderBy("u", "doc_id", "key").rowsBetween(Window.unboundedPreceding, 0)
+    part = part.join(before, same(("source", "of_source"), ("slice", "of_slice"))).withColumn("upto", F.col("before") + F.sum("n").over(upto))
     # a document is found again by its id and its text's hash; equal rows share their extra copies in turn
-    extra = last.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), F.col("source").alias("_s"), "_extra")
-    rows = docs.withColumn("_key", F.xxhash64("text")).join(of, F.col("source").eqNullSafe(F.col("_source")))
-    rows = rows.join(extra, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")), "left")
-    again = ids.groupBy("doc_id", "_key", "source").agg(F.count("*").alias("_times")).where("_times > 1").select(F.col("doc_id").alias("_d2"), F.col("_key").alias("_k2"), F.col("source").alias("_s2"), "_times")
-    copies = F.col("_full") + F.when(F.coalesce("_extra", F.lit(0)) > 0, 1).otherwise(0)
+    extra = part.where("upto <= rest").groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("source").alias("s")).agg(F.count("*").alias("extra"))
+    rows = docs.select(F.struct(*keep).alias("r"), *own).join(of, same(("source", "of_source")))
+    rows = rows.join(extra, same(("doc_id", "d"), ("key", "k"), ("source", "s")), "left").drop("d", "k", "s")
+    again = ids.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("source").alias("s")).agg(F.count("*").alias("times")).where("times > 1")
     if again.take(1):
-        rows = rows.join(again, F.col("doc_id").cast("long").eqNullSafe(F.col("_d2")) & (F.col("_key") == F.col("_k2")) & F.col("source").eqNullSafe(F.col("_s2")), "left")
-        turn = F.row_number().over(Window.partitionBy("_d2", "_k2", "_s2").orderBy(F.lit(1)))
-        rows = rows.withColumn("_copies", copies).where("_times is null").unionByName(rows.where("_times is not null").withColumn("_copies", F.col("_full") + F.when(turn <= F.coalesce("_extra", F.lit(0)), 1).otherwise(0)))
-    else:
-        rows = rows.withColumn("_copies", copies)
-    rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
-    return rows.withColumn("_place", (F.col("_block") + unit(F.col("doc_id"), F.col("_block"))) / F.greatest("_passes", F.lit(1.0))).select(*docs.columns, "_block", "_place")
+        rows = rows.join(again, same(("doc_id", "d"), ("key", "k"), ("source", "s")), "left")
+        others = [F.col(f"r.`{c}`") for c in keep if not isinstance(docs.schema[c].dataType, MapType)]
+        turn = F.row_number().over(Window.partitionBy("d", "k", "s").orderBy(*others))
+        single, several = rows.where("times is null"), rows.where("times is not null").withColumn("extra", F.when(turn <= F.coalesce("extra", F.lit(0)), 1).otherwise(0))
+        rows = single.unionByName(several)
+    blocks = F.sequence(F.lit(0).cast("long"), F.col("full") - F.when(F.coalesce("extra", F.lit(0)) > 0, 0).otherwise(1))
+    rows = rows.select("r", "doc_id", "passes", F.explode(blocks).alias("block"))
+    return rows.select("r", "block", ((F.col("block") + unit(F.col("doc_id"), F.col("block"))) / F.greatest("passes", F.lit(1.0))).alias("place"))
+
+
+def mixed(docs: DataFrame, entropy: float = 0.9, repetition: float = 4.0) -> DataFrame:
+    """The rows of ``docs`` once for each copy, with ``_block`` (0, 1, ...) and ``_place`` in [0, 1) behind their columns."""
+    return copies(docs, docs.columns, entropy, repetition).select("r.*", F.col("block").alias("_block"), F.col("place").alias("_place"))
 
 
 def mix(docs: DataFrame, entropy: float = 0.9, repetition: float = 4.0) -> DataFrame:
     """The rows of ``docs``, whole, once for each copy that the target weights ask for."""
-    return mixed(docs, entropy, repetition).drop("_block", "_place")
+    return copies(docs, docs.columns, entropy, repetition).select("r.*")
 
 
 def plan(docs: DataFrame, entropy: float = 0.9, repetition: float = 4.0) -> DataFrame:
     """doc_id, source, block and place (9 decimals) of every copy."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    return mixed(rows, entropy, repetition).select("doc_id", "source", F.col("_block").alias("block"), F.round("_place", 9).alias("place"))
+    return copies(rows, ["doc_id", "source"], entropy, repetition).select("r.doc_id", "r.source", "block", F.round("place", 9).alias("place"))
 
 
 #: The same rows in DuckDB: bisection by a recursive query over the list of shares.

@@ -55,3 +55,14 @@ def test_edges(spark):
     assert mixing.mix(one).count() == one.count()
     clash = docs.selectExpr("*", "1 tokens", "2 weight", "3 quota", "4 block")
     assert mixing.mix(clash).columns == clash.columns
+
+
+def test_own_columns_stay(spark):
+    """Columns with any name come back as they were, and of equal rows the same ones get the extra copy each time."""
+    rows = [(i, f"w{i} " * (3 + i % 5), "hot", i % 3) for i in range(300)] + [(1000, "again again", "s", k) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang int")
+    clash = docs.selectExpr("*", "lang _key", "lang r", "lang block", "lang place", "lang passes", "lang u", "map('a', lang) extra", "lang `full`", "lang of_source")
+    first = sorted(tuple(r)[:13] for r in mixing.mix(clash, 0.999, 3.0).drop("extra").collect())
+    assert mixing.mix(clash).columns == clash.columns and all(len(set(r[3:])) == 1 for r in first)
+    again = sorted(tuple(r)[:13] for r in mixing.mix(clash.repartition(7), 0.999, 3.0).drop("extra").collect())
+    assert first == again and len(first) > len(rows)
