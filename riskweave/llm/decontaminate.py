@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from riskweave.session import ship
 
-from .common import kept, mix64, tidy
+from .common import kept, mix64, tidy, unused
 from .graph import saved
 
 WINDOW, PERCENT, BITS = 5, 80, 1 << 24
@@ -266,6 +266,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Data
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, whole, into which no benchmark item leaks."""
     bad = saved(leaks(docs, benchmark, percent).where("contaminated").select("doc_id", "text_key").distinct(), "doc_id long, text_key long", "leaks")
-    bad = bad.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    own_id, own_key = unused(docs, "id", "key")
+    bad = bad.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key))
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_key)), "left_anti")
