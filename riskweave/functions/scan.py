@@ -1,0 +1,108 @@
+"""One pass over a text for many rules: each rule's matches with their positions, as one Arrow UDF.
+
+A rule is tried only on texts that hold one of its pieces (``rules.NEEDS``), and some only after a cheap test
+that all its matches pass. The patterns are those of the catalogue, in the notation of Python's ``re``.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+from functools import cache
+from itertools import islice
+from operator import eq
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from riskweave.plans import rules as R
+
+RAW = "array<struct<rule:string,n:int,pos:int,m:string>>"
+#: Patterns that are only counted or located, not rules by themselves: name, pattern, pieces.
+HELPERS = {
+    "#authority": (R.AUTHORITY, ["根据", "来源", "according to", "based on", "权威", "官方", "exclusive", "内幕", "insider"]),
+    "#cites": (R.CITES, ["["]), "#promo": (R.PROMO, [R.HAN, "promo code", "coupon", "best ", "discount", "limited time offer", "buy now", "order now", "click here"]),
+    "#install": (R.INSTALL, ["install", "add", "npm"]), "#social": (R.SOCIAL, ["install", "add", "npm"]),  # these words matter beside install commands only
+}
+_FOLDED = str.maketrans("ſı", "si")  # the letters that case folding brings to s and i
+_HAN = re.compile("[⺀-鿿]")
+_RUN, _DIGITS = 500, re.compile(r"\d{11}")
+
+
+def _same_run(text: str, _: str) -> bool:
+    """A run of twice ``_RUN`` equal characters holds a whole block of ``_RUN`` from a multiple of it on."""
+    return any(text[i] * _RUN == text[i : i + _RUN] for i in range(0, len(text) - _RUN + 1, _RUN))
+
+
+def _same_words(_: str, low: str) -> bool:
+    """A word that follows itself 29 times is 28 equal neighbours, the first and last perhaps joined to other signs."""
+    w, run = low.split(), 0
+    for same in map(eq, w, islice(w, 1, None)):
+        run = run + 1 if same else 0
+        if run >= 27:
+            return True
+    return False
+
+
+def _long_digits(text: str, _: str) -> bool:
+    return _DIGITS.search(text) is not None
+
+
+def _long_words(least: int) -> Callable[[str, str], bool]:
+    return lambda text, _: len(text) >= least and max(map(len, text.split()), default=0) >= least
+
+
+#: Tests that a text with a match of the rule passes, given the text and its lower-cased form.
+GATES: dict[str, Callable[[str, str], bool]] = {
+    "B-6": _same_words, "B-7": _same_run, "P-2": _long_digits, "P-4": _long_digits, "P-6": _long_digits,
+    "P-16": _long_words(40), "B-13": _long_words(40), "B-14": _long_words(60),
+}
+
+
+@cache
+def _plan(names: tuple[str, ...]) -> list[tuple]:
+    """(name, pattern, pieces, whether Chinese characters will do, gate, cap) of each rule; compiled once in a Python process."""
+    out = []
+    for name in names:
+        if name in HELPERS:
+            regex, needs, flags, cap = *HELPERS[name], "i", 0
+        else:
+            r = R.BY_ID[name]
+            regex, needs, flags, cap = r.regex, R.NEEDS.get(name, []), r.flags, r.cap
+        pattern = re.compile(regex, sum({"i": re.I, "m": re.M, "s": re.S}[f] for f in flags))
+        out.append((name, pattern, [x for x in needs if x != R.HAN], R.HAN in needs, GATES.get(name), cap or None))
+    return out
+
+
+def scan(text: str, names: tuple[str, ...]) -> list[tuple[str, int, int, str]]:
+    """(rule, number within the rule, position, match) of all matches, at most the rule's first ``cap``.
+
+    A rule that fails on a text gives no matches but ``!`` and its name, with the error in place of a match.
+    """
+    low, out = text.lower().translate(_FOLDED), []
+    han, seen = _HAN.search(text) is not None, {}
+
+    def held(piece: str) -> bool:
+        if piece not in seen:
+            seen[piece] = piece in low
+        return seen[piece]
+
+    for name, pattern, needs, by_han, gate, cap in _plan(names):
+        try:
+            if (needs or by_han) and not (by_han and han or any(map(held, needs))) or gate is not None and not gate(text, low):
+                continue
+            out += [(name, n, m.start(), m[0]) for n, m in enumerate(islice(pattern.finditer(text), cap))]
+        except Exception as e:  # noqa: BLE001  a rule's failure is the record's status, not the task's
+            out.append((f"!{name}", 0, 0, f"{type(e).__name__}: {e}"[:300]))
+    return out
+
+
+def scanned(text: str, names: list[str]) -> Column:
+    """The matches of the named rules and helpers in a text column without nulls."""
+    key = tuple(names)
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: scan(t, key))
+
+    return F.pandas_udf(run, RAW)(text)

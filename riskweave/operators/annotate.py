@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import rx
 from riskweave.functions import text as tx
+from riskweave.functions.scan import HELPERS, RAW, scanned
 from riskweave.plans import rules as R
 
 from .context import located, with_context
@@ -16,14 +17,6 @@ from .context import located, with_context
 HIT = "struct<rule:string,n:int,pos:int,m:string,up:boolean,evidence:string>"
 NO_HITS = f"cast(array() as array<{HIT}>)"
 MIXED = f"(?<![{rx.WORD}])(?=[{rx.WORD}]*\\p{{IsLatin}})(?=[{rx.WORD}]*[\\p{{IsCyrillic}}\\p{{IsGreek}}])[{rx.WORD}]+"
-#: The repetition is bounded, which changes neither where the first match is nor its first 80 characters; what follows
-#: the word is no word character, so it need not be tried shorter.
-SHORT = {"B-6": R.BY_ID["B-6"].regex.replace("{29,}", "{29,60}").replace("{1,12}", "{1,12}+")}
-
-
-def pattern_of(rule: R.Rule) -> str:
-    """A text rule's pattern for Java."""
-    return MIXED if rule.only == "mixed_script" else rx.java(SHORT.get(rule.id, rule.regex), rule.flags)
 
 
 def _has(text: Column, pattern: str, flags: str = "i") -> Column:
@@ -59,31 +52,40 @@ EVIDENCE = {
 }
 
 
-def possible(rule: str) -> str:
-    """Whether a text can match a rule at all, from the columns low and han."""
-    if rule == "U-4":
-        return "mixed"
-    needs = R.NEEDS.get(rule)
-    return " or ".join("han" if x == R.HAN else f"contains(low, '{x}')" for x in needs) if needs else "true"
-
-
-def rule_hits(rule: R.Rule) -> Column:
-    """Array of a text rule's hits in the columns text, low, han, links, marks."""
-    hits = f"if({possible(rule.id)}, {rx.matches_sql('text', pattern_of(rule))}, cast(array() as {rx.MATCHES}))"
-    early = rule.only in ("base64", "hex")  # these decode their first matches, the others keep their first findings
-    if rule.cap and early:
-        hits = f"slice({hits}, 1, {rule.cap})"
-    if rule.only in TESTS:
-        hits = f"filter({hits}, h -> {TESTS[rule.only]})"
-    if rule.cap and not early:
-        hits = f"slice({hits}, 1, {rule.cap})"
+#: Rules whose further test Java's script properties make; they are matched there, on texts with such scripts.
+NATIVE = {r.id for r in R.RULES if r.only == "mixed_script"}
+
+
+def _by_rule(values: dict[str, str], rest: str) -> str:
+    """A SQL value for the hit ``h`` by its rule; ``values`` are by rule, rules with one value share a branch."""
+    branches: dict[str, list[str]] = {}
+    for rule, value in values.items():
+        branches.setdefault(value, []).append(f"'{rule}'")
+    cases = " ".join(f"when h.rule in ({', '.join(rules)}) then {value}" for value, rules in branches.items())
+    return f"case {cases} else {rest} end" if cases else rest
+
+
+def _shown(rule: R.Rule) -> str:
+    """What a finding shows of its match."""
     m = "''" if rule.only == "hide" else f"left(h.m, {rule.cut})" if rule.cut else "h.m"
     if rule.only in ("ellipsis", "base64", "hex"):
         m = f"concat({m}, '…')"
-    if rule.pattern == "PS-4":
-        m = f"replace({m}, '\x1b', r'\\e')"
-    up, evidence = RAISED.get(rule.raised, "false"), EVIDENCE.get(rule.only, "cast(null as string)")
-    return F.expr(f"transform({hits}, (h, n) -> named_struct('rule', '{rule.id}', 'n', n, 'pos', h.pos, 'm', {m}, 'up', {up}, 'evidence', {evidence}))")
+    return f"replace({m}, '\x1b', r'\\e')" if rule.pattern == "PS-4" else m
+
+
+def text_hits(rules: list[R.Rule]) -> Column:
+    """Array of the text rules' hits from the columns raw, text, links, marks: further tests, cuts and evidence on matches only."""
+    own = "array()" if not any(r.id in NATIVE for r in rules) else f"slice(transform(if(mixed, {rx.matches_sql('text', MIXED)}, cast(array() as {rx.MATCHES})), (x, n) -> named_struct('rule', 'U-4', 'n', n, 'pos', x.pos, 'm', x.m)), 1, {R.BY_ID['U-4'].cap})"
+    keep = _by_rule({r.id: TESTS[r.only] for r in rules if r.only in TESTS}, "true")
+    shown = _by_rule({r.id: _shown(r) for r in rules if _shown(r) != "h.m"}, "h.m")
+    up = _by_rule({r.id: RAISED[r.raised] for r in rules if r.raised in RAISED}, "false")
+    evidence = _by_rule({r.id: EVIDENCE[r.only] for r in rules if r.only in EVIDENCE}, "cast(null as string)")
+    raw = f"concat(filter(raw, h -> not h.rule rlike '^[#!]'), cast({own} as {RAW}))"
+    return F.expr(f"transform(filter({raw}, h -> {keep}), h -> named_struct('rule', h.rule, 'n', h.n, 'pos', h.pos, 'm', {shown}, 'up', {up}, 'evidence', {evidence}))")
+
+
+def _counted(helper: str) -> Column:
+    return F.size(F.filter("raw", lambda h: h["rule"] == helper))
 
 
 def _hit(rule: str, n: Column | None = None, pos: Column | None = None, m: Column | None = None, up: Column | None = None, evidence: Column | None = None) -> Column:
@@ -102,7 +104,7 @@ def _json(**fields: Column) -> Column:
     return F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())))
 
 
-# fixed values: rules that are no scans of the text: taxonomy, pattern, confidence, raised to, review, message
+# fixed values: rules that are no scans of the text: taxonomy, pattern, confidence, raised to, review, and the message, a field of the reported finding
 OTHER = {
     "B-1": ("B-A-2", "AB-1", 0.7, None, False, "Oversized content volume"), "B-2": ("B-A-2", "AB-1", 0.4, None, True, "Large content volume"),
     "B-3": ("B-A-2", "AB-1", 0.5, None, True, "Deeply nested structure"), "B-4": ("B-A-2", "AB-1", 0.5, None, True, "Oversized table row"),
@@ -173,16 +175,15 @@ def link_rules(text: Column) -> list[Column]:
 
 def search_rules(text: Column) -> list[Column]:
     """Keyword stuffing, citations, authority claims, promotion, anchor farms."""
-    count = lambda p, flags="i": F.regexp_count(text, F.lit(rx.java(p, flags)))
     p = F.col("pair")
     foreign = F.filter("links", lambda x: ~tx.under(x["host"], R.OWN_PLATFORMS))
-    promo = count(R.PROMO)
+    promo = _counted("#promo")
     per = promo * 100 / (F.greatest(F.col("chars"), F.lit(1)) / 1000)
     hosts = F.transform(foreign, lambda x: x["host"])
     most = F.array_max(F.transform(F.array_distinct(hosts), lambda d: F.size(F.filter(hosts, lambda h: h == d))))
     return [
         _one((p["words"] > 100) & (p["n"] > 30) & (p["n"] / p["words"] > 0.02), "E-1", evidence=_json(bigram=F.concat_ws(" ", p["first"], p["second"]), count=p["n"], density=F.bround(p["n"] / p["words"], 4))),
-        _one((count(R.CITES) >= 5) & ~_has(text, R.CITE_LIST, "im"), "E-2"), _one(count(R.AUTHORITY) >= 3, "E-3"),
+        _one((_counted("#cites") >= 5) & ~_has(text, R.CITE_LIST, "im"), "E-2"), _one(_counted("#authority") >= 3, "E-3"),
         _one((promo >= 3) & ((per > 1.0) | (F.size(foreign) >= 5)), "E-4", evidence=_json(promo_words=promo, ext_links=F.size(foreign), per_1k_chars=F.bround(per, 2))),
         _one((F.size("links") >= 8) & (most >= 8), "E-5"),
     ]
@@ -190,8 +191,8 @@ def search_rules(text: Column) -> list[Column]:
 
 def package_rules(text: Column) -> list[Column]:
     """Look-alike packages after install commands, and social engineering beside them."""
-    installs = F.expr(rx.matches_sql("text", rx.java(R.INSTALL, "i")))
-    social = F.regexp_count(text, F.lit(rx.java(R.SOCIAL, "i")))
+    installs = F.filter("raw", lambda h: h["rule"] == "#install")
+    social = _counted("#social")
 
     def name(token: Column) -> Column:
         raw = F.element_at(F.split(token, f"[{rx.SPACE}]+"), -1)
@@ -229,33 +230,47 @@ def hidden_rules(text: Column) -> list[Column]:
 BY_FAMILY = {"dos_abuse": abuse, "link_analysis": link_rules, "seo_abuse": search_rules, "supply_chain": package_rules, "unicode_hidden": hidden_rules}
 
 
-def annotate(records: DataFrame, families: Iterable[str] | None = None) -> DataFrame:
-    """Records with their context and ``hits`` of the named families, or all; unknown names add nothing.
+def annotate(records: DataFrame, families: Iterable[str] | None = None, only: Iterable[str] | None = None) -> DataFrame:
+    """Records with their context and ``hits`` of the named families, or all; unknown names add nothing. ``only`` names text rules instead.
 
     A hit has its rule, its number within the rule, its position and text, whether it is raised, evidence,
     the text around it, and the message it is in. No shuffle; works on streams as well.
     """
     wanted = set(R.FAMILIES if families is None else families)
     text = F.col("text")
-    marks = [f"if({possible(r.id)}, regexp_count(text, {rx.quoted(rx.java(r.regex, r.flags))}), 0)" for r in R.SYSTEM_PROMPT if r.pattern == "SPL-1"]
-    low = F.translate(F.lower("text"), "\u017f\u0131", "si")  # the letters that case folding brings to s and i
-    rows = with_context(records).withColumns({"low": low, "han": text.rlike("[\\x{2E80}-\\x{9FFF}]"), "mixed": text.rlike("[\\p{IsCyrillic}\\p{IsGreek}]")}).withColumn("marks", F.expr(" + ".join(marks)))
-    parts = [rule_hits(r) for r in R.RULES if r.family in wanted]
+    rules = [r for r in R.RULES if r.family in wanted] if only is None else [R.BY_ID[x] for x in only]
+    wanted = wanted if only is None else set()
+    # template marks raise extraction requests; links, search and package rules count or locate helpers
+    names = [r.id for r in rules if r.id not in NATIVE] + (list(HELPERS) if wanted & {"seo_abuse", "supply_chain"} else [])
+    marks = " or ".join(f"h.rule = '{r.id}'" for r in R.SYSTEM_PROMPT if r.pattern == "SPL-1")
+    rows = with_context(records).withColumns({"raw": scanned("text", names), "mixed": text.rlike("[\\p{IsCyrillic}\\p{IsGreek}]")}).withColumn("marks", F.expr(f"size(filter(raw, h -> {marks}))"))
+    parts = [text_hits(rules)]
     for f, make in BY_FAMILY.items():
         if f in wanted or f == "link_analysis" and "stego_imagery" in wanted:
             parts += make(text)
     hits = F.concat(F.expr(NO_HITS), *parts)
-    if wanted != set(R.FAMILIES):
+    if only is None and wanted != set(R.FAMILIES):
         hits = F.filter(hits, lambda h: F.substring(h["rule"], 1, 1).isin([k for k, f in FAMILY_OF.items() if f in wanted]))
     rows = rows.withColumn("hits", hits)
     return rows.withColumn("hits", F.transform("hits", lambda h: F.struct(*(h[k].alias(k) for k in ("rule", "n", "pos", "m", "up", "evidence")), F.when(h["pos"].isNotNull(), tx.snippet(text, h["pos"])).alias("snippet"), F.when(h["pos"].isNotNull(), located(F.col("spans"), h["pos"])).alias("at"))))
 
 
-def findings(records: DataFrame, families: Iterable[str] | None = None) -> DataFrame:
+def statuses(annotated: DataFrame, families: Iterable[str] | None = None) -> DataFrame:
+    """One row for each record and family of annotated records: status ``ok``, or ``error`` with the first failed rule's error as detail."""
+    keys = [c for c in ("row_key", "record_id", "platform") if c in annotated.columns]
+    of = F.create_map(*(F.lit(x) for r in R.RULES for x in (r.id, r.family)))
+    failed = F.transform(F.filter("raw", lambda h: h["rule"].startswith("!")), lambda h: F.struct(of[F.substring(h["rule"], 2, 9)].alias("family"), h["m"].alias("detail")))
+    names = F.array(*map(F.lit, [f for f in R.FAMILIES if families is None or f in set(families)]))
+    rows = annotated.select(*keys, failed.alias("failed")).select(*keys, "failed", F.explode(names).alias("family"))
+    detail = F.get(F.filter("failed", lambda x: x["family"] == F.col("family")), 0)["detail"]
+    return rows.select(*keys, "family", F.when(detail.isNull(), "ok").otherwise("error").alias("status"), detail.alias("detail"))
+
+
+def findings(records: DataFrame, families: Iterable[str] | None = None, only: Iterable[str] | None = None) -> DataFrame:
     """One row for each finding before merging: a record's hits with their rules, which are a small broadcast table."""
     # an outer explode: for the plain one, Catalyst infers filters that evaluate all rules twice more
     keys = [c for c in ("row_key", "record_id", "platform") if c in records.columns]
-    rows = annotate(records, families).select(*keys, F.explode_outer("hits").alias("h")).where("h is not null")
+    rows = annotate(records, families, only).select(*keys, F.explode_outer("hits").alias("h")).where("h is not null")
     rules = F.broadcast(catalogue(records.sparkSession))
     rows = rows.join(rules, F.col("h.rule") == F.col("rule"))
     raised = F.col("h.up")

@@ -53,8 +53,10 @@ def located(spans: Column, pos: Column) -> Column:
 
 
 def with_context(records: DataFrame) -> DataFrame:
-    """Adds text, spans, links, chars, ratio, longest_repeat and pair to records."""
+    """Adds text, spans, links, chars, ratio, longest_repeat and pair to records; those that have them stay as they are."""
     ship(records.sparkSession)
+    if {"text", "spans", "links", "chars", "ratio", "longest_repeat", "pair"} <= set(records.columns):
+        return records
     rows = records.withColumn("text", rx.clean(F.array_join(F.transform("messages", lambda m: m["content"]), "\n\n"))).withColumn("spans", offsets(F.col("messages")))
     return rows.withColumns({"links": tx.links("text"), "chars": F.length("text"), "ratio": tx.compression_ratio("text"), "longest_repeat": tx.repeated_prefix(F.col("text")), "pair": tx.top_pair("text")})
 

@@ -69,11 +69,11 @@ def coverage(spark: SparkSession) -> DataFrame:
     """Who can test each category."""
     local = F.arrays_overlap("tracks", F.array(F.lit("static"), F.lit("llm")))
     note = (
-        F.when(F.array_contains("tracks", "platform") & ~local, "platform-only (access logs / server-side); not observable by third parties")
-        .when(F.array_contains("tracks", "dynamic") & ~local, "requires dynamic capability (sandbox/refetch/redirect-follow); optional for third parties")
-        .when(F.col("status") == "future_work", "theoretically testable by third parties but needs external capability; future work")
-        .when(F.col("status") == "skipped", "not labeled (no detectable feature or payload unavailable)")
-        .otherwise("testable by third parties (static/LLM)")
+        F.when(F.array_contains("tracks", "platform") & ~local, "platform only: logs and servers that outsiders do not see")
+        .when(F.array_contains("tracks", "dynamic") & ~local, "needs a sandbox, or fetching and following addresses; optional for outsiders")
+        .when(F.col("status") == "future_work", "possible for outsiders, with means that are not built yet")
+        .when(F.col("status") == "skipped", "left out: no feature to detect, or its payload is not in the text")
+        .otherwise("outsiders, by rules or a judge")
     )
     return categories(spark).select("id", "name", F.array_join("tracks", "/").alias("tracks"), "status", note.alias("who_can_test"))
 
