@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import time
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import accumulate
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +18,8 @@ from riskweave.session import ship
 
 CHUNK, OVERLAP, LEAST = 24_000, 800, 200
 CHUNKS = "array<struct<index:int,text:string,spans:array<struct<mi:int,s:int,e:int>>,truncated:boolean>>"
+#: Confidence of a static finding from which the judge need not be asked; the error of a reply without JSON.
+STRONG, NO_JSON = 0.7, "no JSON in the reply"
 VERDICT = "hit boolean, confidence double, evidence string, reasoning string"
 
 
@@ -21,23 +28,14 @@ def limits(size: int = CHUNK, overlap: int = OVERLAP) -> tuple[int, int]:
     return max(LEAST, size), max(0, min(overlap, size // 4))
 
 
-def pieces(messages: list[tuple[str, str]], size: int, overlap: int) -> Iterator[tuple[int, int, int, str, bool]]:
-    """(message, start, end, text, cut) of each paragraph; one that is too long is cut into overlapping windows."""
-    for mi, (role, body) in enumerate(messages):
-        room = size - len(head(role, size))
-        at, any_ = 0, False
-        for part in body.split("\n\n"):
-            if part.strip():
-                any_ = True
-                step = max(1, room - min(overlap, room - 1))
-                for p in range(0, len(part), step):
-                    end = min(len(part), p + room)
-                    yield mi, at + p, at + end, part[p:end], len(part) > room
-                    if end == len(part):
-                        break
-            at += len(part) + 2
-        if not any_:
-            yield mi, 0, len(body), body, False
+class Unit(NamedTuple):
+    """A paragraph of a message, or a window of one that is too long; ``cut`` marks windows."""
+
+    mi: int
+    s: int
+    e: int
+    text: str
+    cut: bool
 
 
 def head(role: str, size: int) -> str:
@@ -45,35 +43,50 @@ def head(role: str, size: int) -> str:
     return h if len(h) < size else ""
 
 
+def units(mi: int, role: str, body: str, size: int, overlap: int) -> Iterator[Unit]:
+    """The paragraphs of a message that are not blank, or the message as it is if it has none."""
+    room = size - len(head(role, size))
+    step = max(1, room - min(overlap, room - 1))
+    parts = body.split("\n\n")
+    found = [(at, p) for at, p in zip(accumulate((len(p) + 2 for p in parts), initial=0), parts, strict=False) if p.strip()]
+    if not found:
+        yield Unit(mi, 0, len(body), body, False)
+    for at, p in found:
+        windows = 1 + max(0, -(-(len(p) - room) // step))
+        for w in range(0, windows * step, step):
+            yield Unit(mi, at + w, at + min(len(p), w + room), p[w : w + room], windows > 1)
+
+
 def chunk(messages: list[tuple[str, str]], size: int = CHUNK, overlap: int = OVERLAP) -> list[dict]:
-    """Paragraphs packed up to ``size``, the last ones repeated at the start of the next chunk within ``overlap``; all text is in some chunk."""
-
-    def length(items: list) -> int:
-        roles = {i[0] for i in items}
-        return sum(len(i[3]) for i in items) + 2 * (len(items) - 1) + sum(len(head(messages[m][0], size)) for m in roles)
-
-    def text(items: list) -> str:
-        seen: set[int] = set()
-        return "\n\n".join(("" if i[0] in seen or seen.add(i[0]) else head(messages[i[0]][0], size)) + i[3] for i in items)
-
-    packs: list[list] = []
-    now: list = []
-    for unit in pieces(messages, size, overlap):
-        if now and length([*now, unit]) > size:
-            packs.append(now)
-            carry, held = [], 0
-            for u in reversed(now):
-                held += len(u[3])
-                if not u[3] or held > overlap:
-                    break
-                carry.insert(0, u)
-            now = carry
-            while now and length([*now, unit]) > size:
-                now = now[1:]
-        now = [*now, unit]
-    if now or not packs:
-        packs.append(now)
-    out = [{"index": k, "text": text(p), "spans": [{"mi": m, "s": s, "e": e} for m, s, e, _, _ in p if e > s], "truncated": any(u[4] for u in p)} for k, p in enumerate(packs)]
+    """Paragraphs packed up to ``size``, the last ones repeated at the start of the next chunk within ``overlap``; all text is in some chunk.
+
+    ``ends`` holds running sums of the units' lengths with their separators and the heads of messages that
+    begin: a chunk's end is found in it by bisection, as is the first unit within the overlap in the sums of
+    lengths alone.
+    """
+    every = [u for mi, (role, body) in enumerate(messages) for u in units(mi, role, body, size, overlap)]
+    heads = [head(role, size) for role, _ in messages]
+    begins = [k == 0 or every[k - 1].mi != u.mi for k, u in enumerate(every)]
+    ends = [0, *accumulate(len(u.text) + 2 + (len(heads[u.mi]) if new else 0) for u, new in zip(every, begins, strict=True))]
+    lengths = [0, *accumulate(len(u.text) for u in every)]
+    blank = [0, *accumulate((k + 1 if not u.text else 0 for k, u in enumerate(every)), max)]  # a blank unit ends what is repeated
+
+    def before(first: int) -> int:
+        """Where the running sum must count from for a chunk that starts with this unit, which shows its message's head."""
+        return ends[first] + 2 - (0 if begins[first] else len(heads[every[first].mi]))
+
+    bounds, first, n = [], 0, len(every)
+    while first < n:
+        stop = max(bisect_right(ends, size + before(first)) - 1, bounds[-1][1] + 1 if bounds else 1)
+        bounds.append((first, stop))
+        if stop == n:
+            break
+        again = max(bisect_left(lengths, lengths[stop] - overlap), blank[stop], first)
+        first = next(k for k in range(again, stop + 1) if k == stop or ends[stop + 1] <= size + before(k))
+    out = []
+    for k, (i, j) in enumerate(bounds or [(0, 0)]):
+        shown = [heads[u.mi] + u.text if begins[at] or at == i else u.text for at, u in enumerate(every[i:j], i)]
+        out.append({"index": k, "text": "\n\n".join(shown), "spans": [{"mi": u.mi, "s": u.s, "e": u.e} for u in every[i:j] if u.e > u.s], "truncated": any(u.cut for u in every[i:j])})
     for mi, (_, body) in enumerate(messages):  # gaps between paragraphs belong to the first chunk
         at = 0
         for s, e in [*sorted((x["s"], x["e"]) for c in out for x in c["spans"] if x["mi"] == mi), (len(body), len(body))]:
@@ -95,34 +108,59 @@ def chunked(records: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> Da
     return rows.select("record_id", "platform", "title", F.explode("chunks").alias("c")).select("record_id", "platform", "title", "c.*")
 
 
-def judge_all(chunks: DataFrame, judge: Callable[[str, str], str], tries: int = 2) -> DataFrame:
-    """Every chunk judged for every judged category: record_id, taxonomy_id, index, reply, error.
+def judge_all(chunks: DataFrame, judge: Callable | None, tries: int = 2, found: DataFrame | None = None, concurrency: int = 1, wait: float = 1.5) -> DataFrame:
+    """Every chunk judged for every judged category: record_id, platform, taxonomy_id, index, reply, error, calls and tokens.
 
-    ``judge`` takes a category's name and a prompt and returns JSON; it runs where the chunk is, in batches.
+    ``judge`` takes a category's name and a prompt and returns JSON, alone or with the tokens of prompt and
+    reply; ``concurrency`` calls at a time run where the chunks are. After an exception it waits ``wait``
+    seconds for each attempt so far; after a reply without JSON it asks for nothing but JSON. Categories of
+    which ``found``, the static findings, has one of a record with ``STRONG`` confidence are not asked about;
+    they, and all categories where there is no judge, have the error ``skipped``.
     """
     tasks = chunks.crossJoin(F.broadcast(judged(chunks.sparkSession).select(F.col("id").alias("taxonomy_id"), "name")))
     title = F.concat(F.lit("Title: "), F.coalesce("title", F.lit("")), F.lit("\n\n"))
     prompt = F.concat(title, "text", F.when(F.col("index") > 0, F.format_string("\n\n(part %d of the conversation)", F.col("index") + 1)).otherwise(""))
     tasks = tasks.select("record_id", "platform", "taxonomy_id", "name", "index", prompt.alias("prompt"))
+    skipped = tasks if judge is None else None
+    if judge is not None and found is not None:
+        strong = found.groupBy("record_id", "taxonomy_id").agg(F.max("confidence").alias("most")).where(F.col("most") >= STRONG)
+        skipped = tasks.join(strong, ["record_id", "taxonomy_id"], "left_semi")
+        tasks = tasks.join(strong, ["record_id", "taxonomy_id"], "left_anti")
+
+    def ask(name: str, prompt_: str) -> tuple:
+        reply, error, spent, n = None, None, [0, 0], 0
+        for n in range(1, tries + 1):
+            try:
+                got = judge(name, prompt_ if n == 1 or error != NO_JSON else f"{prompt_}\n\nReply with one JSON object and nothing else.")
+                reply, *tokens = got if isinstance(got, tuple) else (got,)
+                spent = [a + b for a, b in zip(spent, tokens or (0, 0), strict=True)]
+                error = None if "{" in reply else NO_JSON
+                if error is None:
+                    break
+            except Exception as e:  # noqa: BLE001  a judge's failure is a result, not the task's
+                reply, error = None, str(e)[:300] or type(e).__name__
+                if n < tries:
+                    time.sleep(wait * n)
+        return reply, error, n, *spent
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            replies, errors = [], []
-            for name, prompt_ in zip(b["name"], b["prompt"], strict=True):
-                reply, error = None, None
-                for _ in range(tries):
-                    try:
-                        reply, error = judge(name, prompt_), None
-                        if "{" in reply:
-                            break
-                        error = "no JSON in the reply"
-                    except Exception as e:  # noqa: BLE001  a judge's failure is a result, not the task's
-                        error = str(e)[:300]
-                replies.append(reply)
-                errors.append(error)
-            yield b[["record_id", "platform", "taxonomy_id", "index"]].assign(reply=replies, error=errors)
-
-    return tasks.mapInPandas(run, "record_id string, platform string, taxonomy_id string, index int, reply string, error string")
+        with ThreadPoolExecutor(concurrency) as pool:
+            for b in batches:
+                got = list(pool.map(ask, b["name"], b["prompt"]))
+                yield pd.concat([b[["record_id", "platform", "taxonomy_id", "index"]], pd.DataFrame(got, columns=["reply", "error", "calls", "prompt_tokens", "completion_tokens"], index=b.index)], axis=1)
+
+    schema = "record_id string, platform string, taxonomy_id string, index int, reply string, error string, calls long, prompt_tokens long, completion_tokens long"
+    zero = F.lit(0).cast("long")
+    left_out = None if skipped is None else skipped.select("record_id", "platform", "taxonomy_id", "index", F.lit(None).cast("string").alias("reply"), F.lit("skipped").alias("error"), zero.alias("calls"), zero.alias("prompt_tokens"), zero.alias("completion_tokens"))
+    if judge is None:
+        return left_out
+    replies = tasks.mapInPandas(run, schema)
+    return replies if left_out is None else replies.unionByName(left_out)
+
+
+def usage(replies: DataFrame) -> DataFrame:
+    """One row: calls, prompt_tokens and completion_tokens of all replies."""
+    return replies.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("calls", "prompt_tokens", "completion_tokens")))
 
 
 def verdicts(replies: DataFrame) -> DataFrame:
@@ -139,10 +177,10 @@ def judged_findings(judged_: DataFrame, records: DataFrame) -> tuple[DataFrame,
     most 0.98. A category with a failed chunk has no finding. Evidence is placed in the one message that holds it.
     """
     g = judged_.groupBy("record_id", "platform", "taxonomy_id").agg(
-        F.count_if(F.col("error").isNotNull()).alias("failed"), F.count("*").alias("n_chunks"), F.count_if(F.col("v.hit")).alias("n_hits"),
+        F.count_if(F.col("error").isNotNull()).alias("failed"), F.count_if(F.col("error") == "skipped").alias("skipped"), F.count("*").alias("n_chunks"), F.count_if(F.col("v.hit")).alias("n_hits"),
         F.max_by("v", F.when(F.col("v.hit"), F.struct("v.confidence", -F.col("index")))).alias("best"),
     )
-    status = g.select("record_id", "taxonomy_id", F.when(F.col("failed") == 0, "ok").when(F.col("failed") == F.col("n_chunks"), "failed").otherwise("partial").alias("status"))
+    status = g.select("record_id", "taxonomy_id", F.when(F.col("skipped") == F.col("n_chunks"), "skipped").when(F.col("failed") == 0, "ok").when(F.col("failed") == F.col("n_chunks"), "failed").otherwise("partial").alias("status"))
     c = F.least(F.greatest(F.col("best.confidence"), F.lit(0.1)), F.lit(1.0))
     c = F.when(F.col("n_hits") > 1, F.least(c * 1.15, F.lit(0.98))).otherwise(c)
     hit = g.where("failed = 0 and n_hits > 0").withColumn("confidence", c).join(records.select("record_id", "messages"), "record_id")

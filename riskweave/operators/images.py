@@ -7,18 +7,22 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.functions.text import address
+from riskweave.functions import rx
+from riskweave.functions import text as tx
 from riskweave.plans import rules as R
 from riskweave.session import ship
 
+from .annotate import OTHER, catalogue, findings
+
 REFS = "array<struct<value:string,kind:string,path:string,message_index:int,role:string>>"
-REPORT = "width int, height int, near_bg_ratio double, near_bg_struct double, lsb_pairs int, lsb_chi_mean double, verdict boolean"
+REPORT = "width int, height int, near_bg_ratio double, near_bg_struct double, lsb_pairs int, lsb_chi_mean double, lsb_balance_z double, verdict boolean"
 # fixed values: fields that are walked, and limits of the screening
 WALKED, LONGEST = ("extra", "fragments", "platform_extra"), 4096
 NEAR, RATIO, STRUCTURE, EDGE, EXTENSIONS = 10.0, 0.5, 0.12, 16, [".png", ".jpg", ".jpeg", ".webp", ".gif", ".bmp"]
@@ -53,7 +57,7 @@ def refs_of(raw: str | None) -> list[dict]:
         for key in WALKED:
             for path, s in _strings(m.get(key), f"messages[{k}].{key}"):
                 kind = "data_uri" if _URI.fullmatch(s.strip()) else None
-                if not kind and s.startswith(("http://", "https://")) and (a := address(s)) and a[2].lower().endswith(tuple(R.IMAGE_ENDS)):
+                if not kind and s.startswith(("http://", "https://")) and (a := tx.address(s)) and a[2].lower().endswith(tuple(R.IMAGE_ENDS)):
                     kind = "url"
                 if kind:
                     s = s.strip() if kind == "data_uri" else s
@@ -61,15 +65,19 @@ def refs_of(raw: str | None) -> list[dict]:
     return list(found.values())
 
 
+def _keys(rows: DataFrame) -> list[str]:
+    return [c for c in ("row_key", "record_id", "platform") if c in rows.columns]
+
+
 def structured_refs(parsed: DataFrame) -> DataFrame:
-    """record_id, platform and one row for each reference in records with their raw JSON."""
+    """row_key (if there is one), record_id, platform and one row for each reference in records with their raw JSON; ``n`` is its place in the record."""
     ship(parsed.sparkSession)
 
     def each(raw: pd.Series) -> pd.Series:
         return raw.map(refs_of)
 
     refs = F.pandas_udf(each, REFS)
-    return parsed.select("record_id", "platform", refs("raw").alias("r")).select("record_id", "platform", F.explode("r").alias("r")).select("record_id", "platform", "r.*")
+    return parsed.select(*_keys(parsed), refs("raw").alias("r")).select(*_keys(parsed), F.posexplode("r").alias("n", "r")).select(*_keys(parsed), "n", "r.*")
 
 
 def mirror(spark: SparkSession, folder: str, urls: DataFrame) -> DataFrame:
@@ -121,21 +129,23 @@ def pixels(data: bytes) -> np.ndarray | None:
 def screened(image: np.ndarray | None) -> tuple:
     """The columns of ``REPORT`` for an image; nulls where there is none."""
     if image is None:
-        return (None,) * 7
+        return (None,) * 8
     h, w, bands = image.shape
     grey = (image.astype(float) @ np.array([0.299, 0.587, 0.114])).round() if bands == 3 else image[:, :, 0].astype(float)
     near = np.abs(grey - np.percentile(grey, 90)) < NEAR
     struct_ = near[:, 1:] & (np.abs(np.diff(grey, axis=1)) > 0.5)
     ratio, texture = round(float(near.mean()), 4), round(float(struct_.mean()), 4) if struct_.size else 0.0
-    pairs, chi = 0, None
+    pairs, chi, z = 0, None, None
     if min(w, h) >= EDGE:
-        half = image[:, :, 0].ravel() >> 1
-        a, b = (np.bincount(half[k::2], minlength=128).astype(float) for k in (0, 1))
-        use = a + b >= 8
-        if use.sum() >= 8:
-            e = (a + b)[use] / 2
-            pairs, chi = int(use.sum()), round(float((((a[use] - e) ** 2 + (b[use] - e) ** 2) / e).mean()), 3)
-    return w, h, ratio, texture, pairs, chi, ratio >= RATIO and texture >= STRUCTURE
+        # one histogram by value pair and parity of the place; for two counts of one expectation, chi-square is (difference)^2 / sum
+        first = image[:, :, 0].ravel()
+        counts = np.bincount((first & 254) + (np.arange(first.size) & 1), minlength=256).reshape(128, 2)
+        total = counts.sum(axis=1)
+        enough = total >= 8
+        if enough.sum() >= 8:
+            each = np.diff(counts[enough], axis=1)[:, 0] ** 2 / total[enough]
+            pairs, chi, z = len(each), round(float(each.mean()), 3), round(float((each.sum() - len(each)) / np.sqrt(2 * len(each))), 2)
+    return w, h, ratio, texture, pairs, chi, z, ratio >= RATIO and texture >= STRUCTURE
 
 
 def forensics(images: DataFrame) -> DataFrame:
@@ -153,16 +163,49 @@ def forensics(images: DataFrame) -> DataFrame:
     return images.mapInPandas(run, f"{own}, {REPORT}")
 
 
-def decoded_uris(refs: DataFrame) -> DataFrame:
-    """References that are data URIs, with their bytes in ``content``."""
-    return refs.where("kind = 'data_uri'").withColumn("content", F.try_to_binary(F.substring_index("value", ",", -1), F.lit("base64")))
-
-
-def image_findings(parsed: DataFrame) -> DataFrame:
-    """Findings on nested references: each one, and those whose pixels show a low-contrast layer."""
-    refs = structured_refs(parsed)
-    text = F.substring("value", 1, 120)
-    row = lambda rule, pattern, conf, note, more: ["record_id", "platform", F.lit("static").alias("detector"), F.lit("stego_imagery").alias("family"), F.lit(rule).alias("rule"), F.xxhash64("path").alias("seq"), F.lit("B-CI-1").alias("taxonomy_id"), F.lit(pattern).alias("pattern_id"), F.lit(conf).alias("confidence"), F.lit(note).alias("message"), F.lit(True).alias("needs_review"), *(F.lit(None).cast(t).alias(c) for c, t in (("message_index", "int"), ("role", "string"), ("char_start", "int"), ("char_end", "int"))), text.alias("matched_text"), F.lit(None).cast("string").alias("snippet"), F.to_json(F.struct(*more)).alias("evidence")]
-    seen = refs.select(*row("G-1", "CI1-1", 0.5, "Structured image reference in assistant answer pipeline", [F.col("kind").alias("ref_kind"), F.col("path").alias("field_path"), F.col("message_index").alias("in_message"), F.col("role").alias("ref_role")]))
-    flagged = forensics(decoded_uris(refs)).where("verdict")
-    return seen.unionByName(flagged.select(*row("G-4", "CI1-2", 0.65, "low-contrast structured text layer (microtext signal)", ["near_bg_ratio", "near_bg_struct"])))
+def decoded(uri: Column) -> Column:
+    """The bytes of a data URI, null if they are no base64."""
+    return F.try_to_binary(F.substring_index(uri, ",", -1), F.lit("base64"))
+
+
+def image_findings(records: DataFrame, mirror_folder: str | None = None) -> DataFrame:
+    """G-1 for each nested reference of records with ``raw``, and G-4 for each image whose pixels show a low-contrast layer.
+
+    Screened are nested data URIs, the images of linked addresses that lie in ``mirror_folder``, and data URIs
+    within the text, in this order. G-2 and G-3, the addresses and URIs in the text, are text rules.
+    """
+    spark, keys = records.sparkSession, _keys(records)
+    place = {r["rule"]: r["place"] for r in catalogue(spark).where("rule in ('G-1', 'G-4')").collect()}  # two rows
+    joined = rx.clean(F.array_join(F.transform("messages", lambda m: m["content"]), "\n\n")) if "messages" in records.columns else F.lit("")
+    text = records.select(*keys, joined.alias("text"))
+    inline = text.where(F.contains(F.lower("text"), F.lit("data:image/"))).select(*keys, F.posexplode(F.regexp_extract_all("text", F.lit(rx.java(R.DATA_URI, "i")), F.lit(0))).alias("n", "value"))
+    images = [inline.select(*keys, (F.col("n") + (2 << 20)).alias("n"), "value", decoded(F.col("value")).alias("content"))]
+    parts = []
+    null = lambda t, name: F.lit(None).cast(t).alias(name)
+
+    def row(rows: DataFrame, rule: str, message: Column, evidence: list) -> DataFrame:
+        _, pattern, confidence, _, review, _ = OTHER[rule]
+        return rows.select(
+            *keys, F.lit("static").alias("detector"), F.lit("stego_imagery").alias("family"), F.lit(rule).alias("rule"), (F.lit(place[rule]).cast("long") * 1_000_000_000 + F.col("n")).alias("seq"), F.lit(OTHER[rule][0]).alias("taxonomy_id"), F.lit(pattern).alias("pattern_id"),
+            F.lit(confidence).alias("confidence"), message.alias("message"), F.lit(review).alias("needs_review"), null("int", "message_index"), null("string", "role"), null("int", "char_start"), null("int", "char_end"), F.substring("value", 1, 120).alias("matched_text"), null("string", "snippet"), F.to_json(F.struct(*evidence)).alias("evidence"),
+        )
+
+    if "raw" in records.columns:
+        refs = structured_refs(records)
+        uri = F.col("kind") == "data_uri"
+        parts.append(row(refs, "G-1", F.when(uri, "Data-URI image within message structure").otherwise("Image reference within message structure"), [F.col("kind").alias("ref_kind"), F.col("path").alias("field_path"), "message_index", F.col("role").alias("ref_role")]))
+        images.append(refs.where(uri).select(*keys, "n", "value", decoded(F.col("value")).alias("content")))
+    if mirror_folder:
+        ends = "|".join(e[1:] for e in R.IMAGE_ENDS)
+        linked = text.select(*keys, F.posexplode(tx.links("text")).alias("n", "l")).where(F.lower("l.path").rlike(rf"\.({ends})$")).select(*keys, (F.col("n") + (1 << 20)).alias("n"), F.col("l.url").alias("value"))
+        files = mirror(spark, mirror_folder, linked.select(F.col("value").alias("url"))).withColumnRenamed("url", "value")
+        images.append(linked.join(files, "value").select(*keys, "n", "value", "content"))
+    flagged = forensics(reduce(DataFrame.unionByName, images).where("content is not null")).where("verdict")
+    report = F.struct(*(x.split()[0] for x in REPORT.split(", ")))
+    parts.append(row(flagged, "G-4", F.lit("low-contrast structured text layer (microtext signal)"), [report.alias("forensics")]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def all_findings(records: DataFrame, mirror_folder: str | None = None) -> DataFrame:
+    """The findings of all static rules, images included."""
+    return findings(records).unionByName(image_findings(records, mirror_folder))

@@ -50,8 +50,8 @@ def reports(records: DataFrame, found: DataFrame, statuses: DataFrame | None = N
     per = found.groupBy(one).agg(F.array_sort(F.collect_list(F.struct("place", *fields))).alias("findings"), F.count_if("needs_review").alias("needs_review_count"))
     rows = records.select(*{one: 0, "record_id": 0}, "platform", "title").join(per, one, "left")
     if statuses is not None:
-        worst = statuses.groupBy("record_id").agg(F.max("status").alias("worst"), F.max(F.col("status") == "failed").alias("failed"), F.max(F.col("status") == "partial").alias("partial"))
-        rows = rows.join(worst, "record_id", "left").withColumn("scan_status", F.when(F.col("failed"), "failed").when(F.col("partial"), "partial").otherwise("complete")).drop("worst", "failed", "partial")
+        worst = statuses.groupBy("record_id").agg(F.max(F.col("status") == "failed").alias("failed"), F.max(F.col("status") == "partial").alias("partial"))
+        rows = rows.join(worst, "record_id", "left").withColumn("scan_status", F.when(F.col("failed"), "failed").when(F.col("partial"), "partial").otherwise("complete")).drop("failed", "partial")
     else:
         rows = rows.withColumn("scan_status", F.lit("complete"))
     return rows.select("record_id", "platform", "title", "scan_status", F.coalesce(F.size("findings"), F.lit(0)).alias("finding_count"), F.coalesce("needs_review_count", F.lit(0)).alias("needs_review_count"), "findings")
@@ -75,9 +75,10 @@ def totals(records: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def summary(records, found, seconds: float) -> str:
-    """A short report in Markdown from a few counted rows."""
+    """A short report in Markdown from a few counted rows: totals, platforms, findings by category, categories that no rule looks for."""
     platforms = records.groupBy("platform").count().orderBy("platform").collect()
     hits = by_category(found).orderBy(F.desc("n_findings"), "taxonomy_id").collect()
-    lines = ["# Scan summary", "", f"- records: {sum(r['count'] for r in platforms)}", f"- findings: {sum(r.n_findings for r in hits)}", f"- for review: {sum(r.n_reviews for r in hits)}", f"- seconds: {seconds:.1f}", "", "## Platforms", ""]
+    skipped = categories(found.sparkSession).where("status = 'skipped'").agg(F.array_sort(F.collect_list("id")).alias("ids")).first().ids
+    lines = ["# Scan summary", "", f"- records: {sum(r['count'] for r in platforms)}", f"- findings: {sum(r.n_findings for r in hits)}", f"- for review: {sum(r.n_reviews for r in hits)}", f"- seconds: {seconds:.1f}", f"- categories left out: {', '.join(skipped)}", "", "## Platforms", ""]
     lines += [f"- {r['platform']}: {r['count']}" for r in platforms] + ["", "## Findings by category", ""] + [f"- {r.taxonomy_id}: {r.n_findings}" for r in hits]
     return "\n".join(lines) + "\n"

@@ -1,34 +1,82 @@
-"""Scans of a folder of JSON-lines files as a stream: new files only, each once, resumed after a stop."""
+"""Scans of JSON-lines records: of a file, with limit, resumption, summary and status; of a folder, as a stream."""
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from riskweave.operators.annotate import findings
 from riskweave.operators.context import guarded, with_context
-from riskweave.operators.merge import merged, reports, review_queue
-from riskweave.sources.records import parsed
-from pyspark.sql import functions as F
+from riskweave.operators.images import all_findings
+from riskweave.operators.merge import merged, reports, review_queue, summary
+from riskweave.sources.records import lines, parsed
+from riskweave.session import scratch
+
+COMPLETE, FAILED, PARTIAL = 0, 1, 2
+
+
+def scanned_rows(rows: DataFrame, limit: int, mirror_folder: str | None, **limits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records that are scanned, rejected lines, merged findings) of parsed rows with a row_key.
+
+    ``limit`` counts records that break no limit, in the order of row_key; 0 is all.
+    """
+    spark = rows.sparkSession
+    path = scratch(spark, "scan-rows")  # written with its context: neither a second pass nor a lost executor computes that again
+    rows = guarded(with_context(rows.withColumnRenamed("error", "unread")), **limits).withColumn("error", F.coalesce("unread", "error")).drop("unread")
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    kept = rows.where("error is null").drop("error")
+    kept = kept.orderBy("row_key").limit(limit) if limit else kept
+    rejected = rows.where("error is not null").select("row_key", "error", F.substring("raw", 1, 200).alias("line"))
+    if limit:  # lines behind the last record that counts were not reached
+        last = kept.agg(F.max("row_key"), F.count("*")).first()
+        rejected = rejected.where(F.col("row_key") < last[0]) if last[1] == limit else rejected
+    return kept, rejected, merged(all_findings(kept, mirror_folder))
+
+
+def scan_file(spark: SparkSession, path: str, out: str, offset: int = 0, limit: int = 0, resume: bool = False, mirror_folder: str | None = None, **limits: int) -> int:
+    """Scans a JSON-lines file and returns 0 if all lines were records, 2 if some were not, 1 if none was scanned.
+
+    Writes below ``out``: reports, needs_review, rejected, summary, and a checkpoint with the next line and the
+    errors so far, last. ``resume`` goes on from there and adds to what is there; otherwise it is replaced.
+    ``limits`` are those of ``guarded``.
+    """
+    began, before = time.time(), {"next_line": 0, "errors": 0, "records": 0}
+    if resume:
+        saved = spark.read.schema("next_line long, errors long, records long").json(f"{out}/checkpoint").first()
+        before = saved.asDict() if saved else before
+    rows = parsed(lines(spark, path, max(offset, before["next_line"]))).withColumn("row_key", F.col("line_no"))
+    kept, rejected, found = scanned_rows(rows, limit, mirror_folder, **limits)
+    found_path = scratch(spark, "scan-findings")
+    found.write.parquet(found_path)
+    found = spark.read.schema(found.schema).parquet(found_path)
+    mode = "append" if resume else "overwrite"
+    reports(kept, found).write.mode(mode).json(f"{out}/reports")
+    review_queue(found).drop("row_key").write.mode(mode).json(f"{out}/needs_review")
+    rejected.withColumnRenamed("row_key", "line_no").write.mode(mode).json(f"{out}/rejected")
+    n, last = kept.agg(F.count("*"), F.max("row_key")).first()
+    errors, worst = rejected.agg(F.count("*"), F.max("row_key")).first()
+    after = {"next_line": max(x + 1 for x in (last, worst, before["next_line"] - 1) if x is not None), "errors": before["errors"] + errors, "records": before["records"] + n}
+    text = summary(kept, found, time.time() - began)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/summary")
+    spark.createDataFrame([tuple(after.values())], "next_line long, errors long, records long").coalesce(1).write.mode("overwrite").json(f"{out}/checkpoint")
+    return COMPLETE if not after["errors"] else PARTIAL if after["records"] else FAILED
 
 
-def scan_batch(rows: DataFrame, out: str, batch: int) -> None:
+def scan_batch(rows: DataFrame, out: str, batch: int, mirror_folder: str | None = None) -> None:
     """Writes reports, review queue and rejected lines of one batch, each below its number: run again, it replaces them."""
-    rows = rows.withColumn("row_key", F.monotonically_increasing_id()).persist()  # ids of records may be missing or repeat
-    good = rows.where("error is null")
-    limits = guarded(with_context(good)).select("row_key", "record_id", F.col("error").alias("broken")).where("broken is not null")
-    kept = good.join(limits, "row_key", "left_anti")
-    found = merged(findings(kept)).persist()
+    rows = rows.withColumn("row_key", F.monotonically_increasing_id())  # ids of records may be missing or repeat
+    kept, rejected, found = scanned_rows(rows, 0, mirror_folder)
+    found = found.persist()
     reports(kept, found).write.mode("overwrite").json(f"{out}/reports/batch={batch}")
     review_queue(found).drop("row_key").write.mode("overwrite").json(f"{out}/needs_review/batch={batch}")
-    rejected = rows.where("error is not null").select("error", F.substring("raw", 1, 200).alias("line"))
-    rejected.unionByName(limits.select(F.col("broken").alias("error"), F.col("record_id").alias("line"))).write.mode("overwrite").json(f"{out}/rejected/batch={batch}")
+    rejected.drop("row_key").write.mode("overwrite").json(f"{out}/rejected/batch={batch}")
     found.unpersist()
-    rows.unpersist()
 
 
-def scan_folder(spark: SparkSession, folder: str, out: str, files_at_once: int = 100) -> StreamingQuery:
+def scan_folder(spark: SparkSession, folder: str, out: str, files_at_once: int = 100, mirror_folder: str | None = None) -> StreamingQuery:
     """Scans what is in the folder and not yet scanned, then ends; ``out`` keeps the checkpoint."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_at_once).text(folder).where(F.trim("value") != "").withColumn("line_no", F.lit(-1).cast("long"))
-    rows = parsed(lines)
-    return rows.writeStream.foreachBatch(lambda df, k: scan_batch(df, out, k)).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    new = spark.readStream.option("maxFilesPerTrigger", files_at_once).text(folder).where(F.trim("value") != "").withColumn("line_no", F.lit(-1).cast("long"))
+    return parsed(new).writeStream.foreachBatch(lambda df, k: scan_batch(df, out, k, mirror_folder)).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
