@@ -5,8 +5,8 @@ A byte is eight binary decisions. Each decision, named by the bits before it, ha
 Krichevsky-Trofimov (KT) probability Pe. The weighted probability of a node is Pw = (Pe + product of the
 children's Pw) / 2, and Pw = Pe at the deepest level. What remains for coding is, at each node, the
 share w = Pe / (2 Pw) of its own KT estimate against its child's estimate: a bit's probability mixes the
-estimates of all depths along its context. A context that was never seen adds nothing: the mixture ends at
-its parent. A text ends with the byte 0xFF and starts after ``DEPTH`` bytes 0xFE, which UTF-8 never uses,
+estimates of all depths along its context. A context that was never seen has the KT estimate of no counts, 1/2,
+as have all below it. A text ends with the byte 0xFF and starts after ``DEPTH`` bytes 0xFE, which UTF-8 never uses,
 so probabilities of all texts sum to one.
 
 Counting: every task counts the byte strings of DEPTH + 1 bytes of its texts (those of held-out texts count
@@ -43,8 +43,6 @@ from .graph import saved
 from .learn import held_out
 
 DEPTH, TOP, SLICE_BITS = 5, 3, 22
-#: Times that a node at depth 2 or more must have been seen; the registered query keeps all nodes (1).
-LEAST = 2
 #: Words whose counts are broadcast, at most.
 FREQUENT = 200_000
 START, END = 0xFE, 0xFF
@@ -135,22 +133,20 @@ def up(keys: np.ndarray, depth: int, n0: np.ndarray, n1: np.ndarray, pw: np.ndar
     return _sum_by((keys >> np.uint64(8) & keep) << np.uint64(8) | keys & np.uint64(255), n0, n1, pw)
 
 
-def entries(depth: int, keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, share: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes seen ``least`` times (once up to depth 1): depth and key in one number; KT logit and logit of w in another."""
-    use = n0 + n1 >= (least if depth > 1 else 1)
-    keys, n0, n1, share = keys[use], n0[use], n1[use], share[use]
+def entries(depth: int, keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each node: depth and key in one number; KT logit and logit of w in another."""
     p = np.clip(np.log((n1 + 0.5) / (n0 + 0.5)) * _STEP, -32000, 32000).round().astype(np.int64) + 32768
     w = np.clip(share * _STEP, -32000, 32000).round().astype(np.int64) + 32768
     return np.int64(depth) << 56 | keys.astype(np.int64), p << 16 | w
 
 
-def subtree(grams: np.ndarray, counts: np.ndarray, depth: int, top: int, _bits: int = SLICE_BITS, least: int = 1) -> tuple[list[tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, ...]]:
+def subtree(grams: np.ndarray, counts: np.ndarray, depth: int, top: int, _bits: int = SLICE_BITS) -> tuple[list[tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, ...]]:
     """Levels ``depth`` to ``top`` of the trees of some contexts, from ascending strings: entries of each, and the sums for level top - 1."""
     keys, n0, n1 = leaves(grams, counts)
     below, out = None, []
     for d in range(depth, top - 1, -1):
         pw, share = weigh(n0, n1, below)
-        out.append(entries(d, keys, n0, n1, share, least))
+        out.append(entries(d, keys, n0, n1, share))
         if d:
             keys, n0, n1, below = up(keys, d, n0, n1, pw)
     return out, (keys, n0, n1, below)
@@ -180,9 +176,9 @@ class Model:
         return self.parts[d][0] if self.parts[d] else (np.empty(0, np.uint64), np.empty(0, np.uint32))
 
     def decisions(self, grams: np.ndarray, low: np.ndarray | None = None) -> np.ndarray:
-        """Probability of each decision of the strings' last bytes by the levels held; ``low`` is that of deeper levels, NaN where no context was seen."""
+        """Probability of each decision of the strings' last bytes by the levels held; ``low`` is that of deeper levels, 1/2 without."""
         context, symbol = grams >> np.uint64(8), grams & np.uint64(255)
-        out = np.full((8, len(grams)), np.nan) if low is None else low.astype(float)
+        out = np.full((8, len(grams)), 0.5) if low is None else low.astype(float)
         for d in range(self.depth, -1, -1):
             keys, packed = self.level(d)
             if not len(keys):
@@ -197,13 +193,12 @@ class Model:
                 v = packed[at].astype(np.int64)
                 p = v >> 16
                 own, w = _SIGMOID[np.where(bit == 1, p, 65536 - p)], _SIGMOID[v & 65535]
-                mixed = np.where(np.isnan(out[j]), own, out[j] + w * (own - out[j]))
-                out[j] = np.where(seen, mixed, out[j])
+                out[j] = np.where(seen, out[j] + w * (own - out[j]), out[j])
         return out
 
     def mix(self, grams: np.ndarray, low: np.ndarray | None = None) -> np.ndarray:
         """log10 probability of each string's last byte after the others."""
-        return np.log10(np.nan_to_num(self.decisions(grams, low), nan=0.5)).sum(axis=0)
+        return np.log10(self.decisions(grams, low)).sum(axis=0)
 
 
 def slice_of(grams: np.ndarray, slices: int) -> np.ndarray:
@@ -307,7 +302,7 @@ def word_keys(texts: list[str], hashes) -> tuple[np.ndarray, np.ndarray]:
 LOW = [f"b{j}" for j in range(8)]
 
 
-def string_values(docs: DataFrame, depth: int = DEPTH, bits: int = SLICE_BITS, top: int = TOP, least: int = LEAST) -> tuple[str, int]:
+def string_values(docs: DataFrame, depth: int = DEPTH, bits: int = SLICE_BITS, top: int = TOP) -> tuple[str, int]:
     """Where the log10 probabilities (key, value) of all strings of the texts lie, by slice, and the number of slices; the rows not held_out train."""
     spark, top = docs.sparkSession, min(top, depth)
 
@@ -326,7 +321,7 @@ def string_values(docs: DataFrame, depth: int = DEPTH, bits: int = SLICE_BITS, t
             k, n = k[order], n[order]
             model = Model(depth)
             if n.any():
-                levels, (keys, n0, n1, low) = subtree(k[n > 0], n[n > 0], depth, top, least=least)
+                levels, (keys, n0, n1, low) = subtree(k[n > 0], n[n > 0], depth, top)
                 for place, packed in levels:
                     model.put(place, packed)
                 yield rows(keys, len(keys), n0=n0, n1=n1, below=low)
@@ -361,7 +356,7 @@ def string_values(docs: DataFrame, depth: int = DEPTH, bits: int = SLICE_BITS, t
                 keys, n0, n1, low = (b.column(c).to_numpy() for c in ("key", "n0", "n1", "below"))
                 keys = keys.astype(np.uint64)
                 pw, share = weigh(n0, n1, low)
-                place, packed = entries(d, keys, n0, n1, share, least)
+                place, packed = entries(d, keys, n0, n1, share)
                 zero = np.zeros(len(place), np.int64)
                 yield _arrow(place=place, packed=packed, n0=zero, n1=zero, below=zero.astype(float))
                 if d:
@@ -445,7 +440,7 @@ def slice_scores(texts: list[str], values: Values, k: int, slices: int, depth: i
 # ------------------------------------------------------------------ scoring
 
 
-def scores(docs: DataFrame, mod: int = 5, depth: int = DEPTH, bits: int = SLICE_BITS, frequent: int = FREQUENT, least: int = LEAST) -> DataFrame:
+def scores(docs: DataFrame, mod: int = 5, depth: int = DEPTH, bits: int = SLICE_BITS, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of each row.
 
     Learns from the rows that are not held out: crc32 of doc_id's digits does not leave 1 modulo ``mod``.
@@ -454,7 +449,7 @@ def scores(docs: DataFrame, mod: int = 5, depth: int = DEPTH, bits: int = SLICE_
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     train = docs.where(~held_out(mod))
-    values_path, slices = string_values(docs.withColumn("held_out", held_out(mod)), depth, bits, least=least)
+    values_path, slices = string_values(docs.withColumn("held_out", held_out(mod)), depth, bits)
     docs = docs.withColumn("row", F.monotonically_increasing_id())
     if slices > 1:  # rows keep their numbers over the passes
         docs = saved(docs, "doc_id long, text string, row long", "lm-docs")

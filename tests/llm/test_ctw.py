@@ -43,15 +43,12 @@ def brute(train, texts, depth=DEPTH):
         for i in range(depth, len(raw)):
             s = f"{raw[i]:08b}"
             for j in range(8):
-                one = None
+                one = 0.5  # a context without counts
                 for d in range(depth, -1, -1):
                     x = (raw[i - d : i], s[:j])
                     a, b = n[*x, "0"], n[*x, "1"]
-                    if a + b < (2 if d > 1 else 1):
-                        continue
-                    own = (b + 0.5) / (a + b + 1)
-                    one = own if one is None else w[x] * own + (1 - w[x]) * one
-                one = 0.5 if one is None else one
+                    if x in nodes:
+                        one = w[x] * (b + 0.5) / (a + b + 1) + (1 - w[x]) * one
                 out += math.log10(one if s[j] == "1" else 1 - one)
         return out
 
@@ -118,7 +115,7 @@ def test_every_node_counts(spark):
 
     want = exact(train, [*train, "abc once cat \x00\x00\x00\x00\x00"])
     for bits in (3, 22):
-        got = {r.doc_id: r.score for r in ctw.scores(docs, depth=DEPTH, bits=bits, least=1).collect()}
+        got = {r.doc_id: r.score for r in ctw.scores(docs, depth=DEPTH, bits=bits).collect()}
         for d, s in zip([*ids, held], want, strict=True):
             assert math.isclose(got[d], s, rel_tol=2e-3, abs_tol=0.01)
 
@@ -142,14 +139,14 @@ def exact(train, texts, depth=DEPTH):
             below[c[1:], b] += pw[c, b]
 
     def one(c, b):
-        """Probability of a one: the mixture at each node of the path, from the deepest that was seen."""
+        """Probability of a one: the mixture at each node of the path; below the deepest that was seen, 1/2."""
         got = 0.5
         for d in range(depth + 1):
             x = c[len(c) - (depth - d) :] if d < depth else b""
             zeros, ones = n[x, b, "0"], n[x, b, "1"]
             if zeros + ones:
                 own = (ones + 0.5) / (zeros + ones + 1)
-                w = 1.0 if len(x) == depth or not any((y, b) in pw for y in [c[len(c) - len(x) - 1 :]]) else 1 / (1 + math.exp(-max(-20, min(20, pe(zeros, ones) - below[x, b]))))
+                w = 1.0 if len(x) == depth else 1 / (1 + math.exp(-max(-20, min(20, pe(zeros, ones) - below[x, b]))))
                 got = w * own + (1 - w) * got
         return got
 
