@@ -33,9 +33,9 @@ from riskweave.session import ship
 from .common import tidy
 from .learn import held_out, labelled_sample, logistic, sigmoid
 
-#: Bounds of the labelled rows to learn from, of the lexicon, and of the candidates that the driver sees.
-FIT_ROWS, LEXICON, EXCEPTIONS, CANDIDATES = 12_000, 200, 2_000, 4_000
-#: Least likelihood-ratio statistic, over texts, of an entry; about a million candidates are tried.
+#: Bound of the labelled rows to learn from, and so of the words that the driver may see.
+FIT_ROWS = 12_000
+#: Least likelihood-ratio statistic, over texts, of an entry; about a million candidates are tried. Nothing else ends the lexicon.
 EVIDENCE = 30.0
 
 _FOLD = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "ß": "ss", "ø": "o", "đ": "d", "ł": "l", "æ": "ae", "œ": "oe", "ı": "i"}
@@ -153,15 +153,15 @@ def _sums(sample: DataFrame, kind: str, lexicon: Lexicon | None = None) -> DataF
     return sample.mapInArrow(tidy("toxicity", _tally(kind, lexicon)), _TALLY).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("tf0", "tf1", "df0", "df1")))
 
 
-def choose(rows: list, n0: int, n1: int, w0: float, w1: float, size: int) -> dict[str, float]:
-    """Entries by evidence: most first, leaving out what begins with, or begins, a chosen one. Weight: log ratio of rates by occurrence."""
+def choose(rows: list, w0: float, w1: float) -> dict[str, float]:
+    """Entries by evidence: most first, leaving out what a chosen one matches, and stems of a chosen one. Weight: log ratio of rates by occurrence."""
     out: dict[str, float] = {}
+    begun: set[str] = set()  # all beginnings of chosen entries
     for r in rows:
-        if len(out) >= size:
-            break
         k = r["key"]
-        if any(k.startswith(x) or x.startswith(k.rstrip(" ")) for x in out):
+        if k in begun or any(k[:n] in out for n in range(1, len(k) + 1)):
             continue
+        begun.update(k[:n] for n in range(1, len(k) + 1))
         ratio = ((r["tf1"] + 0.5) / (w1 + 1)) / ((r["tf0"] + 0.5) / (w0 + 1))
         out[k] = float(min(6.0, np.log(ratio)))
     return out
@@ -180,9 +180,9 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Lexic
         s0, s1 = (g + h) * n0 / (n0 + n1), (g + h) * n1 / (n0 + n1)
         safe = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
         least = max(3, n1 // 200)
-        rows = _sums(sample, "words").where((h >= least) & ((b + 0.5) / (w1 + 1) > 5 * (a + 0.5) / (w0 + 1)) & ((h / n1) > 3 * (g / n0))).withColumn("g2", 2 * (safe(g, s0) + safe(h, s1))).where(F.col("g2") >= EVIDENCE).orderBy(F.desc("g2"), F.length("key"), "key").limit(CANDIDATES).collect()
-        first = Lexicon(choose(rows, n0, n1, w0, w1, LEXICON), frozenset(), ())
-        spare = _sums(sample, "phrases", first).where((g >= 3) & (g / n0 > 2 * (h + 0.5) / n1)).orderBy(F.desc("df0"), "key").limit(EXCEPTIONS).collect()
+        rows = _sums(sample, "words").where((h >= least) & ((b + 0.5) / (w1 + 1) > 5 * (a + 0.5) / (w0 + 1)) & ((h / n1) > 3 * (g / n0))).withColumn("g2", 2 * (safe(g, s0) + safe(h, s1))).where(F.col("g2") >= EVIDENCE).orderBy(F.desc("g2"), F.length("key"), "key").collect()
+        first = Lexicon(choose(rows, w0, w1), frozenset(), ())
+        spare = _sums(sample, "phrases", first).where((g >= 3) & (g / n0 > 2 * (h + 0.5) / n1)).collect()
         lexicon = Lexicon(first.entries, frozenset(r["key"] for r in spare), ())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
