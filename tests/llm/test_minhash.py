@@ -96,3 +96,60 @@ def test_components(spark):
     e = [(5, 3), (3, 9), (9, -2), (7, 7), (10, 11), (11, 12), (12, 10)] + [(100, 200 + i) for i in range(50)]
     got = {r.node: r.label for r in components(spark.createDataFrame(e, "u long, v long")).collect()}
     assert got == {5: -2, 3: -2, 9: -2, -2: -2, 10: 10, 11: 10, 12: 10, 100: 100} | {200 + i: 100 for i in range(50)}
+
+
+def crowd(seed=9):
+    """Near copies of one text, most of them a little under the similarity to it, with copies of copies; many alike, many not."""
+    r = random.Random(seed)
+    vocab = [f"w{i}" for i in range(4000)]
+    base, rows = r.choices(vocab, k=120), []
+    for _ in range(700):
+        w = list(base)
+        for _ in range(r.choice((2, 6, 7, 8, 8))):
+            w[r.randrange(120)] = r.choice(vocab)
+        rows.append((len(rows), " ".join(w)))
+        for _ in range(r.choice((0, 0, 0, 1))):
+            w = list(w)
+            for _ in range(r.choice((1, 3))):
+                w[r.randrange(120)] = r.choice(vocab)
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+def test_recall_in_a_large_group(spark):
+    """Of a crowd's links, what the levels find; and the exact option finds all."""
+    rows = crowd()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r[0]: r[2] for r in brute(rows)}
+    linked = [d for d in want if sum(v == want[d] for v in want.values()) > 1]
+    got = {r[0]: r[2] for r in run(df)}
+    assert all(want[got[d]] == want[d] for d in got)  # no false link
+    together = {}
+    for d in linked:
+        together.setdefault(want[d], []).append(got[d])
+    found = sum(max(c.count(x) for x in set(c)) for c in together.values())
+    assert found >= 0.98 * len(linked)
+    if len(rows) < 1000:
+        assert {r[0]: r[2] for r in run(df, small=None)} == want
+
+
+def test_candidates_are_linear(spark):
+    """Twice the members of a crowd give about twice the candidate pairs."""
+    from pyspark.sql import functions as F
+
+    counts = []
+    for n in (300, 600):
+        df = spark.createDataFrame(crowd()[:n], "doc_id long, text string").withColumn("text_key", F.lit(0))
+        nodes = minhash.signatures(df, 2).selectExpr("node", "n_shingles n", "bands")
+        for levels, two in ((range(1), False), (range(1, 4), True)):
+            b = minhash._buckets(nodes, minhash.BANDS, levels, None)
+            pairs = minhash._stars(b, two, 80).count()
+            assert pairs <= b.count() * (2 if two else 1)
+            counts.append(pairs)
+    assert counts[2] < 3 * counts[0] and counts[3] < 3 * counts[1]
+
+
+def test_own_columns_stay(spark):
+    df = spark.createDataFrame([(1, "a b c", 7, 8, 9), (2, "a b c", 7, 8, 9), (2, "a b c", 7, 8, 9), (3, "d", 1, 2, 3), (3, "d", 1, 2, 3)], "doc_id long, text string, id int, key int, node int").selectExpr("*", "id _id", "key _key")
+    kept = minhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == [(1, "a b c", 7, 8, 9, 7, 8), (3, "d", 1, 2, 3, 1, 2)]
