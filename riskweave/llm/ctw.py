@@ -14,9 +14,9 @@ Counting: every task counts the byte strings of DEPTH + 1 bytes of its texts (th
 weighted side by side, in streams sorted by that context, which also mixes these levels for each string there;
 the levels above are weighted by aggregations, and complete each string's log probability. No node is dropped
 or shares its place: the levels above ``TOP`` have at most 256**TOP nodes for any corpus and are loaded whole.
-The strings with their values are cut by a hash into slices of about 2**SLICE_BITS, as many as the number of
-strings asks for; the texts are scored in one pass for each slice, which a Python worker loads once, and the
-sums of the passes are added up for each row.
+The texts are scored in one pass: strings with counts of at least a power of two that leaves at most
+2**COMMON_BITS of them are loaded with their values, once in a Python worker; what a text has of the others,
+few of its strings by the nature of text, is joined to their values by a shuffle.
 
 The base model needs the exact count of every word. Words with counts of at least a power of two that
 leaves at most ``FREQUENT`` of them are broadcast; the tokens that are not among them are counted by a
@@ -39,10 +39,9 @@ from pyspark.sql import functions as F
 from riskweave.session import scratch, ship
 
 from .common import WordHash, kept, mix64, tidy, words
-from .graph import saved
 from .learn import held_out
 
-DEPTH, TOP, SLICE_BITS = 5, 3, 22
+DEPTH, TOP, COMMON_BITS = 6, 3, 22
 #: Words whose counts are broadcast, at most.
 FREQUENT = 200_000
 START, END = 0xFE, 0xFF
@@ -140,7 +139,7 @@ def entries(depth: int, keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, share:
     return np.int64(depth) << 56 | keys.astype(np.int64), p << 16 | w
 
 
-def subtree(grams: np.ndarray, counts: np.ndarray, depth: int, top: int, _bits: int = SLICE_BITS) -> tuple[list[tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, ...]]:
+def subtree(grams: np.ndarray, counts: np.ndarray, depth: int, top: int, _bits: int = COMMON_BITS) -> tuple[list[tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, ...]]:
     """Levels ``depth`` to ``top`` of the trees of some contexts, from ascending strings: entries of each, and the sums for level top - 1."""
     keys, n0, n1 = leaves(grams, counts)
     below, out = None, []
@@ -201,11 +200,6 @@ class Model:
         return np.log10(self.decisions(grams, low)).sum(axis=0)
 
 
-def slice_of(grams: np.ndarray, slices: int) -> np.ndarray:
-    """The slice of each string."""
-    return (mix64(grams) % np.uint64(slices)).astype(np.int32)
-
-
 class Values:
     """Strings with their log10 probabilities: a table of slots, a smaller one for those whose slot is taken, and so on until none is left."""
 
@@ -223,21 +217,18 @@ class Values:
             self.tables.append((factor, shift, known, held))
             keys, value = keys[left], value[left]
 
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        out, todo = np.zeros(len(keys), np.float32), None
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of strings, 0 for those that are not held; and which are not held."""
+        out, todo = np.zeros(len(keys), np.float32), np.arange(len(keys))
         for factor, shift, known, held in self.tables:
             with np.errstate(over="ignore"):
                 at = (keys * factor >> shift).astype(np.int64)
-            miss = np.flatnonzero(known[at] != keys)
-            if todo is None:
-                out, todo = held[at], miss
-            else:
-                out[todo] = held[at]
-                todo = todo[miss]
-            keys = keys[miss]
-        if len(keys):
-            raise ValueError("texts changed between the passes")
-        return out
+            hit = known[at] == keys
+            out[todo[hit]] = held[at[hit]]
+            keys, todo = keys[~hit], todo[~hit]
+        missing = np.zeros(len(out), bool)
+        missing[todo] = True
+        return out, missing
 
 
 # ------------------------------------------------------------------ training
@@ -302,8 +293,8 @@ def word_keys(texts: list[str], hashes) -> tuple[np.ndarray, np.ndarray]:
 LOW = [f"b{j}" for j in range(8)]
 
 
-def string_values(docs: DataFrame, depth: int = DEPTH, bits: int = SLICE_BITS, top: int = TOP) -> tuple[str, int]:
-    """Where the log10 probabilities (key, value) of all strings of the texts lie, by slice, and the number of slices; the rows not held_out train."""
+def string_values(docs: DataFrame, depth: int = DEPTH, bits: int = COMMON_BITS, top: int = TOP) -> str:
+    """Where the log10 probabilities (key, value) of all strings of the texts lie, in parts ``rare=false`` and ``rare=true``; the rows not held_out train."""
     spark, top = docs.sparkSession, min(top, depth)
 
     def strings(texts: list[str]) -> np.ndarray:
@@ -327,7 +318,7 @@ def string_values(docs: DataFrame, depth: int = DEPTH, bits: int = SLICE_BITS, t
                 yield rows(keys, len(keys), n0=n0, n1=n1, below=low)
             for at in range(0, len(k), 100_000):
                 part = k[at : at + 100_000]
-                yield rows(part, len(part), **dict(zip(LOW, model.decisions(part).astype(np.float32), strict=True)))
+                yield rows(part, len(part), n0=n[at : at + 100_000], **dict(zip(LOW, model.decisions(part).astype(np.float32), strict=True)))
 
         held: list[np.ndarray] = []
         size = 0
@@ -376,18 +367,24 @@ def string_values(docs: DataFrame, depth: int = DEPTH, bits: int = SLICE_BITS, t
         sums = spark.read.schema(schema).parquet(f"{path}/nodes/level={d}").where("place < 0").select((-1 - F.col("place")).alias("key"), "n0", "n1", "below")
 
     all_strings = both.where("below is null")
-    slices = max(1, -(-all_strings.count() >> bits)) if bits < 63 else 1
+    size = F.floor(F.log2(F.col("n0") + 1)).cast("int")
+    room, least = 1 << bits, 64
+    for r in all_strings.groupBy(size.alias("b")).agg(F.count("*").alias("n")).orderBy(F.desc("b")).collect():  # 64 rows at most
+        room -= r.n
+        if room < 0:
+            break
+        least = r.b
 
     def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             model = load_model(f"{path}/nodes", top)
             keys = b.column("key").to_numpy().astype(np.uint64)
             value = model.mix(keys, np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in LOW]))
-            yield _arrow(key=keys.view(np.int64), value=value.astype(np.float32), slice=slice_of(keys, slices))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(value.astype(np.float32)), b.column("rare")], names=["key", "value", "rare"])
 
-    values = all_strings.select("key", *LOW).mapInArrow(tidy("ctw-values", complete), "key long, value float, slice int")
-    values.write.partitionBy("slice").parquet(f"{path}/values")
-    return f"{path}/values", slices
+    values = all_strings.select("key", (size < least).alias("rare"), *LOW).mapInArrow(tidy("ctw-values", complete), "key long, value float, rare boolean")
+    values.write.partitionBy("rare").parquet(f"{path}/values")
+    return f"{path}/values"
 
 
 def _stored(path: str, columns: list[str], where=None) -> Iterator[pa.RecordBatch]:
@@ -414,33 +411,26 @@ def load_model(path: str, top: int) -> Model:
     return kept("ctw-values", path, make)
 
 
-def load_values(path: str, k: int) -> Values:
-    """Slice ``k`` of the values; a Python process loads it once and holds no other."""
+def load_values(path: str) -> Values:
+    """The values of the common strings, loaded once in a Python process."""
 
     def make() -> Values:
-        got = [(b.column("key").to_numpy().view(np.uint64), b.column("value").to_numpy()) for b in _stored(f"{path}/slice={k}", ["key", "value"])]
+        got = [(b.column("key").to_numpy().view(np.uint64), b.column("value").to_numpy()) for b in _stored(f"{path}/rare=false", ["key", "value"])]
         return Values(*(np.concatenate(x) for x in zip(*got, strict=True))) if got else Values(np.empty(0, np.uint64), np.empty(0, np.float32))
 
-    return kept(f"ctw-{path}-{k}", "values", make)
+    return kept(f"ctw-{path}", "values", make)
 
 
-def slice_scores(texts: list[str], values: Values, k: int, slices: int, depth: int) -> np.ndarray:
-    """What the strings of slice ``k`` add to the log10 probability of each text, its end included."""
-    if not texts:
-        return np.empty(0)
-    grams, size = pack(texts, depth)
-    if slices == 1:
-        got = values.get(grams)
-    else:
-        got, mine = np.zeros(len(grams), np.float32), np.flatnonzero(slice_of(grams, slices) == k)
-        got[mine] = values.get(grams[mine])
-    return np.add.reduceat(got, np.cumsum(size) - size, dtype=float)
+def _lists(size: np.ndarray, mine: np.ndarray, items: np.ndarray) -> pa.ListArray:
+    """The ``items`` marked by ``mine`` as one list for each text; ``size`` items belong to each."""
+    n = np.add.reduceat(mine.astype(np.int64), np.cumsum(size) - size) if len(size) else size
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(items[mine].view(np.int64)))
 
 
 # ------------------------------------------------------------------ scoring
 
 
-def scores(docs: DataFrame, mod: int = 5, depth: int = DEPTH, bits: int = SLICE_BITS, frequent: int = FREQUENT) -> DataFrame:
+def scores(docs: DataFrame, mod: int = 5, depth: int = DEPTH, bits: int = COMMON_BITS, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of each row.
 
     Learns from the rows that are not held out: crc32 of doc_id's digits does not leave 1 modulo ``mod``.
@@ -449,10 +439,8 @@ def scores(docs: DataFrame, mod: int = 5, depth: int = DEPTH, bits: int = SLICE_
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     train = docs.where(~held_out(mod))
-    values_path, slices = string_values(docs.withColumn("held_out", held_out(mod)), depth, bits)
+    values_path = string_values(docs.withColumn("held_out", held_out(mod)), depth, bits)
     docs = docs.withColumn("row", F.monotonically_increasing_id())
-    if slices > 1:  # rows keep their numbers over the passes
-        docs = saved(docs, "doc_id long, text string, row long", "lm-docs")
 
     def hashed(texts: list[str]) -> np.ndarray:
         return word_keys(texts, _hashes("ctw-words"))[0]
@@ -478,7 +466,7 @@ def scores(docs: DataFrame, mod: int = 5, depth: int = DEPTH, bits: int = SLICE_
         key, n = key[order], n[order]
         logs = np.log10((n + 0.5) / scale)
         for part, texts in _text_parts(batches):
-            values, hashes = load_values(values_path, 0), _hashes(f"ctw-{values_path}-0")
+            values, hashes = load_values(values_path), _hashes(f"ctw-{values_path}")
             h, size = word_keys(texts, hashes)
             at = np.searchsorted(key, h)
             at[at == len(key)] = 0
@@ -486,38 +474,28 @@ def scores(docs: DataFrame, mod: int = 5, depth: int = DEPTH, bits: int = SLICE_
             start = np.cumsum(size) - size
             base = np.add.reduceat(np.where(found, logs[at], 0.0) if len(key) else np.zeros(len(h)), start)
             known = np.add.reduceat(found.astype(np.int64), start)
-            rest = np.add.reduceat((~found).astype(np.int64), start)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rest)]).astype(np.int32)), pa.array(h[~found].view(np.int64)))
-            score = slice_scores(texts, values, 0, slices, depth)
-            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(size), pa.array(known), pa.array(base), pa.array(score), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), lists], names=names)
+            grams, n_bytes = pack(texts, depth)
+            value, missing = values.get(grams)
+            score = np.add.reduceat(value, np.cumsum(n_bytes) - n_bytes, dtype=float)
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(size), pa.array(known), pa.array(base), pa.array(score), pa.array(n_bytes), _lists(size, ~found, h), _lists(n_bytes, missing, grams)], names=names)
 
-    schema = "row long, doc_id long, n_tokens long, known long, base double, score double, n_bytes long, rest array<long>"
+    schema = "row long, doc_id long, n_tokens long, known long, base double, score double, n_bytes long, rest array<long>, rare array<long>"
     names = [x.split()[0] for x in schema.split(", ")]
     path = scratch(spark, "lm-rows")
-    docs.mapInArrow(tidy(f"ctw-{values_path}-0", run), schema).write.parquet(path)
+    docs.mapInArrow(tidy(f"ctw-{values_path}", run), schema).write.parquet(path)
     rows = spark.read.schema(schema).parquet(path)
-
-    def again(k: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, texts in _text_parts(batches):
-                score = slice_scores(texts, load_values(values_path, k), k, slices, depth)
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(score)], names=["row", "score"])
-
-        return run
-
-    more = scratch(spark, "lm-slices")
-    for k in range(1, slices):
-        docs.select("row", "text").mapInArrow(tidy(f"ctw-{values_path}-{k}", again(k)), "row long, score double").write.parquet(f"{more}/{k}")
-    if slices > 1:
-        others = spark.read.schema("row long, score double").parquet(*(f"{more}/{k}" for k in range(1, slices))).groupBy("row").agg(F.sum("score").alias("rest_score"))
-        rows = rows.join(others, "row").withColumn("score", F.col("score") + F.col("rest_score")).drop("rest_score")
+    some = spark.read.schema("key long, value float, rare boolean").parquet(values_path).where("rare").select("key", "value")
+    if some.take(1):
+        value = F.when(F.col("value").isNull(), F.raise_error(F.lit("texts changed while they were scored"))).otherwise(F.col("value").cast("double"))
+        rare = rows.select("row", F.explode("rare").alias("key")).join(some, "key", "left").groupBy("row").agg(F.sum(value).alias("rare_score"))
+        rows = rows.drop("rare").join(rare, "row", "left").withColumn("score", F.col("score") + F.coalesce("rare_score", F.lit(0.0)))
     rest = rows.select("row", F.explode("rest").alias("key")).join(counts, "key", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(scale) or 1.0))
     rest = rest.groupBy("row").agg(F.sum(log).alias("more"), F.count("n").alias("more_known"))
-    out = rows.drop("rest").join(rest, "row", "left")
+    out = rows.drop("rest", "rare").join(rest, "row", "left")
     return out.select(
         "doc_id", held_out(mod).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
