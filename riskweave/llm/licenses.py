@@ -13,7 +13,7 @@ band with it but for a probability of ``MISS``.
 
 A template with the needed share of shingles present has one of its anchor words in the text: anchors are
 chosen so that more than the rest of its shingles contain one. Texts without any anchor are passed over,
-without loss.
+without loss; this is for catalogues of up to ``ANCHORED`` templates, larger ones stay in their table.
 
 Defined results: a null or empty text has no license; equal rows are scanned each; a null doc_id stays
 null; templates may be any table of (license, text), of which those without words match nothing.
@@ -32,6 +32,8 @@ from .graph import saved
 SHINGLE, PERCENT, REPEATS, MISS, LEAST = 5, 80, 3, 1e-6, 8
 #: Rows of template bands up to which they are broadcast; beyond, a shuffle join does it.
 BROADCAST_BANDS = 1_000_000
+#: Templates up to which the driver chooses anchor words; with more, every text is cut.
+ANCHORED = 2_000
 
 # fixed values: public license notices
 NOTICES = [
@@ -47,6 +49,14 @@ NOTICES = [
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("bsd-2-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("agpl", "GNU Affero General Public License"),
+    ("lgpl", "GNU Lesser General Public License"),
+    ("gpl-2.0", "under the terms of the GNU General Public License version 2"),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("cc0-1.0", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
 ]
 
 
@@ -121,16 +131,16 @@ def scan(docs: DataFrame, known: DataFrame | None = None, percent: int = PERCENT
     """doc_id, n_licenses, licenses (sorted, by comma) and coverage (of the best match) of each row."""
     spark = docs.sparkSession
     known = known if known is not None else templates(spark)
-    texts = [r.text for r in known.where("text is not null").select("text").collect()]
+    few = [r.text for r in known.where("text is not null").select("text").limit(ANCHORED + 1).collect()]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("text"))
     low = F.lower("text")
-    likely = F.lit(False)
-    for w in anchors(texts, percent):
+    likely = F.lit(len(few) > ANCHORED)
+    for w in anchors(few, percent) if len(few) <= ANCHORED else ():
         likely = likely | F.contains(low, F.lit(w))
     words = rows.where(likely).select("doc_id", "key", word_list(F.col("text")).alias("w")).where("size(w) > 0")
     of = known.where("text is not null").select(F.col("license"), word_list(F.col("text")).alias("w")).where("size(w) > 0").withColumn("items", shingle_hashes(F.col("w")))
     found = None
-    for w in sorted({class_of(len(re.sub(r"[\W_]+", " ", t).split())) for t in texts}):
+    for w in sorted({class_of(r.n) for r in of.select(F.size("w").alias("n")).distinct().collect()}):  # lengths of templates, each once
         k = bins(w, percent)
         mine = of.where((F.size("w") <= w) & (F.size("w") > (w // 2 if w > LEAST else 0)))
         mine = mine.select("license", "items", F.explode(band_keys(F.col("items"), k)).alias("band"))

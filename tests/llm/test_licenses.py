@@ -43,3 +43,12 @@ def test_whole_and_partial_notices(spark):
 def test_settings():
     assert all(lc.bins(w) <= 1 << 12 for w in (8, 16, 32, 64, 128, 256))
     assert all(any(w in t.lower() for w in lc.anchors([t])) for _, t in lc.NOTICES)
+
+
+def test_large_catalogue(spark, monkeypatch):
+    """Without anchors, as for a catalogue that does not go to the driver, the same is found; and with no templates at all, nothing."""
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, (_, t) in enumerate(lc.NOTICES)] + [(99, "no terms at all in here")], "doc_id long, text string")
+    want = [tuple(r) for r in lc.scan(docs).collect()]
+    monkeypatch.setattr(lc, "ANCHORED", 3)
+    assert sorted(map(str, (tuple(r) for r in lc.scan(docs).collect()))) == sorted(map(str, want))
+    assert {r.n_licenses for r in lc.scan(docs, lc.templates(spark).limit(0)).collect()} == {0}
