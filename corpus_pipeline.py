@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return
 the columns of documents; the last writes the token shards, reads them back and returns a row for each
 document in them.
+
+Defined results: a null or empty text is scored like any other by the quality stage, is a duplicate and a leak
+of nothing, counts one token in the mixture and has only the end id in the shards; a null doc_id stays null, is
+judged by its text, and is no duplicate; of rows equal in doc_id and text one stays; a null source is a source of
+its own; further columns travel along whatever their names; an empty table gives an empty table in each stage.
 """
 
 from __future__ import annotations
