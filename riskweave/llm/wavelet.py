@@ -30,6 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -153,6 +154,36 @@ class Shard:
                 start, stop = start - a, stop - b
         return start, stop
 
+    def ranks(self, level: int, at: np.ndarray) -> np.ndarray:
+        """Ones before each of many positions of a plane."""
+        p = self.plane(level)
+        upto = np.concatenate([[0], np.cumsum(np.bitwise_count(p), dtype=np.int64)])
+        byte = np.minimum(at >> 3, len(p) - 1)  # a position behind the last byte counts that whole
+        part = np.bitwise_count(p[byte].astype(np.uint16) >> (8 - (at - (byte << 3))).astype(np.uint16))
+        return upto[byte] + part
+
+    def access_many(self, at: np.ndarray) -> np.ndarray:
+        """The tokens at many positions."""
+        value = np.zeros(len(at), np.int64)
+        if not len(at):
+            return value
+        for level in range(self.bits):
+            bit = self.plane(level)[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+            ones = self.ranks(level, at)
+            at = np.where(bit, self.zeros[level] + ones, at - ones)
+            value = value << 1 | bit
+        return value
+
+    def count_many(self, token: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Occurrences of a token in many ranges [start, stop)."""
+        if not len(start) or not self.tokens:
+            return np.zeros(len(start), np.int64)
+        for level in range(self.bits):
+            a, b = self.ranks(level, start), self.ranks(level, stop)
+            high = token >> (self.bits - 1 - level) & 1
+            start, stop = (self.zeros[level] + a, self.zeros[level] + b) if high else (start - a, stop - b)
+        return stop - start
+
     def count(self, token: int, start: int = 0, stop: int | None = None) -> int:
         """Occurrences of a token in [start, stop)."""
         a, b = self._range(token, start, self.tokens if stop is None else stop)
@@ -238,42 +269,61 @@ class Words:
 
     PLAIN = re.compile("[^\x00-\u017f]|'")
     PIECE = re.compile("[a-zªµºß-öø-\u017f]+|[^\\sa-zªµºß-öø-\u017f]+")
+    #: Stands between pieces that go to the library in one string, and is one token; texts that hold it go whole.
+    MARK = "\x01"
 
-    def __init__(self, path: str, remember: tuple[int, int] = (500_000, 1_500_000)):
+    def __init__(self, path: str, remember: tuple[int, int] = (300_000, 1_000_000)):
         self.tok, (self.most_words, self.most_pieces) = load(path), remember
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()] + list("\x1c\x1d\x1e\x1f\u180e\ufeff")
+        own = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = "|".join([*own, f"[{self.MARK}\x1c\x1d\x1e\x1f\u180e\ufeff]"])
+        (mark,) = encode_all(self.tok, [self.MARK])
+        self.mark = mark[0] if len(mark) == 1 else None
         self.kind = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
         self.words, self.of_word = _Numbers(), _Pool(self.kind)
         self.pieces, self.of_piece = _Numbers(), _Pool(self.kind)
 
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one after the other, and the number of each one's ids."""
+        if self.mark is None:
+            ids = encode_all(self.tok, pieces)
+            return np.fromiter(chain.from_iterable(ids), self.kind), np.fromiter(map(len, ids), np.int32, len(ids))
+        joined = [f" {self.MARK} ".join([*pieces[at : at + 200], ""]) for at in range(0, len(pieces), 200)]
+        flat = np.fromiter(chain.from_iterable(encode_all(self.tok, joined)), self.kind)
+        marks = np.flatnonzero(flat == self.mark)
+        return np.delete(flat, marks), np.diff(marks, prepend=-1).astype(np.int32) - 1
+
     def _learn(self) -> None:
         new, self.words.new = self.words.new, []
         cut = [[w.lower()] if w.isascii() and w.isalpha() else [w] if self.PLAIN.search(w) else self.PIECE.findall(w.lower()) for w in new]
         k = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(cut)), np.int64)
         fresh, self.pieces.new = self.pieces.new, []
         for at in range(0, len(fresh), 20_000):
-            ids = encode_all(self.tok, fresh[at : at + 20_000])
-            self.of_piece.add(np.fromiter(chain.from_iterable(ids), self.kind), np.fromiter(map(len, ids), np.int32, len(ids)))
+            self.of_piece.add(*self._ids(fresh[at : at + 20_000]))
         flat, end = self.of_piece.take(k)
         last = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
         self.of_word.add(flat, np.diff(np.concatenate([[0], end])[np.concatenate([[0], last])]).astype(np.int32))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        """The ids of each text; null is empty. Arrow cuts the texts at white space and finds the distinct words."""
         if len(self.words) > self.most_words:
             self.words, self.of_word = _Numbers(), _Pool(self.kind)
         if len(self.pieces) > self.most_pieces:
             self.pieces, self.of_piece = _Numbers(), _Pool(self.kind)
-        whole = [any(x in s for x in self.special) for s in texts]
-        cut = [[] if w else s.split() for s, w in zip(texts, whole, strict=True)]
-        k = np.fromiter(map(self.words.__getitem__, chain.from_iterable(cut)), np.int64)
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        whole = pc.match_substring_regex(column, self.special)
+        cut = pc.utf8_split_whitespace(pc.if_else(whole, "", column))
+        coded = cut.flatten().dictionary_encode()
+        k = np.fromiter(map(self.words.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))
         self._learn()
-        flat, end = self.of_word.take(k)
-        last = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
-        parts = np.split(flat, np.concatenate([[0], end])[last][:-1]) if texts else []
-        return [np.array(encode_all(self.tok, [s])[0], self.kind) if w else p for s, w, p in zip(texts, whole, parts, strict=True)]
+        flat, end = self.of_word.take(k[coded.indices.to_numpy()])
+        last = cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py()
+        parts = np.split(flat, np.concatenate([[0], end])[last][:-1]) if len(column) else []
+        for at in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            parts[at] = np.array(encode_all(self.tok, [column[at].as_py()])[0], self.kind)
+        return parts
 
 
-def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
+def encoder(path: str) -> Callable[[pa.Array | list[str]], list[np.ndarray]]:
     return kept("wavelet", path, lambda: Words(path)).encode
 
 
@@ -330,7 +380,7 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                for doc, where, tokens in zip(part.column("doc_id").to_pylist(), part.column("_range").to_pylist(), encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
+                for doc, where, tokens in zip(part.column("doc_id").to_pylist(), part.column("_range").to_pylist(), encode(part.column("text")), strict=True):
                     if where != place:
                         flush()
                         place, number = where, 0
@@ -346,7 +396,11 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
     manifest = f"{out_dir}/manifest"
     ranged.mapInArrow(tidy("wavelet", run), "file string, docs long, tokens long").write.mode("overwrite").parquet(manifest)
     rows = spark.read.schema("file string, docs long, tokens long").parquet(manifest)
-    return rows.withColumn("start", F.coalesce(F.sum("tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # starts of ranges, of which there are MOST_RANGES at most, then of files within their range
+    rows = rows.withColumn("place", F.substring("file", 6, 6))
+    earlier = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = rows.groupBy("place").agg(F.sum("tokens").alias("tokens")).select("place", earlier(Window.orderBy("place")).alias("begin"))
+    return rows.join(F.broadcast(ranges), "place").withColumn("start", F.col("begin") + earlier(Window.partitionBy("place").orderBy("file"))).drop("place", "begin")
 
 
 def read_shards(spark: SparkSession, out_dir: str) -> DataFrame:
@@ -354,11 +408,14 @@ def read_shards(spark: SparkSession, out_dir: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.wm").load(out_dir).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "content")
 
 
-def digests(spark: SparkSession, out_dir: str, manifest: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens and ids_crc32 (its ids as little-endian unsigned 32-bit integers)."""
-    schema = "file string, doc_id long, at long, n_tokens long, ids_crc32 long"
+def digests(spark: SparkSession, out_dir: str, manifest: DataFrame, end_id: int = 1) -> DataFrame:
+    """Per document, from the files: doc_id, start, n_tokens and ids_crc32 (its ids as little-endian unsigned 32-bit integers);
+
+    and by rank alone, without undoing the planes, first_id, its first token, and n_ends, how often it has ``end_id``.
+    """
+    schema = "file string, doc_id long, at long, n_tokens long, ids_crc32 long, first_id long, n_ends long"
     if not manifest.take(1):
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, first_id long, n_ends long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -368,14 +425,14 @@ def digests(spark: SparkSession, out_dir: str, manifest: DataFrame) -> DataFrame
                 ends = np.cumsum(sizes)
                 tokens = shard.all().astype("<u4")
                 crc = [zlib.crc32(tokens[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids)), pa.array(ids, pa.int64()), pa.array(ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], names=["file", "doc_id", "at", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids)), pa.array(ids, pa.int64()), pa.array(ends - sizes), pa.array(sizes), pa.array(crc, pa.int64()), pa.array(shard.access_many(ends - sizes)), pa.array(shard.count_many(end_id, ends - sizes, ends))], names=["file", "doc_id", "at", "n_tokens", "ids_crc32", "first_id", "n_ends"])
 
     docs = read_shards(spark, out_dir).mapInArrow(tidy("wavelet", run), schema)
-    return docs.join(manifest.select("file", F.col("start").alias("before")), "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.join(manifest.select("file", F.col("start").alias("before")), "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "first_id", "n_ends")
 
 
 def token_shards(docs: DataFrame, tokenizer_path: str, out_dir: str | None = None, end_id: int = 1) -> DataFrame:
     """Writes the shards, reads them back, and returns the digest of each document."""
     spark = docs.sparkSession
     out_dir = out_dir or scratch(spark, "shards")
-    return digests(spark, out_dir, write_shards(docs, out_dir, tokenizer_path, end_id))
+    return digests(spark, out_dir, write_shards(docs, out_dir, tokenizer_path, end_id), end_id)

@@ -28,6 +28,9 @@ def test_matrix(values, token):
     s = Shard(encode_shard([7], [len(values)], np.array(values, np.uint16), 6))
     assert s.all().tolist() == values
     assert [s.access(k) for k in range(0, len(values), 7)] == values[::7]
+    assert s.access_many(np.arange(len(values))).tolist() == values
+    cuts = np.arange(len(values) + 1)
+    assert s.count_many(token, cuts[:0], cuts[:0]).tolist() == [] and s.count_many(token, 0 * cuts, cuts).tolist() == [values[:k].count(token) for k in cuts]
     a, b = len(values) // 3, len(values)
     assert s.count(token, a, b) == values[a:b].count(token)
     where = [k for k, v in enumerate(values) if v == token]
@@ -47,7 +50,7 @@ def expect(rows):
     out, at = [], 0
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = [*TOK.encode(t or "", add_special_tokens=False).ids, 1]
-        out.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4"))))
+        out.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4")), ids[0], ids.count(1)))
         at += len(ids)
     return sorted(out, key=str)
 
