@@ -1,11 +1,13 @@
 """Document fingerprints by Order MinHash (operator 3).
 
-A text's k-mers (K code points) are numbered by occurrence, so the multiset becomes a set, and hashed to
-the circle of 40-bit numbers. Each of M entries has its own order of the k-mers: the distance of a hash
-from the entry's start, going round, the starts dividing the circle evenly. An entry takes the L least
-k-mers of its order, puts them back into the order of the text, and hashes that tuple. Two texts agree on
-an entry if both its k-mers and their order agree, which follows edit distance where a plain MinHash
-follows content alone. The likeness of two fingerprints is the share of entries that agree.
+A text's k-mers (K code points) are numbered by occurrence, so the multiset becomes a set, and hashed.
+CIRCLES multiplications of the hash put them on as many circles of 40-bit numbers, and each circle gives
+M / CIRCLES orders: the distance of a number from a start, going round, the starts dividing the circle
+evenly. Starts of one circle look at different parts of it, so a text of more than a few k-mers has
+orders that hardly share their least ones. An entry takes the L least k-mers of its order, puts them back
+into the order of the text, and hashes that tuple. Two texts agree on an entry if both its k-mers and their
+order agree, which follows edit distance where a plain MinHash follows content alone. The likeness of two
+fingerprints is the share of entries that agree.
 
 The document that follows in ascending doc_id is found without a global sort in one task: rows are dealt
 to ranges of doc_id, and the first rows of each range are also dealt to the range before it.
@@ -29,10 +31,13 @@ from riskweave.session import ship
 
 from .common import id_bounds, mix64, range_of, tidy
 
-K, L, M = 8, 2, 64
+K, L, M, CIRCLES = 8, 2, 64, 16
 RANGE_CHARS = 32 << 20
 _PLACE = np.uint64(24)
+_LOW = np.uint64((1 << 24) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Odd factors, one for each circle.
+_TURNS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -52,44 +57,52 @@ def kmer_hashes(text: str, k: int = K) -> np.ndarray:
 
 
 def numbered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """40-bit hashes of the occurrence-numbered k-mers in ascending order, and their positions."""
+    """64-bit hashes of the occurrence-numbered k-mers, and their positions."""
     if len(h) < 1 << 24:
         s = np.sort((h >> _PLACE << _PLACE) | np.arange(len(h), dtype=np.uint64))
-        value, place = s >> _PLACE, s & np.uint64((1 << 24) - 1)
+        value, place = s >> _PLACE, s & _LOW
     else:
         value = h >> _PLACE
         place = np.argsort(value, kind="stable").astype(np.uint64)
         value = value[place]
     first = np.ones(len(h), bool)
     first[1:] = value[1:] != value[:-1]
+    turn = np.zeros(len(h), np.uint64)
     if not first.all():
         at = np.arange(len(h))
         turn = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            value = mix64(value + (turn + np.uint64(1)) * _BASE)
-    else:
-        with np.errstate(over="ignore"):
-            value = mix64(value + _BASE)
-    if len(h) < 1 << 24:
-        s = np.sort((value >> _PLACE << _PLACE) | place)
-        return s >> _PLACE, s & np.uint64((1 << 24) - 1)
-    value >>= _PLACE
-    order = np.lexsort((place, value))
-    return value[order], place[order]
-
-
-def fingerprint(text: str, k: int = K, l: int = L, m: int = M) -> np.ndarray:  # noqa: E741
+    with np.errstate(over="ignore"):
+        return mix64(value + (turn + np.uint64(1)) * _BASE), place
+
+
+def _least(v: np.ndarray, place: np.ndarray, starts: np.ndarray, l: int) -> tuple[np.ndarray, np.ndarray]:  # noqa: E741
+    """Numbers and positions of the ``l`` k-mers (all, if there are fewer) that come first from each start, going round; equal numbers by position."""
+    n, span = len(v), (1 << 40) // len(starts)
+    if n > 48 * len(starts) and n < 1 << 24:
+        # the first ones lie right behind the starts: about 12 a start are looked at
+        near = np.flatnonzero(v % np.uint64(span) < np.uint64(span * 12 * len(starts) // n))
+        s = np.sort(v[near] << _PLACE | place[near])
+        first = np.searchsorted(s, starts << _PLACE)
+        if (np.append(first[1:], len(s)) - first >= l).all():
+            got = s[first[:, None] + np.arange(l)]
+            return got >> _PLACE, got & _LOW
+    order = np.lexsort((place, v))
+    at = order[(np.searchsorted(v[order], starts)[:, None] + np.arange(min(l, n))) % n]
+    return v[at], place[at]
+
+
+def fingerprint(text: str, k: int = K, l: int = L, m: int = M, circles: int = CIRCLES) -> np.ndarray:  # noqa: E741
     """``m`` entries of 32 bits."""
     if not text:
         return np.zeros(m, np.uint32)
     value, place = numbered(kmer_hashes(text, k))
-    n = len(value)
-    starts = (np.arange(m, dtype=np.uint64) << np.uint64(40)) // np.uint64(m)
-    at = (np.searchsorted(value, starts)[:, None] + np.arange(min(l, n))) % n
-    order = np.argsort(place[at], axis=1, kind="stable")
-    picked = np.take_along_axis(value[at], order, axis=1)
-    out = np.full(m, np.uint64(min(l, n)))
+    each = m // circles
+    starts = (np.arange(each, dtype=np.uint64) << np.uint64(40)) // np.uint64(each)
     with np.errstate(over="ignore"):
+        got = [_least(value * turn >> _PLACE, place, starts, l) for turn in _TURNS[:circles]]
+        v, at = (np.concatenate(x) for x in zip(*got, strict=True))
+        picked = np.take_along_axis(v, np.argsort(at, axis=1, kind="stable"), axis=1)
+        out = np.full(m, np.uint64(picked.shape[1]))
         for j in range(picked.shape[1]):
             out = mix64(out * _BASE + picked[:, j] + np.uint64(1))
     return (out >> np.uint64(32)).astype(np.uint32)

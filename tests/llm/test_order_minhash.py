@@ -8,22 +8,45 @@ from hypothesis import strategies as st
 from riskweave.llm import order_minhash as om
 
 
-def plain(text, k=om.K, l=om.L, m=om.M):  # noqa: E741
-    """Each entry by sorting all occurrence-numbered k-mers in its own order."""
+WORD = (1 << 64) - 1
+BASE = 0x9E3779B97F4A7C15
+
+
+def mixed(x):
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ x >> 33) * factor & WORD
+    return x ^ x >> 33
+
+
+def kmer(s):
+    """Hash of a k-mer: its code points as a polynomial; shorter ones with their length."""
+    h = 0
+    if len(s) < om.K:
+        for c in s:
+            h = (h * BASE + ord(c) + 1) & WORD
+        return mixed((h + len(s)) & WORD)
+    for c in s:
+        h = (h * BASE + ord(c)) & WORD
+    return mixed(h)
+
+
+def plain(text, k=om.K, l=om.L, m=om.M, circles=om.CIRCLES):  # noqa: E741
+    """Each entry by sorting all occurrence-numbered k-mers in its own order, with whole numbers only."""
     if not text:
         return [0] * m
     seen, items = {}, []
-    for p, h in enumerate(om.kmer_hashes(text, k).tolist()):
-        h >>= 24
+    for p in range(max(1, len(text) - k + 1)):
+        h = kmer(text[p : p + k]) >> 24
         turn = seen[h] = seen.get(h, 0) + 1
-        items.append((int(om.mix64(np.array([(h + turn * int(om._BASE)) & (1 << 64) - 1], np.uint64))[0]) >> 24, p))
+        items.append((mixed((h + turn * BASE) & WORD), p))
     out = []
     for b in range(m):
-        start = (b << 40) // m
-        least = sorted(items, key=lambda x: ((x[0] - start) % (1 << 40), x[1]))[:l]
+        factor, start = mixed(b // (m // circles) + 1) | 1, (b % (m // circles) << 40) // (m // circles)
+        placed = [(v * factor % (1 << 64) >> 24, p) for v, p in items]
+        least = sorted(placed, key=lambda x: ((x[0] - start) % (1 << 40), x[1]))[:l]
         h = len(least)
         for v, _ in sorted(least, key=lambda x: x[1]):
-            h = int(om.mix64(np.array([(h * int(om._BASE) + v + 1) & (1 << 64) - 1], np.uint64))[0])
+            h = mixed((h * BASE + v + 1) & WORD)
         out.append(h >> 32)
     return out
 
@@ -34,6 +57,21 @@ def test_equals_plain(text):
     assert om.fingerprint(text).tolist() == plain(text)
 
 
+def test_long_texts_equal_plain():
+    r = random.Random(8)
+    for n in (100, 192, 193, 1500):
+        for alphabet in ("ab", "abcdefghij klmnop"):
+            text = "".join(r.choices(alphabet, k=n))
+            assert om.fingerprint(text).tolist() == plain(text)
+
+
+def test_short_texts_have_many_orders():
+    r = random.Random(2)
+    for n, least in ((20, 30), (40, 50)):
+        made = [len(set(om.fingerprint("".join(r.choices("abcdefghijklmnop ", k=n))).tolist())) for _ in range(20)]
+        assert np.mean(made) > least, made
+
+
 def test_follows_edits_and_order():
     r = random.Random(3)
     words = ["".join(r.choices("abcdefghij", k=6)) for _ in range(400)]
