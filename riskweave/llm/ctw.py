@@ -42,6 +42,8 @@ from .common import WordHash, kept, mix64, tidy, words
 from .learn import held_out
 
 DEPTH, TOP, COMMON_BITS = 6, 3, 22
+#: Distinct keys that a task holds while it counts, 16 bytes each and as much again for a merge.
+HELD = 4_000_000
 #: Words whose counts are broadcast, at most.
 FREQUENT = 200_000
 START, END = 0xFE, 0xFF
@@ -255,7 +257,7 @@ def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 
 def _counter(keys_of):
-    """Counts keys within a task, giving them up when over a million and a half distinct ones are held."""
+    """Counts keys within a task, giving them up when over ``HELD`` distinct ones are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -266,10 +268,10 @@ def _counter(keys_of):
                 k, n = np.unique(keys_of([t for t, o in zip(texts, out, strict=True) if o == aside]), return_counts=True)
                 held.append((k, n.astype(np.int64) * (not aside)))
                 size += len(k)
-            if size > 1_000_000:
+            if size > HELD:
                 held = [_merge(held)]
                 size = len(held[0][0])
-                if size > 1_500_000:
+                if size > 3 * HELD // 4:  # or the next parts would be merged with it one by one
                     yield _arrow(key=held[0][0].view(np.int64), n=held[0][1])
                     held, size = [], 0
         if held:
