@@ -127,12 +127,17 @@ FAMILY_OF = {"B": "dos_abuse", "H": "harmful_jailbreak", "I": "injection_signatu
 SETTLED = {"U-4", "C-1", "L-5"}
 
 
-def catalogue(spark: SparkSession) -> DataFrame:
-    """All rules as a table: rule, family, place in the order of findings, taxonomy_id, pattern_id, confidence, raised_to, review, settled, message."""
+def catalogue_rows() -> list[tuple]:
+    """All rules: rule, family, taxonomy_id, pattern_id, confidence, raised_to, review, message, place in the order of findings, settled."""
     rows = [(r.id, r.family, r.taxonomy, r.pattern, r.confidence, r.raised_to or r.confidence, r.review, r.message) for r in R.RULES]
     rows += [(k, FAMILY_OF[k[0]], t, p, c, c if up is None else up, rev, m) for k, (t, p, c, up, rev, m) in OTHER.items()]
     rows.sort(key=lambda r: (R.FAMILIES.index(r[1]), int(r[0].split("-")[1])))
-    return spark.createDataFrame([(*r, k, r[0] in SETTLED) for k, r in enumerate(rows)], "rule string, family string, taxonomy_id string, pattern_id string, confidence double, raised_to double, review boolean, message string, place int, settled boolean")
+    return [(*r, k, r[0] in SETTLED) for k, r in enumerate(rows)]
+
+
+def catalogue(spark: SparkSession) -> DataFrame:
+    """All rules as a table, with the columns of ``catalogue_rows``."""
+    return spark.createDataFrame(catalogue_rows(), "rule string, family string, taxonomy_id string, pattern_id string, confidence double, raised_to double, review boolean, message string, place int, settled boolean")
 
 
 def abuse(text: Column) -> list[Column]:

@@ -14,9 +14,10 @@ from riskweave.operators.annotate import findings
 from riskweave.operators.chunks import chunked, judge_all, judged_findings, verdicts
 from riskweave.operators.context import conversation_records, text_records, with_context
 from riskweave.operators.images import all_findings
+from riskweave.operators.inrow import reports_in_rows
 from riskweave.operators.merge import by_category, merged, reports, review_queue, totals
 from riskweave.plans import rules as R
-from riskweave.plans.taxonomy import CATEGORIES, categories
+from riskweave.plans.taxonomy import CATEGORIES, categories, coverage
 from riskweave.session import ship
 
 #: Texts that set off rules which the tables' own texts rarely do: records of their own beside the tables, in the queries of single rules only.
@@ -125,15 +126,21 @@ def scan_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports(d, merged(all_findings(d))).select("record_id", "platform", "scan_status", "finding_count", "needs_review_count", F.to_json("findings").alias("findings"))
 
 
+def row_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of documents and pages made within their rows, as a stream would have them."""
+    return reports_in_rows(documents(spark, sf_dir)).select("record_id", "platform", "scan_status", "finding_count", "needs_review_count", F.to_json("findings").alias("findings"))
+
+
 def platform_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
     return totals(d, merged(all_findings(d)))
 
 
 def coverage_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every category with its findings: the dimension joined to the counts."""
+    """Every category with who can test for it and its findings: the coverage view joined to the counts."""
     hits = findings_by_category(spark, sf_dir)
-    return categories(spark).join(hits, F.col("id") == F.col("taxonomy_id"), "left").select("id", "name", "status", F.coalesce("n_findings", F.lit(0)).alias("n_findings"), F.coalesce("n_records", F.lit(0)).alias("n_records"))
+    rows = coverage(spark).join(hits, F.col("id") == F.col("taxonomy_id"), "left")
+    return rows.select("id", "name", "tracks", "status", "who_can_test", F.coalesce("n_findings", F.lit(0)).alias("n_findings"), F.coalesce("n_records", F.lit(0)).alias("n_records"))
 
 
 def message_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +270,7 @@ def status_sql() -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (raw_findings, merged_findings, conversation_findings, findings_by_category, needs_review, scan_reports, platform_totals, coverage_hits, message_offsets, conversation_texts, keyword_pairs, line_shapes, first_of_equal, best_two_emails, links_by_kind, conversation_chunks, judged_documents, records_by_platform, status_counts)
+    for f in (raw_findings, merged_findings, conversation_findings, findings_by_category, needs_review, scan_reports, row_reports, platform_totals, coverage_hits, message_offsets, conversation_texts, keyword_pairs, line_shapes, first_of_equal, best_two_emails, links_by_kind, conversation_chunks, judged_documents, records_by_platform, status_counts)
 }
 ORACLE_SQL: dict[str, str] = {
     "message_offsets": MESSAGE_OFFSETS, "conversation_texts": CONVERSATION_TEXTS, "keyword_pairs": KEYWORD_PAIRS, "line_shapes": LINE_SHAPES, "first_of_equal": FIRST_OF_EQUAL,
