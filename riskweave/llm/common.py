@@ -46,7 +46,9 @@ _KEPT: dict[str, dict] = {}
 def kept(operator: str, name: str, make):
     """What an operator keeps in a Python worker between tasks: made once, and dropped when another operator runs there."""
     if operator not in _KEPT:
-        _KEPT.clear()
+        if _KEPT:
+            _KEPT.clear()
+            release()  # before the new operator fills the worker
         _KEPT[operator] = {}
     own = _KEPT[operator]
     if name not in own:

@@ -272,7 +272,7 @@ class Words:
     #: Stands between pieces that go to the library in one string, and is one token; texts that hold it go whole.
     MARK = "\x01"
 
-    def __init__(self, path: str, remember: tuple[int, int] = (300_000, 1_000_000)):
+    def __init__(self, path: str, remember: tuple[int, int] = (150_000, 400_000)):
         self.tok, (self.most_words, self.most_pieces) = load(path), remember
         own = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.special = "|".join([*own, f"[{self.MARK}\x1c\x1d\x1e\x1f\u180e\ufeff]"])
