@@ -37,9 +37,8 @@ from pyspark.sql import functions as F
 from riskweave.session import ship
 
 from .common import tidy
-from .graph import forget, saved
+from .graph import saved
 
-SPACE = " \t\n\x0b\x0c\r"
 #: Rows of a block; its weighing is quadratic in them.
 BLOCK = 128
 #: Grammar states: 0 nothing yet, 1 after s, 2 after u, 3 after a. Which role's initial leads where.
@@ -355,15 +354,15 @@ def _applied(rows: DataFrame, counts: DataFrame, run, ddl: str) -> DataFrame:
     return both.select("conv_id", "tag", "turn", "role", "text", "copies", *names).mapInArrow(tidy("repair", run), ddl)
 
 
-def _counts(rows: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+def _counts(rows: DataFrame, block_rows: int) -> DataFrame:
     blocks = saved(_weighed(_light(rows), block_rows), WEIGHED, "repair-blocks")
-    return _put_together(blocks), blocks
+    return _put_together(blocks)
 
 
 def reports(rows: DataFrame, block_rows: int = BLOCK) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit and repaired_sha256 of each conversation of ``damaged`` rows."""
     ship(rows.sparkSession)
-    counts, _ = _counts(rows, block_rows)
+    counts = _counts(rows, block_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, head, applied, hashed, some = _schema(RESULT), None, None, None, False
@@ -400,7 +399,7 @@ def repaired(rows: DataFrame, block_rows: int = BLOCK) -> DataFrame:
     """conv_id, position (from 0), role, text and edit (K, R or I) of every turn of the repaired conversations."""
     ship(rows.sparkSession)
     ddl = "conv_id long, position long, role string, text string, edit string"
-    counts, _ = _counts(rows, block_rows)
+    counts = _counts(rows, block_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, conv, applied, n = _schema(ddl), None, None, 0
@@ -430,3 +429,55 @@ def repaired(rows: DataFrame, block_rows: int = BLOCK) -> DataFrame:
                 yield _batch(put, schema)
 
     return _applied(rows, counts, run, ddl)
+
+
+#: crc32 of a short ASCII string ``k``, bit by bit, in DuckDB.
+CRC32_SQL = """xor(list_reduce([4294967295::BIGINT] || list_transform(generate_series(1, length(k)), lambda i: ascii(substr(k, i::INT, 1))::BIGINT),
+    lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT, 1, 2, 3, 4, 5, 6, 7], lambda x, j: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295::BIGINT)"""
+
+#: The same repair as a recursion over rows that keeps the least cost and audit of each grammar state.
+ORACLE = f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), harmed AS (SELECT *, {CRC32_SQL} % 20 AS h FROM keyed), left_over AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM harmed, (VALUES (1), (2)) AS v(copy) WHERE h <> 0 AND (copy = 1 OR h = 3)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM left_over
+), judged AS (
+  SELECT conv_id, turn, role, text, i, CASE WHEN t = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+         substr(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1, 1) || substr(role, 1, 1) AS pair FROM placed
+), counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+), convs AS (SELECT DISTINCT c.conv_id, coalesce(n, 0) AS n FROM conversations c LEFT JOIN counts k ON c.conv_id IS NOT DISTINCT FROM k.conv_id),
+gap(p, q, letters, cost, turns) AS (
+  VALUES (0, 0, '', 0, []), (1, 1, '', 0, []), (2, 2, '', 0, []), (3, 3, '', 0, []), (0, 2, 'I', 3, ['user:']), (1, 2, 'I', 3, ['user:']),
+         (2, 3, 'I', 3, ['assistant:']), (3, 2, 'I', 3, ['user:']), (0, 3, 'II', 6, ['user:', 'assistant:']), (1, 3, 'II', 6, ['user:', 'assistant:'])
+), leads(p, x, q) AS (VALUES (0, '', 0), (1, '', 1), (2, '', 2), (3, '', 3), (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+edits AS (
+  SELECT conv_id, i, 'D' AS letter, 4 AS cost, '' AS x, [] AS turns FROM judged
+  UNION ALL SELECT conv_id, i, 'K', CASE WHEN fault = 't' THEN 3 ELSE 0 END, substr(role, 1, 1), [role || ':' || text] FROM judged WHERE fault NOT IN ('b', 'd') AND role <> ''
+  UNION ALL SELECT conv_id, i, 'R', CASE WHEN fault = 't' THEN 6 ELSE 3 END, substr(r, 1, 1), [r || ':' || text] FROM judged, (VALUES ('user'), ('assistant')) AS v(r) WHERE fault NOT IN ('b', 'd')
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, lpad('0', 12, '0') AS w, []::VARCHAR[] AS turns FROM convs
+  UNION ALL
+  SELECT conv_id, i, q, min(w), arg_min(turns, w) FROM (
+    SELECT e.conv_id, e.i, l.q, lpad(CAST(CAST(left(s.w, 12) AS BIGINT) + g.cost + e.cost AS VARCHAR), 12, '0') || substr(s.w, 13) || g.letters || e.letter AS w,
+           s.turns || g.turns || e.turns AS turns
+    FROM walk s JOIN gap g ON g.p = s.q JOIN edits e ON e.conv_id IS NOT DISTINCT FROM s.conv_id AND e.i = s.i + 1 JOIN leads l ON l.p = g.q AND l.x = e.x
+  ) GROUP BY conv_id, i, q
+), ends AS (
+  SELECT conv_id, min(w) AS w, arg_min(turns, w) AS turns FROM (
+    SELECT s.conv_id, lpad(CAST(CAST(left(s.w, 12) AS BIGINT) + g.cost AS VARCHAR), 12, '0') || substr(s.w, 13) || g.letters AS w, s.turns || g.turns AS turns
+    FROM walk s JOIN convs c ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.n = s.i JOIN gap g ON g.p = s.q WHERE g.q IN (0, 3)
+  ) GROUP BY conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(left(w, 12) AS BIGINT) AS cost, substr(w, 13) AS audit, sha256(array_to_string(turns, chr(10))) AS repaired_sha256
+FROM ends e LEFT JOIN counts k ON e.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
