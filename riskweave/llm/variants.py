@@ -119,6 +119,17 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     return at, full
 
 
+#: Characters from which the edit distance, whose time grows with the square of them, gives way to the first difference.
+LONG = 200
+
+
+def one_edit(a: str, b: str) -> str:
+    """SQL: whether two strings whose lengths differ by at most one are one edit apart."""
+    at = f"cast(array_position(zip_with(split({a}, ''), split({b}, ''), (x, y) -> x <=> y), false) as int)"
+    rest = f"case length({a}) - length({b}) when 0 then substring({a}, {at} + 1) = substring({b}, {at} + 1) when 1 then substring({a}, {at} + 1) = substring({b}, {at}) else substring({a}, {at}) = substring({b}, {at} + 1) end"
+    return f"if(length({a}) > {LONG}, abs(length({a}) - length({b})) < 2 and {a} <> {b} and {rest}, levenshtein({a}, {b}, 1) = 1)"
+
+
 #: An edge's child at the word's end must end a word, and else go on with the word's next character.
 GOES_ON = "{after} <= len and if({after} = len, ends, contains(follow, substring(word, {after} + 1, 1)))"
 
@@ -137,7 +148,7 @@ def first_edits(path: DataFrame, edges: DataFrame) -> DataFrame:
     fits = GOES_ON.format(after=after)
     # a letter lost right after the label is one lost before the next edge
     once = "(more < 1 or substring(word, pos + 1, m) <> label)"
-    return here.join(dealt, ["node", "part"]).where(f"{fits} and {once} and levenshtein(substring(word, pos + 1, m + more), label, 1) = 1").selectExpr("word", "len", f"{after} as pos", "child as node")
+    return here.join(dealt, ["node", "part"]).where(f"{fits} and {once} and {one_edit('substring(word, pos + 1, m + more)', 'label')}").selectExpr("word", "len", f"{after} as pos", "child as node")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -170,7 +181,7 @@ def neighbours(words: DataFrame) -> DataFrame:
 
 
 def _pairs(ends: DataFrame, at_end: DataFrame) -> DataFrame:
-    return ends.join(at_end, "node").where("word <> other and levenshtein(word, other, 1) = 1").select("word", "other")
+    return ends.join(at_end, "node").where(f"word <> other and {one_edit('word', 'other')}").select("word", "other")
 
 
 def variants(docs: DataFrame, length: int = 5, least: int = 3, times: int = 2) -> DataFrame:

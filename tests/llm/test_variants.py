@@ -71,6 +71,7 @@ def test_crowded_nodes(spark, monkeypatch):
     r = random.Random(6)
     rows = [(i, " ".join("".join(r.choices("abcd", k=6)) for _ in range(200))) for i in range(15)]
     monkeypatch.setattr(variants, "PART", 40)
+    monkeypatch.setattr(variants, "LONG", 2)
     assert run(frame(spark, rows), least=2) == brute(rows, least=2)
 
 
