@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, repair, variants
+from . import licenses, mixing, repair, variants, vectors
 from .common import table
 
 
@@ -82,11 +82,17 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_decontaminate": op2_decontaminate, "op3_order_minhash": op3_order_minhash, "op4_context_tree": op4_context_tree, "op5_toxicity": op5_toxicity, "op6_token_counts": op6_token_counts, "op7_licenses": op7_licenses, "op8_quality": op8_quality, "op9_token_shards": op9_token_shards, "op10_mixing": op10_mixing, "op11_conversation_repair": op11_conversation_repair, "op12_spelling_variants": op12_spelling_variants, "pipeline": pipeline}
-ORACLE_SQL: dict[str, str] = {"op7_licenses": licenses.oracle(), "op10_mixing": mixing.ORACLE, "op11_conversation_repair": repair.ORACLE, "op12_spelling_variants": variants.ORACLE}
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_decontaminate": op2_decontaminate, "op3_order_minhash": op3_order_minhash, "op4_context_tree": op4_context_tree, "op5_toxicity": op5_toxicity, "op6_token_counts": op6_token_counts, "op7_licenses": op7_licenses, "op8_quality": op8_quality, "op9_token_shards": op9_token_shards, "op10_mixing": op10_mixing, "op11_conversation_repair": op11_conversation_repair, "op12_spelling_variants": op12_spelling_variants, "op13_embedding_dedup": op13_embedding_dedup, "pipeline": pipeline}
+ORACLE_SQL: dict[str, str] = {"op7_licenses": licenses.oracle(), "op10_mixing": mixing.ORACLE, "op11_conversation_repair": repair.ORACLE, "op12_spelling_variants": variants.ORACLE, "op13_embedding_dedup": vectors.ORACLE}
