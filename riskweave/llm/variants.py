@@ -6,14 +6,17 @@ is a 64-bit hash of its prefix, rolled along the word in linear time.
 
 The frontier is a table of states (word, position, node, edits). With no edit yet a word can only be at the nodes
 of its own path, so all these states are known at once. The first round joins them with the edges of their nodes:
-one character may be inserted, deleted or replaced on the way along the edge, and nothing else may differ.
+one character may be deleted or replaced on the way along the edge, and nothing else may differ. A letter inserted is
+one deleted from the other word, and of two words that differ in a letter the lesser finds the greater.
+The trie holds every word forwards and, behind a mark, backwards, and edits are made in the second half of either
+only: there a node has few edges, while at the root every word would meet every letter. So paths begin at the half.
 Each later round joins the states, one edit old, with the one edge that goes on exactly as the word does. A state
 at the end of its word whose node ends a word is a pair of neighbours, confirmed by Spark's own edit distance.
 
 What keeps rounds small: an edge knows what may follow its child (first characters and whether a word ends there), so
-most states that cannot go on are not made; rounds are as many as a path has branches, not characters. The root and
-other crowded nodes hold up to all words at once: their states are dealt to as many parts as their number asks for,
-and their edges, at most one for each character, are copied to each part. Every round's states are a written table.
+most states that cannot go on are not made; rounds are as many as a path has branches, not characters. A crowded
+node's states are dealt to as many parts as their number asks for, and its edges, at most one for each character, are
+copied to each part. Every round's states are a written table.
 
 Counting is native: occurrences are counted before they are shuffled.
 
@@ -43,14 +46,16 @@ VOCABULARY = "word string, n long"
 EDGES = "node long, label string, m int, child long, ends boolean, follow string, crowd long"
 STATES = "word string, len int, pos int, node long"
 PAIRS = "word string, other string"
-ROOT = 0
+#: Begins a word that is read backwards.
+BACK = "<"
 
 
-def runs(docs: DataFrame, modulus: int = 97) -> DataFrame:
-    """word of every occurrence: lower-cased runs of letters, one in ``modulus`` of them with a letter lost."""
-    run = F.explode(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(RUN), F.lit(0))).alias("run")
+def runs(docs: DataFrame, length: int = 1, modulus: int = 97) -> DataFrame:
+    """word of every occurrence: lower-cased runs of at least ``length`` letters, one in ``modulus`` of them with a letter lost."""
+    run = F.explode(F.regexp_extract_all("text", F.lit(RUN if length < 2 else f"{RUN[:-1]}{{{length},}}"), F.lit(0))).alias("run")
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("run"))
-    each = docs.select("doc_id", run).select("run", F.crc32(key).alias("h"))
+    # most runs have no capital; translating letter by letter is slow
+    each = docs.select("doc_id", run).withColumn("run", F.when(F.col("run").rlike("[A-Z]"), F.translate("run", UPPER, LOWER)).otherwise(F.col("run"))).select("run", F.crc32(key).alias("h"))
     at = (F.col("h") % F.length("run")).cast("int")
     lost = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
     return each.select(F.when(F.col("h") % modulus == 0, lost).otherwise(F.col("run")).alias("word"))
@@ -58,53 +63,67 @@ def runs(docs: DataFrame, modulus: int = 97) -> DataFrame:
 
 def vocabulary(docs: DataFrame, length: int = 5, least: int = 3) -> DataFrame:
     """word and n of the words of at least ``length`` characters that occur ``least`` times."""
-    return runs(docs).where(F.length("word") >= length).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return runs(docs, length).where(F.length("word") >= length).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def prefix_hashes(word: str) -> np.ndarray:
-    """Hashes of the prefixes of a word of every length, from 0 (``ROOT``)."""
+def halves(length: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a word's second half begins, for it and for a word with a letter more; the mark of a backward word not counted."""
+    return back + (length - back) // 2, back + (length - back + 1) // 2
+
+
+def prefix_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, next code point or -1, position) of the prefixes of each word, one after another, from the empty one on.
+
+    One pass for all words: sums of codes times falling powers of an odd base; a difference of two of them times a
+    rising power is a word's own polynomial, modulo 2**64.
+    """
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    base = 0x9E3779B97F4A7C15
     with np.errstate(over="ignore"):
-        codes = mix64(np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
-        # h(i + 1) = h(i) * B + c(i), all at once by powers of B modulo 2**64
-        base = np.uint64(0x9E3779B97F4A7C15)
-        inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-        n = len(codes)
-        sums = np.cumsum(codes * np.multiply.accumulate(np.full(n, inverse, np.uint64)))
-        out = mix64(sums * np.multiply.accumulate(np.full(n, base, np.uint64)))
-    return np.concatenate([np.zeros(1, np.uint64), out]).view(np.int64)
+        rising = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(codes), base, np.uint64)]))
+        falling = np.multiply.accumulate(np.full(len(codes), pow(base, -1, 1 << 64), np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(codes.astype(np.uint64) + np.uint64(1)) * falling)])
+        rows = n + 1
+        first = np.cumsum(n) - n
+        pos = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
+        at = np.repeat(first, rows) + pos
+        hashes = mix64((sums[at] - np.repeat(sums[first], rows)) * rising[at])
+    nexts = np.append(codes, 0).astype(np.int32)[at]
+    nexts[np.cumsum(rows) - 1] = -1
+    return hashes.view(np.int64), nexts, pos.astype(np.int32)
 
 
 def _prefixes(words: DataFrame) -> DataFrame:
-    """node, next (the code point after the prefix, -1 at the end), id (of the word) and pos of every prefix of every word."""
+    """node, next, forced, id (of the word) and pos of the prefixes of every word from its half on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 texts = part.column("word").to_pylist()
-                n = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-                first = np.repeat(np.cumsum(n) - n, n)
-                nexts = np.full(n.sum(), -1, np.int32)
-                nexts[np.delete(np.arange(len(nexts)), np.cumsum(n) - 1)] = np.frombuffer("".join(texts).encode("utf-32-le"), np.int32)
-                ids = np.repeat(part.column("id").to_numpy(), n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([prefix_hashes(w) for w in texts])), pa.array(nexts), pa.array(ids), pa.array((np.arange(len(nexts)) - first).astype(np.int32))], names=["node", "next", "id", "pos"])
+                node, nexts, pos = prefix_hashes(texts)
+                rows = np.fromiter(map(len, texts), np.int64, len(texts))
+                half, more = (np.repeat(h, rows + 1) for h in halves(rows, np.fromiter((t[0] == BACK for t in texts), np.int64, len(texts))))
+                keep = pos >= half
+                columns = [node, nexts, (pos == half) | (pos == more), np.repeat(part.column("id").to_numpy(), rows + 1), pos]
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=["node", "next", "forced", "id", "pos"])
 
-    return words.select("word", F.xxhash64("word").alias("id")).mapInArrow(tidy("variants", run), "node long, next int, id long, pos int")
+    return words.select("word", F.xxhash64("word").alias("id")).mapInArrow(tidy("variants", run), "node long, next int, forced boolean, id long, pos int")
 
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The path (word, len, pos, node) of each word and the edges of the trie, both written.
 
-    Nodes are the root, the prefixes after which words part, and words. Prefixes are rows of numbers, so a very
-    long word costs its length, not its square.
+    Nodes are the prefixes that end where the second half of a word begins, those after which words part, and words.
+    Prefixes are rows of numbers, so a very long word costs its length, not its square.
     """
     prefixes = _prefixes(words)
-    parting = prefixes.where(F.col("node") != ROOT).groupBy("node").agg(F.min("next").alias("lo"), F.max("next").alias("hi"), F.count("*").alias("crowd"))
+    parting = prefixes.groupBy("node").agg(F.min("next").alias("lo"), F.max("next").alias("hi"), F.max("forced").alias("forced"), F.count("*").alias("crowd"))
     # an end (-1), or two characters
-    nodes = saved(parting.where("lo = -1 or lo <> hi").select("node", (F.col("lo") == -1).alias("ends"), "crowd"), "node long, ends boolean, crowd long", "variant-nodes")
-    at = prefixes.join(nodes.select("node"), "node").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "node"))).alias("at"))
-    root = F.array(F.struct(F.lit(0).alias("pos"), F.lit(ROOT).cast("long").alias("node")))
-    at = words.select("word", F.xxhash64("word").alias("id")).join(at, "id").select("word", F.length("word").alias("len"), F.concat(root, "at").alias("at"))
+    nodes = saved(parting.where("lo = -1 or lo <> hi or forced").select("node", (F.col("lo") == -1).alias("ends"), "crowd"), "node long, ends boolean, crowd long", "variant-nodes")
+    at = prefixes.select("node", "id", "pos").join(nodes.select("node"), "node").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "node"))).alias("at"))
+    at = words.select("word", F.xxhash64("word").alias("id")).join(at, "id").select("word", F.length("word").alias("len"), "at")
     at = saved(at, "word string, len int, at array<struct<pos int, node long>>", "variant-paths")
     # a step from each node of a path to the next; equal steps of many words are one edge
     steps = at.select("word", F.explode(F.expr("transform(sequence(2, size(at)), i -> struct(at[i - 2] as a, at[i - 1] as b))")).alias("s"))
@@ -112,8 +131,7 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = saved(edges, "node long, label string, child long", "variant-edges")
     follow = edges.groupBy("node").agg(F.concat_ws("", F.collect_set(F.substring("label", 1, 1))).alias("follow"))
     child = nodes.select(F.col("node").alias("child"), "ends").join(follow.withColumnRenamed("node", "child"), "child", "left")
-    crowd = nodes.select("node", "crowd").unionByName(words.agg(F.lit(ROOT).cast("long").alias("node"), F.count("*").alias("crowd")))
-    full = edges.join(child, "child").join(crowd, "node").select("node", "label", F.length("label").alias("m"), "child", "ends", F.coalesce("follow", F.lit("")).alias("follow"), "crowd")
+    full = edges.join(child, "child").join(nodes.select("node", "crowd"), "node").select("node", "label", F.length("label").alias("m"), "child", "ends", F.coalesce("follow", F.lit("")).alias("follow"), "crowd")
     full = saved(full, EDGES, "variant-trie")
     forget(nodes, edges)
     return at, full
@@ -135,53 +153,59 @@ GOES_ON = "{after} <= len and if({after} = len, ends, contains(follow, substring
 
 
 def first_edits(path: DataFrame, edges: DataFrame) -> DataFrame:
-    """States after one edit: from every node of a word's own path along every edge of it.
+    """States after one edit on an edge from a node of the word's own path, in its second half.
 
-    ``more`` is how much more of the word than the edge's label is used: none for a letter replaced, one less for one
-    inserted, one more for one deleted.
+    A letter is replaced by a later one on any edge of the node; or the word loses a letter, which only edges allow
+    that begin with its next letter or the one after.
     """
     parts = F.ceil(F.col("crowd") / PART).cast("int")
-    dealt = edges.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("crowd").withColumn("more", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
     crowded = edges.where(F.col("crowd") > PART).groupBy("node").agg(F.max("crowd").alias("crowd"))
+
+    dealt = edges.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("crowd")
     here = path.join(crowded, "node", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("word"), parts), F.lit(0)).cast("int")).drop("crowd")
-    after = "pos + m + more"
-    fits = GOES_ON.format(after=after)
+    piece = "substring(word, pos + 1, m)"
+    fits = f"{GOES_ON.format(after='pos + m')} and {piece} < label"
+    other = here.join(dealt, ["node", "part"]).where(f"{fits} and {one_edit(piece, 'label')}").selectExpr("word", "len", "pos + m as pos", "child as node")
+    after = "pos + m + 1"
     # a letter lost right after the label is one lost before the next edge
-    once = "(more < 1 or substring(word, pos + 1, m) <> label)"
-    return here.join(dealt, ["node", "part"]).where(f"{fits} and {once} and {one_edit('substring(word, pos + 1, m + more)', 'label')}").selectExpr("word", "len", f"{after} as pos", "child as node")
+    fits = f"{GOES_ON.format(after=after)} and substring(word, pos + 1, m) <> label"
+    starts = F.explode(F.array_distinct(F.array(F.expr("substring(word, pos + 1, 1)"), F.expr("substring(word, pos + 2, 1)"))))
+    lost = path.withColumn("c", starts).join(edges.withColumn("c", F.substring("label", 1, 1)), ["node", "c"]).where(f"{fits} and {one_edit('substring(word, pos + 1, m + 1)', 'label')}")
+    return other.unionByName(lost.selectExpr("word", "len", f"{after} as pos", "child as node"))
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """The pairs (word, other) of words that are one edit apart, both ways round, written."""
     ship(words.sparkSession)
-    at, edges = trie(words)
-    path = at.select("word", "len", F.explode("at").alias("p")).select("word", "len", "p.pos", "p.node")
-    at_end = path.where("pos = len").select("node", F.col("word").alias("other"))
-    # the word without its last letter is a node of its own path that ends a word
-    short = path.where("pos = len - 1").select("word", "node")
-    found = [saved(_pairs(short, at_end), PAIRS, "variant-pairs")]
-    states = saved(first_edits(path, edges).distinct(), STATES, "variant-states")
+    both = words.select("word").unionByName(words.select(F.concat(F.lit(BACK), F.reverse("word")).alias("word")))
+    at, edges = trie(both)
+    path = at.select("word", "len", F.explode("at").alias("p")).select("word", "len", "p.pos", "p.node").where("pos < len")
+    at_end = at.select(F.expr("element_at(at, -1).node").alias("node"), F.col("word").alias("other"))
+    # a word without its last letter is a node of its own path that ends a word
+    found = [saved(_pairs(path.where("pos = len - 1").select("word", "node"), at_end), PAIRS, "variant-pairs")]
+    states = saved(first_edits(path, edges), STATES, "variant-states")
     steps = edges.select("node", "label", "m", "child", "ends", "follow", F.substring("label", 1, 1).alias("c"))
     goes_on = GOES_ON.format(after="pos + m")
     while True:
         found.append(saved(_pairs(states.where("pos = len").select("word", "node"), at_end), PAIRS, "variant-pairs"))
         going = states.where("pos < len").withColumn("c", F.expr("substring(word, pos + 1, 1)"))
         on = going.join(steps, ["node", "c"]).where(f"{goes_on} and substring(word, pos + 1, m) = label")
-        last, states = states, saved(on.selectExpr("word", "len", "pos + m as pos", "child as node").distinct(), STATES, "variant-states")
+        last, states = states, saved(on.selectExpr("word", "len", "pos + m as pos", "child as node"), STATES, "variant-states")
         forget(last)
         if not states.take(1):
             break
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    both = pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("word").alias("other"))).distinct()
-    out = saved(both, PAIRS, "variant-neighbours")
+    turned = lambda c: F.expr(f"if(startswith({c}, '{BACK}'), reverse(substring({c}, 2)), {c})").alias(c)
+    pairs = pairs.select(turned("word"), turned("other"))
+    out = saved(pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("word").alias("other"))).distinct(), PAIRS, "variant-neighbours")
     forget(at, edges, states, *found)
     return out
 
 
 def _pairs(ends: DataFrame, at_end: DataFrame) -> DataFrame:
-    return ends.join(at_end, "node").where(f"word <> other and {one_edit('word', 'other')}").select("word", "other")
+    return ends.join(at_end, "node").where(f"word <> other and startswith(word, '{BACK}') = startswith(other, '{BACK}') and {one_edit('word', 'other')}").select("word", "other")
 
 
 def variants(docs: DataFrame, length: int = 5, least: int = 3, times: int = 2) -> DataFrame:

@@ -92,8 +92,10 @@ def test_a_chain_of_words(spark):
 
 
 def test_prefix_hashes():
-    a, b = variants.prefix_hashes("abcde"), variants.prefix_hashes("abxde")
-    assert a[0] == variants.ROOT and (a[:3] == b[:3]).all() and not set(a[3:]) & set(b[3:]) and len(set(a)) == 6
+    h, nexts, pos = variants.prefix_hashes(["abcde", "abxde", "é"])
+    a, b = h[:6], h[6:12]
+    assert (a[:3] == b[:3]).all() and not set(a[3:]) & set(b[3:]) and len(set(a)) == 6 and h[0] == h[12]
+    assert "".join(map(chr, nexts[:5])) == "abcde" and nexts[5] == nexts[11] == nexts[13] == -1 and pos.tolist() == [*range(6), *range(6), 0, 1]
 
 
 def test_query(spark, sf):
