@@ -15,10 +15,13 @@ from riskweave.operators.chunks import chunked, judge_all, judged_findings, verd
 from riskweave.operators.context import conversation_records, text_records, with_context
 from riskweave.operators.images import all_findings
 from riskweave.operators.inrow import reports_in_rows
+from riskweave.operators.lookalikes import lookalikes
 from riskweave.operators.merge import by_category, merged, reports, review_queue, totals
+from riskweave.operators.nearby import near
 from riskweave.plans import rules as R
 from riskweave.plans.taxonomy import CATEGORIES, categories, coverage
-from riskweave.session import ship
+from riskweave.session import scratch, ship
+from riskweave.sources.records import read_records
 
 #: Texts that set off rules which the tables' own texts rarely do: records of their own beside the tables, in the queries of single rules only.
 PROBES = [
@@ -43,7 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """origin, id, source and text of documents and pages."""
     d = table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "source", "text")
-    p = table(spark, sf_dir, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), F.col("url").alias("source"), F.col("html").alias("text"))
+    p = table(spark, sf_dir, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), F.coalesce(F.regexp_extract("url", "^[A-Za-z]+://([^/:?#]+)", 1), F.lit("")).alias("source"), F.col("html").alias("text"))
     return d.unionByName(p)
 
 
@@ -254,7 +257,7 @@ def records_by_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).groupBy("platform").agg(F.count("*").alias("n_records"))
 
 
-RECORDS_BY_PLATFORM = "SELECT platform, count(*) AS n_records FROM (SELECT source AS platform FROM documents UNION ALL SELECT url FROM pages) GROUP BY platform"
+RECORDS_BY_PLATFORM = "SELECT platform, count(*) AS n_records FROM (SELECT source AS platform FROM documents UNION ALL SELECT coalesce(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1), '') FROM pages) GROUP BY platform"
 
 
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,13 +271,58 @@ def status_sql() -> str:
     return f"SELECT status, count(*) AS n_documents FROM documents JOIN (VALUES {rows}) c(place, status) ON doc_id % {len(CATEGORIES)} = place GROUP BY status"
 
 
+def lookalike_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of pages that are not frequent in documents but at most two edits from a word that is."""
+    words = lambda name, column: table(spark, sf_dir, name).select(F.explode(F.regexp_extract_all(column, F.lit("[a-z]{6,}"), F.lit(0))).alias("token"))
+    names = words("documents", "text").groupBy(F.col("token").alias("name")).count().where("count >= 50")
+    return lookalikes(words("pages", "html"), names).withColumn("distance", F.col("distance").cast("long"))
+
+
+LOOKALIKE_WORDS = """
+WITH names AS (SELECT name FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{6,}')) AS name FROM documents) GROUP BY name HAVING count(*) >= 50),
+tokens AS (SELECT DISTINCT unnest(regexp_extract_all(html, '[a-z]{6,}')) AS token FROM pages),
+near AS (SELECT token, name, levenshtein(token, name) AS d FROM tokens JOIN names ON abs(length(token) - length(name)) <= 2 WHERE token NOT IN (SELECT name FROM names))
+SELECT token, arg_min(name, (d, name)) AS official, min(d)::BIGINT AS distance FROM near WHERE d <= 2 GROUP BY token
+"""
+
+
+def scripts_near_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts of pages that begin less than 200 characters from a link."""
+    ship(spark)
+    pages = table(spark, sf_dir, "pages").select("page_id", rx.clean(F.coalesce("html", F.lit(""))).alias("html"))
+    at = lambda piece: pages.select("page_id", F.explode(rx.matches(F.col("html"), piece)).alias("h")).select("page_id", F.col("h.pos").cast("long").alias("pos"))
+    return near(at("<script"), at("<a href="), 200, "page_id").groupBy("page_id").agg(F.count("*").alias("n_scripts"), F.min("pos").alias("first_at"))
+
+
+SCRIPTS_NEAR_LINKS = """
+WITH p AS (SELECT page_id, string_split(html, '<script') AS s, string_split(html, '<a href=') AS l FROM pages),
+s AS (SELECT page_id, list_sum(list_transform(s[1:k], lambda x: length(x) + 7)) - 7 AS pos FROM p, unnest(generate_series(1, len(s) - 1)) AS u(k)),
+l AS (SELECT page_id, list_sum(list_transform(l[1:k], lambda x: length(x) + 8)) - 8 AS pos FROM p, unnest(generate_series(1, len(l) - 1)) AS u(k)),
+n AS (SELECT DISTINCT s.page_id, s.pos FROM s JOIN l ON s.page_id = l.page_id AND abs(s.pos - l.pos) < 200)
+SELECT page_id, count(*) AS n_scripts, min(pos)::BIGINT AS first_at FROM n GROUP BY page_id
+"""
+
+
+def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON lines and read back by the line source: id, platform, characters and messages of each record."""
+    path = scratch(spark, "documents-jsonl")
+    said = F.array(F.struct(F.lit("user").alias("role"), F.coalesce("text", F.lit("")).alias("content")))
+    table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("share_id"), F.col("source").alias("platform"), said.alias("messages")).write.json(path)
+    records, _ = read_records(spark, path)
+    return records.select(F.col("record_id").cast("long").alias("doc_id"), "platform", F.size("messages").cast("long").alias("n_messages"), F.length(F.col("messages")[0]["content"]).cast("long").alias("chars"))
+
+
+RECORD_LINES = "SELECT doc_id, coalesce(source, 'unknown') AS platform, 1::BIGINT AS n_messages, length(coalesce(text, '')) AS chars FROM documents"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (raw_findings, merged_findings, conversation_findings, findings_by_category, needs_review, scan_reports, row_reports, platform_totals, coverage_hits, message_offsets, conversation_texts, keyword_pairs, line_shapes, first_of_equal, best_two_emails, links_by_kind, conversation_chunks, judged_documents, records_by_platform, status_counts)
+    for f in (raw_findings, merged_findings, conversation_findings, findings_by_category, needs_review, scan_reports, row_reports, platform_totals, coverage_hits, message_offsets, conversation_texts, keyword_pairs, line_shapes, first_of_equal, best_two_emails, links_by_kind, conversation_chunks, judged_documents, records_by_platform, status_counts, lookalike_words, scripts_near_links, record_lines)
 }
 ORACLE_SQL: dict[str, str] = {
     "message_offsets": MESSAGE_OFFSETS, "conversation_texts": CONVERSATION_TEXTS, "keyword_pairs": KEYWORD_PAIRS, "line_shapes": LINE_SHAPES, "first_of_equal": FIRST_OF_EQUAL,
     "best_two_emails": BEST_TWO_EMAILS, "records_by_platform": RECORDS_BY_PLATFORM, "status_counts": status_sql(),
+    "lookalike_words": LOOKALIKE_WORDS, "scripts_near_links": SCRIPTS_NEAR_LINKS, "record_lines": RECORD_LINES,
 }
 for _r in R.RULES:
     _name = f"rule_{_r.id.lower().replace('-', '_')}"

@@ -2,28 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweave.operators.context import ATTACHMENTS, MESSAGES, RECORD
+from riskweave.session import scratch
 
+from . import jsonlines
+
+#: Byte ranges of an input up to which their first lines are broadcast (16 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_RANGES = 1 << 20
 FIELDS = ["share_id", "unique_uid", "platform", "source_url", "conversation_title", "crawl_time"]
 
 
-def lines(spark: SparkSession, path: str, offset: int = 0) -> DataFrame:
+def lines(spark: SparkSession, path: str, offset: int = 0, split_bytes: int = jsonlines.SPLIT_BYTES) -> DataFrame:
     """line_no (from 0, blank lines counted) and value of the lines from ``offset`` on that are not blank.
 
-    A file's lines are numbered without a sort: counts of its splits give where each split begins.
+    Byte ranges are counted first; a running sum over ranges says where each begins, and is joined to the lines. Ranges
+    that end before the offset are not read again. The driver gets one number.
     """
-    raw = spark.read.text(path).select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"), "value")
-    sizes = {r["part"]: r["count"] for r in raw.groupBy("part").count().collect()}  # one number for each split
-    starts, at = [], 0
-    for p in sorted(sizes):
-        starts += [F.lit(p), F.lit(at)]
-        at += sizes[p]
-    begin = F.create_map(*starts)[F.col("part")] if starts else F.lit(0)
+    try:
+        jsonlines.filesystem(path)
+    except pa.ArrowInvalid:
+        return _spark_lines(spark, path, offset)  # a file system that only Spark reads
+    jsonlines.register(spark)
+    counts = scratch(spark, "line-counts")
+    spark.read.format(jsonlines.NAME).options(counts="true", splitBytes=split_bytes).load(path).write.parquet(counts)
+    upto = F.sum("n_lines").over(Window.orderBy("split"))  # one row for each range, not for each line
+    begin = spark.read.schema(jsonlines.COUNTS).parquet(counts).select("split", (upto - F.col("n_lines")).alias("begin"), upto.alias("upto"))
+    ranges, skipped = begin.agg(F.count("*"), F.count_if(F.col("upto") <= offset)).first()
+    begin = F.broadcast(begin.drop("upto")) if ranges <= BROADCAST_RANGES else begin.drop("upto")
+    rows = spark.read.format(jsonlines.NAME).options(first=skipped, splitBytes=split_bytes).load(path).join(begin, "split")
+    return rows.select((F.col("begin") + F.col("row")).alias("line_no"), "value").where((F.col("line_no") >= offset) & (F.trim("value") != ""))
+
+
+def _spark_lines(spark: SparkSession, path: str, offset: int) -> DataFrame:
+    """The same by Spark's own text source, whose splits are counted by their partition numbers."""
+    raw = spark.read.text(path).select(F.spark_partition_id().alias("split"), F.monotonically_increasing_id().alias("id"), "value")
+    counts = raw.groupBy("split").agg(F.count("*").alias("n_lines"))
+    begin = counts.select("split", (F.sum("n_lines").over(Window.orderBy("split")) - F.col("n_lines")).alias("begin"))
     row = F.col("id").bitwiseAND((1 << 33) - 1)
-    return raw.select((begin + row).alias("line_no"), "value").where((F.col("line_no") >= offset) & (F.trim("value") != ""))
+    return raw.join(begin, "split").select((F.col("begin") + row).alias("line_no"), "value").where((F.col("line_no") >= offset) & (F.trim("value") != ""))
 
 
 def _text(v: Column) -> Column:

@@ -80,3 +80,67 @@ def scan_folder(spark: SparkSession, folder: str, out: str, files_at_once: int =
     """Scans what is in the folder and not yet scanned, then ends; ``out`` keeps the checkpoint."""
     new = spark.readStream.option("maxFilesPerTrigger", files_at_once).text(folder).where(F.trim("value") != "").withColumn("line_no", F.lit(-1).cast("long"))
     return parsed(new).writeStream.foreachBatch(lambda df, k: scan_batch(df, out, k, mirror_folder)).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+
+
+REPORT = "record_id string, platform string, scan_status string, finding_count int, findings array<struct<taxonomy_id:string,needs_review:boolean>>"
+TOTAL = "kind string, name string, n long"
+
+
+def measures(reports: DataFrame) -> DataFrame:
+    """kind, name and n to be added up of each report: its platform, its status, its findings, and each category once a record."""
+    one = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    found = F.coalesce(F.transform("findings", lambda f: F.struct(f["taxonomy_id"].alias("taxonomy_id"), f["needs_review"].alias("needs_review"))), F.array().cast("array<struct<taxonomy_id:string,needs_review:boolean>>"))
+    each = F.concat(
+        F.array(one("records", F.coalesce("platform", F.lit("unknown"))), one("status", F.col("scan_status"))),
+        F.transform(found, lambda f: one("findings", f["taxonomy_id"])),
+        F.transform(F.filter(found, lambda f: f["needs_review"]), lambda f: one("reviews", f["taxonomy_id"])),
+        F.transform(F.array_distinct(F.transform(found, lambda f: f["taxonomy_id"])), lambda t: one("records_with", t)),
+    )
+    return reports.select(F.explode(each).alias("m")).select("m.kind", "m.name", F.lit(1).cast("long").alias("n"))
+
+
+def added_up(rows: DataFrame) -> DataFrame:
+    """The totals of measures: one row for each platform, status, category and kind of rejection."""
+    return rows.groupBy("kind", "name").agg(F.sum("n").alias("n"))
+
+
+def folder_totals(spark: SparkSession, out: str, files_at_once: int = 1000) -> StreamingQuery:
+    """Adds what ``scan_folder`` has written since the last time to the totals of all its batches, then ends.
+
+    A stateful aggregation over the reports and the rejected lines as streams of files: its state, as many rows as
+    there are platforms and categories, and what it has read are kept below ``out/checkpoint-totals``, so totals
+    go on after a restart and count no report twice. Nothing is scanned again. Writes totals, summary and status
+    (0 if all lines were records, 2 if some were not, 1 if none was).
+    """
+    stream = lambda name, schema: spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_at_once).json(f"{out}/{name}")
+    rejected = stream("rejected", "error string").select(F.lit("rejected").alias("kind"), F.regexp_replace(F.coalesce("error", F.lit("")), "[0-9]+", "N").alias("name"), F.lit(1).cast("long").alias("n"))
+    totals = added_up(measures(stream("reports", REPORT)).unionByName(rejected))
+    return totals.writeStream.outputMode("complete").foreachBatch(lambda df, k: write_totals(df, out)).option("checkpointLocation", f"{out}/checkpoint-totals").trigger(availableNow=True).start()
+
+
+def write_totals(totals: DataFrame, out: str) -> None:
+    """Replaces totals, summary and status; all are a few rows, made from the totals by Spark."""
+    spark = totals.sparkSession
+    path = scratch(spark, "totals")
+    totals.write.parquet(path)
+    totals = spark.read.schema(TOTAL).parquet(path)
+    totals.coalesce(1).write.mode("overwrite").json(f"{out}/totals")
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+    counts = totals.agg(of("records").alias("records"), of("findings").alias("findings"), of("reviews").alias("reviews"), of("rejected").alias("rejected"))
+    status = F.when(F.col("rejected") == 0, COMPLETE).when(F.col("records") > 0, PARTIAL).otherwise(FAILED)
+    counts.withColumn("status", status).coalesce(1).write.mode("overwrite").json(f"{out}/status")
+    head = counts.select(F.lit(0).alias("part"), F.lit("").alias("name"), F.format_string("# Scan summary\n\n- records: %d\n- findings: %d\n- for review: %d\n- rejected lines: %d", "records", "findings", "reviews", "rejected").alias("value"))
+    titles = {"records": "Platforms", "findings": "Findings by category", "rejected": "Rejected lines"}
+    listed = [totals.where(F.col("kind") == kind).select(F.lit(k + 1).alias("part"), "name", F.format_string("- %s: %d", "name", "n").alias("value")) for k, kind in enumerate(titles)]
+    heads = spark.createDataFrame([(k + 1, "", f"\n## {t}\n") for k, t in enumerate(titles.values())], "part int, name string, value string")
+    lines_ = head.unionByName(heads)
+    for more in listed:
+        lines_ = lines_.unionByName(more)
+    lines_.coalesce(1).sortWithinPartitions("part", "name").select("value").write.mode("overwrite").text(f"{out}/summary")
+
+
+def scan_folder_whole(spark: SparkSession, folder: str, out: str, files_at_once: int = 100, mirror_folder: str | None = None) -> int:
+    """Scans what is new in a folder and brings its totals up to date; returns the status of all that was ever scanned."""
+    scan_folder(spark, folder, out, files_at_once, mirror_folder).awaitTermination()
+    folder_totals(spark, out).awaitTermination()
+    return spark.read.schema("status int").json(f"{out}/status").first().status
