@@ -57,6 +57,10 @@ def units(mi: int, role: str, body: str, size: int, overlap: int) -> Iterator[Un
             yield Unit(mi, at + w, at + min(len(p), w + room), p[w : w + room], windows > 1)
 
 
+#: What a judge's reply is, beside the keys of its task.
+REPLY = "reply string, error string, calls long, prompt_tokens long, completion_tokens long"
+
+
 def chunk(messages: list[tuple[str, str]], size: int = CHUNK, overlap: int = OVERLAP) -> list[dict]:
     """Paragraphs packed up to ``size``, the last ones repeated at the start of the next chunk within ``overlap``; all text is in some chunk.
 
@@ -97,18 +101,24 @@ def chunk(messages: list[tuple[str, str]], size: int = CHUNK, overlap: int = OVE
 
 
 def chunked(records: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """record_id, title and one row for each chunk."""
+    """The keys of each record, its title, and one row for each chunk."""
     ship(records.sparkSession)
     size, overlap = limits(size, overlap)
 
     def run(messages: pd.Series) -> pd.Series:
         return messages.map(lambda ms: chunk([(m["role"], m["content"]) for m in ms], size, overlap))
 
-    rows = records.select("record_id", "platform", "title", "messages", F.pandas_udf(run, CHUNKS)("messages").alias("chunks"))
-    return rows.select("record_id", "platform", "title", F.explode("chunks").alias("c")).select("record_id", "platform", "title", "c.*")
+    names = [*_keys(records), "title"]
+    rows = records.select(*names, "messages", F.pandas_udf(run, CHUNKS)("messages").alias("chunks"))
+    return rows.select(*names, F.explode("chunks").alias("c")).select(*names, "c.*")
+
+
+def _keys(rows: DataFrame) -> list[str]:
+    """What tells records apart, and their platform; ids may be missing or repeat, so ``row_key`` goes along where it is."""
+    return [*(["row_key"] if "row_key" in rows.columns else []), "record_id", "platform"]
 
 
-def judge_all(chunks: DataFrame, judge: Callable | None, tries: int = 2, found: DataFrame | None = None, concurrency: int = 1, wait: float = 1.5) -> DataFrame:
+def judge_all(chunks: DataFrame, judge: Callable | None, tries: int = 2, found: DataFrame | None = None, concurrency: int = 1, wait: float = 1.5, store: str | None = None, rounds: int = 8) -> DataFrame:
     """Every chunk judged for every judged category: record_id, platform, taxonomy_id, index, reply, error, calls and tokens.
 
     ``judge`` takes a category's name and a prompt and returns JSON, alone or with the tokens of prompt and
@@ -116,16 +126,23 @@ def judge_all(chunks: DataFrame, judge: Callable | None, tries: int = 2, found:
     seconds for each attempt so far; after a reply without JSON it asks for nothing but JSON. Categories of
     which ``found``, the static findings, has one of a record with ``STRONG`` confidence are not asked about;
     they, and all categories where there is no judge, have the error ``skipped``.
+
+    ``store`` is a folder of replies by the hash of category and prompt. What is there is not asked for again, equal
+    prompts are asked once, and each of ``rounds`` rounds adds its replies as soon as it is done: a run that is
+    repeated after it died asks only for what its last round had not written. Failures are asked for again.
+    Calls and tokens are those of a stored reply's first asking.
     """
+    ids = [*_keys(chunks), "taxonomy_id", "index"]
     tasks = chunks.crossJoin(F.broadcast(judged(chunks.sparkSession).select(F.col("id").alias("taxonomy_id"), "name")))
     title = F.concat(F.lit("Title: "), F.coalesce("title", F.lit("")), F.lit("\n\n"))
     prompt = F.concat(title, "text", F.when(F.col("index") > 0, F.format_string("\n\n(part %d of the conversation)", F.col("index") + 1)).otherwise(""))
-    tasks = tasks.select("record_id", "platform", "taxonomy_id", "name", "index", prompt.alias("prompt"))
+    tasks = tasks.select(*ids, "name", prompt.alias("prompt"))
     skipped = tasks if judge is None else None
     if judge is not None and found is not None:
-        strong = found.groupBy("record_id", "taxonomy_id").agg(F.max("confidence").alias("most")).where(F.col("most") >= STRONG)
-        skipped = tasks.join(strong, ["record_id", "taxonomy_id"], "left_semi")
-        tasks = tasks.join(strong, ["record_id", "taxonomy_id"], "left_anti")
+        one = "row_key" if "row_key" in found.columns and "row_key" in ids else "record_id"
+        strong = found.groupBy(one, "taxonomy_id").agg(F.max("confidence").alias("most")).where(F.col("most") >= STRONG)
+        skipped = tasks.join(strong, [one, "taxonomy_id"], "left_semi")
+        tasks = tasks.join(strong, [one, "taxonomy_id"], "left_anti")
 
     def ask(name: str, prompt_: str) -> tuple:
         reply, error, spent, n = None, None, [0, 0], 0
@@ -143,21 +160,42 @@ def judge_all(chunks: DataFrame, judge: Callable | None, tries: int = 2, found:
                     time.sleep(wait * n)
         return reply, error, n, *spent
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(concurrency) as pool:
-            for b in batches:
-                got = list(pool.map(ask, b["name"], b["prompt"]))
-                yield pd.concat([b[["record_id", "platform", "taxonomy_id", "index"]], pd.DataFrame(got, columns=["reply", "error", "calls", "prompt_tokens", "completion_tokens"], index=b.index)], axis=1)
+    def asked(names: list[str]) -> Callable:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            with ThreadPoolExecutor(concurrency) as pool:
+                for b in batches:
+                    got = list(pool.map(ask, b["name"], b["prompt"]))
+                    yield pd.concat([b[names], pd.DataFrame(got, columns=["reply", "error", "calls", "prompt_tokens", "completion_tokens"], index=b.index)], axis=1)
+
+        return run
 
-    schema = "record_id string, platform string, taxonomy_id string, index int, reply string, error string, calls long, prompt_tokens long, completion_tokens long"
     zero = F.lit(0).cast("long")
-    left_out = None if skipped is None else skipped.select("record_id", "platform", "taxonomy_id", "index", F.lit(None).cast("string").alias("reply"), F.lit("skipped").alias("error"), zero.alias("calls"), zero.alias("prompt_tokens"), zero.alias("completion_tokens"))
+    left_out = None if skipped is None else skipped.select(*ids, F.lit(None).cast("string").alias("reply"), F.lit("skipped").alias("error"), zero.alias("calls"), zero.alias("prompt_tokens"), zero.alias("completion_tokens"))
     if judge is None:
         return left_out
-    replies = tasks.mapInPandas(run, schema)
+    if store is None:
+        replies = tasks.mapInPandas(asked(ids), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tasks.select(*ids).schema) + f", {REPLY}")
+    else:
+        replies = _stored(tasks, ids, asked(["key"]), store, rounds)
     return replies if left_out is None else replies.unionByName(left_out)
 
 
+def _stored(tasks: DataFrame, ids: list[str], ask: Callable, store: str, rounds: int) -> DataFrame:
+    """The replies to all tasks, from the store or asked for now and put there."""
+    spark = tasks.sparkSession
+    schema = f"key string, {REPLY}"
+    tasks = tasks.withColumn("key", F.sha2(F.concat_ws("\u0000", "taxonomy_id", "prompt"), 256))
+    once = tasks.select("key", "name", "prompt").dropDuplicates(["key"])
+    spark.createDataFrame([], schema).write.mode("append").parquet(store)  # so that there is something to read
+    for k in range(rounds):
+        known = spark.read.schema(schema).parquet(store).where("error is null").select("key")
+        new = once.where(F.pmod(F.xxhash64("key"), rounds) == k).join(known, "key", "left_anti")
+        new.mapInPandas(ask, schema).write.mode("append").parquet(store)
+    fields = [f.split()[0] for f in REPLY.split(", ")]
+    best = spark.read.schema(schema).parquet(store).groupBy("key").agg(F.max_by(F.struct(*fields), F.col("error").isNull()).alias("r"))
+    return tasks.join(best, "key").select(*ids, "r.*")
+
+
 def usage(replies: DataFrame) -> DataFrame:
     """One row: calls, prompt_tokens and completion_tokens of all replies."""
     return replies.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("calls", "prompt_tokens", "completion_tokens")))
@@ -176,19 +214,21 @@ def judged_findings(judged_: DataFrame, records: DataFrame) -> tuple[DataFrame,
     The most confident hit counts, the first chunk among equals; more than one hit raises it by 15 %, to at
     most 0.98. A category with a failed chunk has no finding. Evidence is placed in the one message that holds it.
     """
-    g = judged_.groupBy("record_id", "platform", "taxonomy_id").agg(
+    keys = _keys(judged_) if "row_key" in records.columns else ["record_id", "platform"]
+    one = keys[0]
+    g = judged_.groupBy(*keys, "taxonomy_id").agg(
         F.count_if(F.col("error").isNotNull()).alias("failed"), F.count_if(F.col("error") == "skipped").alias("skipped"), F.count("*").alias("n_chunks"), F.count_if(F.col("v.hit")).alias("n_hits"),
         F.max_by("v", F.when(F.col("v.hit"), F.struct("v.confidence", -F.col("index")))).alias("best"),
     )
-    status = g.select("record_id", "taxonomy_id", F.when(F.col("skipped") == F.col("n_chunks"), "skipped").when(F.col("failed") == 0, "ok").when(F.col("failed") == F.col("n_chunks"), "failed").otherwise("partial").alias("status"))
+    status = g.select(*keys[:-1], "taxonomy_id", F.when(F.col("skipped") == F.col("n_chunks"), "skipped").when(F.col("failed") == 0, "ok").when(F.col("failed") == F.col("n_chunks"), "failed").otherwise("partial").alias("status"))
     c = F.least(F.greatest(F.col("best.confidence"), F.lit(0.1)), F.lit(1.0))
     c = F.when(F.col("n_hits") > 1, F.least(c * 1.15, F.lit(0.98))).otherwise(c)
-    hit = g.where("failed = 0 and n_hits > 0").withColumn("confidence", c).join(records.select("record_id", "messages"), "record_id")
+    hit = g.where("failed = 0 and n_hits > 0").withColumn("confidence", c).join(records.select(one, "messages"), one)
     holds = F.transform("messages", lambda m: F.when(F.col("best.evidence") != "", F.position(F.col("best.evidence"), m["content"])).otherwise(0))
     only = F.when(F.size(F.filter(holds, lambda p: p > 0)) == 1, F.array_position(F.transform(holds, lambda p: p > 0), True).cast("int") - 1)
     start = F.get(holds, only) - 1
     found = hit.withColumns({"message_index": only, "char_start": start}).select(
-        "record_id", "platform", F.lit("llm").alias("detector"), F.lit("llm").alias("family"), F.lit("M-12").alias("rule"), F.lit(1 << 50).alias("seq"), "taxonomy_id", F.lit("LLM-1").alias("pattern_id"), "confidence",
+        *keys, F.lit("llm").alias("detector"), F.lit("llm").alias("family"), F.lit("M-12").alias("rule"), F.lit(1 << 50).alias("seq"), "taxonomy_id", F.lit("LLM-1").alias("pattern_id"), "confidence",
         F.lit("judge verdict").alias("message"), (F.col("confidence") <= 0.5).alias("needs_review"), "message_index", F.get("messages", F.col("message_index"))["role"].alias("role"), "char_start", (F.col("char_start") + F.length("best.evidence")).alias("char_end"),
         F.substring("best.evidence", 1, 200).alias("matched_text"), F.lit(None).cast("string").alias("snippet"),
         F.to_json(F.struct("n_chunks", "n_hits", F.substring("best.reasoning", 1, 300).alias("reasoning"), F.when(only.isNull(), "unresolved").otherwise("located").alias("location_status"))).alias("evidence"),

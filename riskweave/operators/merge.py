@@ -50,8 +50,9 @@ def reports(records: DataFrame, found: DataFrame, statuses: DataFrame | None = N
     per = found.groupBy(one).agg(F.array_sort(F.collect_list(F.struct("place", *fields))).alias("findings"), F.count_if("needs_review").alias("needs_review_count"))
     rows = records.select(*{one: 0, "record_id": 0}, "platform", "title").join(per, one, "left")
     if statuses is not None:
-        worst = statuses.groupBy("record_id").agg(F.max(F.col("status") == "failed").alias("failed"), F.max(F.col("status") == "partial").alias("partial"))
-        rows = rows.join(worst, "record_id", "left").withColumn("scan_status", F.when(F.col("failed"), "failed").when(F.col("partial"), "partial").otherwise("complete")).drop("failed", "partial")
+        by = one if one in statuses.columns else "record_id"
+        worst = statuses.groupBy(by).agg(F.max(F.col("status") == "failed").alias("failed"), F.max(F.col("status") == "partial").alias("partial"))
+        rows = rows.join(worst, by, "left").withColumn("scan_status", F.when(F.col("failed"), "failed").when(F.col("partial"), "partial").otherwise("complete")).drop("failed", "partial")
     else:
         rows = rows.withColumn("scan_status", F.lit("complete"))
     return rows.select("record_id", "platform", "title", "scan_status", F.coalesce(F.size("findings"), F.lit(0)).alias("finding_count"), F.coalesce("needs_review_count", F.lit(0)).alias("needs_review_count"), "findings")
