@@ -189,12 +189,20 @@ def _bucket_rows(nodes: DataFrame, grouped: tuple | None) -> DataFrame:
     return alone.unionByName(inside.join(centre, "cls").select("key", "cls", "code", "radius"))
 
 
-def colliding(codes: np.ndarray, chunk: np.ndarray, wide: np.ndarray, early: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
+def window(angle: np.ndarray) -> np.ndarray:
+    """Half of a window in steps of the codes: deviations of the chord of an angle."""
+    return (np.ceil(STEP * Z * 2 * np.sin(np.minimum(pi, angle) / 2)) + 1).astype(np.int16)
+
+
+def colliding(codes: np.ndarray, chunk: np.ndarray, radius: np.ndarray, angle: float, early: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
     """(i, j), i < j, of the rows of a bucket that collide in enough projections; of different chunks if there are two.
 
-    ``codes`` has a row for each vector, ``wide`` half of its window. A window is a range of ranks in the sorted projection.
+    ``codes`` has a row for each vector or centre, ``radius`` its class's. A query's window is a range of ranks in the
+    sorted projection, wide enough for every row of the bucket; those that pass ``early`` ones are counted anew with the
+    window of their own two radii.
     """
     n, two = len(codes), chunk.min() != chunk.max()
+    wide = window(angle + radius + radius.max())
     order = np.argsort(codes[:, :EARLY], axis=0, kind="stable")
     ranks = np.empty((EARLY, n), np.uint16)
     low, width = np.empty((EARLY, n), np.uint16), np.empty((EARLY, n), np.uint16)
@@ -215,9 +223,14 @@ def colliding(codes: np.ndarray, chunk: np.ndarray, wide: np.ndarray, early: int
         if two:
             fit &= chunk[i] != chunk[k]
         i, k = i[fit], k[fit]
-        total = count[i - at, k - at] + (np.abs(codes[i, EARLY:] - codes[k, EARLY:]) <= np.maximum(wide[i], wide[k])[:, None]).sum(axis=1)
-        left.append(i[total >= whole])
-        right.append(k[total >= whole])
+        for some in range(0, len(i), 1 << 16):
+            a, b = i[some : some + (1 << 16)], k[some : some + (1 << 16)]
+            hits = np.abs(codes[a] - codes[b]) <= window(angle + radius[a] + radius[b])[:, None]
+            good = (hits[:, :EARLY].sum(axis=1) >= early) & (hits.sum(axis=1) >= whole)
+            left.append(a[good])
+            right.append(b[good])
+    if not left:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -240,11 +253,8 @@ def _candidates(rows: DataFrame, cosine: float) -> DataFrame:
             t = pa.Table.from_batches(held)
             if len(t) > 1:
                 codes = np.frombuffer(b"".join(t.column("code").to_pylist()), np.int8).reshape(len(t), COUNTED).astype(np.int16)
-                radius = t.column("radius").to_numpy()
-                # the chord of the angle at which centres of linked vectors may lie, in steps of the codes
-                reach = np.minimum(pi, angle + radius + radius.max())
-                wide = (np.ceil(STEP * Z * 2 * np.sin(reach / 2)) + 1).astype(np.int16)
-                i, j = colliding(codes, t.column("chunk").to_numpy(), wide, early, whole)
+                # centres of linked vectors may lie apart by their radii more than these
+                i, j = colliding(codes, t.column("chunk").to_numpy(), t.column("radius").to_numpy(), angle, early, whole)
                 cls = t.column("cls").to_numpy()
                 a, b = cls[i], cls[j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
