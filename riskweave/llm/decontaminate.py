@@ -2,8 +2,8 @@
 
 Words become template tokens: numbers, names (capitalised words that do not start a sentence) and units
 (after a number) are replaced by typed placeholders, everything else is lower-cased and stripped of outer
-punctuation. Every window of WINDOW tokens with at least two literal ones is hashed; one with fewer, but two
-words of any kind, is hashed with its exact values, so a copy of it is found but no variant. An item of fewer
+punctuation. Every window of WINDOW tokens with at least two literal ones is hashed; one with fewer, numbers
+alone among them, is hashed with its exact values, so a copy of it is found but no variant. An item of fewer
 tokens is one window of its own width, and documents give windows of each such width that the benchmark has.
 The first word of an item counts as opening a sentence and, in a second hash, as what it is within one. The
 benchmark's windows set bits in a bitmap of fixed size; documents give up only the windows whose bit is set, with the
@@ -16,9 +16,9 @@ item, perhaps with other numbers and names. An item leaks into a document if con
 least ``percent`` of its windows with two literal tokens, its first word as at a sentence's start; or else of all its
 windows, or of all with two literal tokens, its first word in either form.
 
-Defined results: a null or empty text has no windows and is clean; an item without windows (no text, or in
-each at most one word, the rest numbers; a single word is a window) matches nothing;
-equal rows are judged each; a null doc_id is a document like others; a null item_id never matches.
+Defined results: a null or empty text has no windows and is clean; an item without text matches nothing;
+equal rows are judged each; a null doc_id is a document like others; a null item_id never matches; without rows
+there are none, and without items all documents are clean; very long texts are taken whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -132,7 +132,7 @@ class Templates:
         return kind, h, at, who
 
     def windows(self, texts: list[str], widths: list[int] | None = None) -> tuple[np.ndarray, ...]:
-        """Of all windows with two words or more: hash, first token, its text, its length, whether it takes exact values for want of
+        """Of all windows: hash, first token, its text, its length, whether it takes exact values for want of
         two literal tokens (by the item's own form, and in this hash), and whether its first token counts as within a sentence; the tokens, their kinds so, and where texts begin.
 
         Windows of ``widths``; None stands for an item's: WINDOW, or the whole of a shorter text, the first also as within a sentence.
@@ -170,10 +170,9 @@ class Templates:
         return literal[width:] - literal[:-width] < min(2, width)
 
     def _hashed(self, kind: np.ndarray, h: np.ndarray, width: int, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and first token of the windows in ``use`` that have two words or more."""
+        """Hash and first token of the windows in ``use``."""
         n, few = len(use), self._few(kind, width)
-        word = np.concatenate([[0], np.cumsum(kind != NUM)])
-        p = np.flatnonzero(use & (word[width:] - word[:-width] >= min(2, width)))
+        p = np.flatnonzero(use)
         with np.errstate(over="ignore"):
             code = np.where(kind == LITERAL, h, kind.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
             w = code[:n].copy()

@@ -27,12 +27,20 @@ def plain_windows(text, width=dc.WINDOW):
     return got
 
 
+def exact_windows(text, width=dc.WINDOW):
+    """Windows with fewer literals than two, by their values."""
+    t = plain_tokens(text)
+    n = min(width, len(t))
+    cut = [(t[p : p + n], p) for p in range(len(t) - n + 1 if t else 0)]
+    return [(("exact", *(v for _, v in w)), p, []) for w, p in cut if sum(k == dc.LITERAL for k, _ in w) < min(2, n)]
+
+
 def brute(docs, bench, percent=80):
-    items = [(i, plain_windows(t or "")) for i, t in bench if i is not None]
+    items = [(i, plain_windows(t or "") or exact_windows(t or "")) for i, t in bench if i is not None]
     out = []
     for d, t in docs:
         index, found = defaultdict(list), []
-        for w, p, s in plain_windows(t or ""):
+        for w, p, s in plain_windows(t or "") + exact_windows(t or ""):
             index[w].append((p, s))
         for i, ws in items:
             lines = defaultdict(list)
@@ -78,9 +86,9 @@ def test_parameters(spark):
     got = run(d, b)
     assert got == brute(docs, bench)
     flags = {r[0]: (r[1], r[5]) for r in got}
-    assert flags[1] == (True, False) and flags[2] == flags[7] == (True, True) and flags[10] == (True, False)
-    assert not any(flags[k][0] for k in (3, 4, 5, 6, 8, 9))
-    assert dc.drop_leaks(d, b).columns == d.columns and dc.drop_leaks(d, b).count() == 6
+    assert flags[1] == (True, False) and flags[2] == flags[7] == (True, True) and flags[8] == flags[10] == (True, False)
+    assert not any(flags[k][0] for k in (3, 4, 5, 6, 9))
+    assert dc.drop_leaks(d, b).columns == d.columns and dc.drop_leaks(d, b).count() == 5
     assert run(d.limit(0), b) == [] and not any(r[1] for r in run(d, b.limit(0)))
 
 
@@ -102,3 +110,17 @@ def test_few_literals(spark):
     docs = [(1, f"they met at {names} by noon"), (2, f"listed are {units} in all"), (3, f"they met at {names.replace('Lion', 'Bear')} by noon"), (4, f"listed are {units.replace('30', '31')} in all"), (5, mixed.replace("Clara", "Carla"))]
     got = flagged(spark, docs, [(1, names), (2, units), (3, mixed)])
     assert got == {1: 1, 2: 2, 5: 3}
+
+
+def test_numbers_alone(spark):
+    """A row of numbers is found where it is quoted, and no other row of numbers."""
+    powers, mixed = "2 4 8 16 32 64 128 256 512 1024", "1, 1, 2, 3, 5, 8 and then 13, 21, 34, 55"
+    docs = [(1, f"continue {powers} please"), (2, "continue 2 4 8 16 33 64 129 256 513 1024 please"), (3, f"so {mixed} it goes"), (4, "3 5 7 11 13 17 19 23"), (5, powers)]
+    assert flagged(spark, docs, [(1, powers), (2, mixed)]) == {1: 1, 3: 2, 5: 1}
+
+
+def test_very_long_text(spark):
+    r = random.Random(7)
+    filler = " ".join(r.choices(["some", "plain", "filler", "words", "here", "42", "Anna"], k=300_000))
+    changed = QUESTION.replace("Berlin", "Paris").replace("120", "75")
+    assert flagged(spark, [(1, f"{filler}. {changed} {filler}"), (2, filler)], [(1, QUESTION)]) == {1: 1}
