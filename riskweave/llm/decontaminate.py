@@ -10,6 +10,12 @@ benchmark's windows set bits in a bitmap of fixed size; documents give up only t
 values of their slots, and an exact join on the hash follows, so nothing of either side is broadcast but
 the bitmap.
 
+An item whose names have another number of words than the copy's is found by a second, folded form of both: a run
+of names is one placeholder with the whole run as its value. An item has this form if it holds names and at least
+WINDOW folded windows with two literal tokens, which are all that count for it; shorter items stay with one placeholder a
+word, as their folded form would fit too much. Folded windows without a run of two or more names are the plain
+ones, so documents hash the others only.
+
 Windows of a document and an item that lie at the same distance belong to one alignment. Its slots are
 consistent if every value of the item's slots stands for one value in the document: then the passage is the
 item, perhaps with other numbers and names. An item leaks into a document if consistent alignments cover at
@@ -131,14 +137,14 @@ class Templates:
         kind[(kind == UNIT) & ~after] = LITERAL
         return kind, h, at, who
 
-    def windows(self, texts: list[str], widths: list[int] | None = None) -> tuple[np.ndarray, ...]:
-        """Of all windows: hash, first token, its text, its length, whether it takes exact values for want of
+    def windows(self, tokens: tuple[np.ndarray, ...], n_texts: int, widths: list[int] | None = None) -> tuple[np.ndarray, ...]:
+        """Of all windows of ``tokens``: hash, first token, its text, its length, whether it takes exact values for want of
         two literal tokens (by the item's own form, and in this hash), and whether its first token counts as within a sentence; the tokens, their kinds so, and where texts begin.
 
         Windows of ``widths``; None stands for an item's: WINDOW, or the whole of a shorter text, the first also as within a sentence.
         """
-        kind, h, at, who = self.tokens(texts)
-        size = np.bincount(who, minlength=len(texts)) if len(who) else np.zeros(len(texts), np.int64)
+        kind, h, at, who = tokens
+        size = np.bincount(who, minlength=n_texts) if len(who) else np.zeros(n_texts, np.int64)
         begin = np.cumsum(size) - size
         inner, first = kind.copy(), begin[size > 0]
         if len(first):
@@ -187,21 +193,64 @@ class Templates:
             win[exact] = mix64(w + np.uint64(width + 2 * WINDOW))
         return win, p
 
+    def folded(self, tokens: tuple[np.ndarray, ...], n_texts: int, runs_only: bool) -> tuple[np.ndarray, ...]:
+        """Of the windows of WINDOW folded tokens with two literal ones (``runs_only``: and a run of names): hash, first
+        token, text, place in the folded text; then each token's folded place, where it is one by itself, and where folded tokens start.
+        """
+        kind, h, _, who = tokens
+        more = np.zeros(len(kind) + 1, bool)  # whether a token goes on with the run of names before it
+        more[1:-1] = (kind[1:] == NAME) & (kind[:-1] == NAME) & (who[1:] == who[:-1])
+        start = np.flatnonzero(~more)  # and the end of all
+        k, o = kind[start[:-1]], who[start[:-1]]
+        size = np.bincount(o, minlength=n_texts) if len(o) else np.zeros(n_texts, np.int64)
+        place = np.arange(len(k)) - (np.cumsum(size) - size)[o]
+        n = len(k) - WINDOW + 1
+        if n < 1:
+            z = np.empty(0, np.int64)
+            return z.astype(np.uint64), z, z, z, np.full(len(kind), -1), start
+        use = (o[:n] == o[WINDOW - 1 :]) & ~self._few(k, WINDOW)
+        if runs_only:
+            use &= start[WINDOW:] - start[:n] > WINDOW
+        win, q = self._hashed(k, h[start[:-1]], WINDOW, use)
+        alone = np.full(len(kind), -1)
+        alone[start[:-1]] = place
+        runs = np.cumsum(more)
+        cut = np.ones(len(kind), bool)  # windows that hold a part of a run of two or more names
+        m = len(kind) - WINDOW + 1
+        cut[:m] = runs[WINDOW:] - np.concatenate([[0], runs[: m - 1]]) > 0
+        alone[cut] = -1
+        return win, start[q], o[q], place[q], alone, start
+
     def slots(self, kind: np.ndarray, at: np.ndarray, p: int, width: int) -> list[str]:
         """Typed values of a window's placeholders, in order."""
         return [f"{kind[i]}{self.value[at[i]]}" for i in range(p, p + width) if kind[i] != LITERAL]
 
+    def folded_slots(self, kind: np.ndarray, at: np.ndarray, start: np.ndarray, p: int) -> list[str]:
+        """The same for a folded window from token ``p`` on."""
+        first = int(np.searchsorted(start, p))
+        ends = start[first : first + WINDOW + 1].tolist()
+        return [f"{kind[i]}{' '.join(self.value[j] for j in at[i:end])}" for i, end in zip(ends, ends[1:], strict=False) if kind[i] != LITERAL]
+
 
 def _templates() -> Templates:
     return kept("decontaminate", "templates", Templates)
 
 
-HITS = "array<struct<win:long,at:long,exact:boolean,within:boolean,slots:array<string>>>"
+HITS = "array<struct<win:long,at:long,folded_at:long,exact:boolean,within:boolean,slots:array<string>>>"
+
+
+def _marked(bits: np.ndarray, win: np.ndarray) -> np.ndarray:
+    """Whether the windows' bits are set."""
+    k = (win & np.uint64(BITS - 1)).astype(np.int64)
+    return (bits[k >> 3] >> (k & 7).astype(np.uint8) & 1) == 1
 
 
 def _windows(rows: DataFrame, key: str, bitmap=None, widths: list[int] | None = None) -> DataFrame:
-    """key, text_key, n_windows, n_plain (with two literal tokens), width and the windows (an item's, or those of ``widths`` whose bit is set) of each row, in ``hits``; ``row`` tells rows apart."""
-    kind = pa.list_(pa.struct([("win", pa.int64()), ("at", pa.int64()), ("exact", pa.bool_()), ("within", pa.bool_()), ("slots", pa.list_(pa.string()))]))
+    """key, text_key, n_windows, n_plain (with two literal tokens), n_folded, width and the windows (an item's, or those of ``widths`` whose bit is set) of each row, in ``hits``; ``row`` tells rows apart.
+
+    A window has its place in the text (``at``), in the folded text (``folded_at``), or in both where no run of names is in it; an item's has one of them.
+    """
+    kind = pa.list_(pa.struct([("win", pa.int64()), ("at", pa.int64()), ("folded_at", pa.int64()), ("exact", pa.bool_()), ("within", pa.bool_()), ("slots", pa.list_(pa.string()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -212,20 +261,31 @@ def _windows(rows: DataFrame, key: str, bitmap=None, widths: list[int] | None =
             for start in range(0, b.num_rows, 500):
                 part = b.slice(start, 500)
                 texts = [x or "" for x in part.column("text").to_pylist()]
-                win, p, who, width, exact, bare, within, kinds, inner, at, begin = t.windows(texts, widths)
+                tokens = t.tokens(texts)
+                win, p, who, width, exact, bare, within, kinds, inner, at, begin = t.windows(tokens, len(texts), widths)
+                f_win, f_p, f_who, f_at, alone, start = t.folded(tokens, len(texts), runs_only=bits is not None)
+                n_folded = np.bincount(f_who, minlength=len(texts))
                 n, plain = (np.bincount(who[x], minlength=len(texts)) for x in (~within, ~within & ~exact))
                 widest = np.zeros(len(texts), np.int64)
                 np.maximum.at(widest, who, width)
-                if bits is not None:
-                    k = (win & np.uint64(BITS - 1)).astype(np.int64)
-                    win, p, who, width, exact, bare, within = (x[(bits[k >> 3] >> (k & 7).astype(np.uint8) & 1) == 1] for x in (win, p, who, width, exact, bare, within))
+                if bits is None:
+                    named = np.bincount(tokens[3][tokens[0] == NAME], minlength=len(texts)) if len(tokens[0]) else n_folded
+                    n_folded = np.where((named > 0) & (n_folded >= WINDOW), n_folded, 0)
+                    use = n_folded[f_who] > 0
+                    f_win, f_p, f_who, f_at = (x[use] for x in (f_win, f_p, f_who, f_at))
+                else:
+                    win, p, who, width, exact, bare, within = (x[_marked(bits, win)] for x in (win, p, who, width, exact, bare, within))
+                    f_win, f_p, f_who, f_at = (x[_marked(bits, f_win)] for x in (f_win, f_p, f_who, f_at))
+                both = np.where((width == WINDOW) & ~exact & (bits is not None), alone[p], -1)
                 hits: list[list] = [[] for _ in texts]
-                for w, i, o, size, few, same, alone in zip(win.view(np.int64).tolist(), p.tolist(), who.tolist(), width.tolist(), exact.tolist(), bare.tolist(), within.tolist(), strict=True):
-                    hits[o].append({"win": w, "at": i - int(begin[o]), "exact": few, "within": alone, "slots": [] if same else t.slots(inner if alone else kinds, at, i, size)})
-                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(texts))), part.column(key), part.column("text_key"), pa.array(n), pa.array(plain), pa.array(widest), pa.array(hits, kind)], names=["row", key, "text_key", "n_windows", "n_plain", "width", "hits"])
+                for w, i, o, size, few, same, inside, f in zip(win.view(np.int64).tolist(), p.tolist(), who.tolist(), width.tolist(), exact.tolist(), bare.tolist(), within.tolist(), both.tolist(), strict=True):
+                    hits[o].append({"win": w, "at": i - int(begin[o]), "folded_at": None if f < 0 else f, "exact": few, "within": inside, "slots": [] if same else t.slots(inner if inside else kinds, at, i, size)})
+                for w, i, o, f in zip(f_win.view(np.int64).tolist(), f_p.tolist(), f_who.tolist(), f_at.tolist(), strict=True):
+                    hits[o].append({"win": w, "at": None, "folded_at": f, "exact": False, "within": False, "slots": t.folded_slots(kinds, at, start, i)})
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(texts))), part.column(key), part.column("text_key"), pa.array(n), pa.array(plain), pa.array(n_folded), pa.array(widest), pa.array(hits, kind)], names=["row", key, "text_key", "n_windows", "n_plain", "n_folded", "width", "hits"])
                 row += len(texts)
 
-    schema = f"row long, {key} long, text_key long, n_windows long, n_plain long, width long, hits {HITS}"
+    schema = f"row long, {key} long, text_key long, n_windows long, n_plain long, n_folded long, width long, hits {HITS}"
     rows = rows.select(F.col(key).cast("long").alias(key), "text", F.xxhash64("text").alias("text_key"))
     return saved(rows.mapInArrow(tidy("decontaminate", run), schema), schema, f"windows-{key}")
 
@@ -235,7 +295,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Data
     spark = docs.sparkSession
     ship(spark)
     items = _windows(benchmark.where("item_id is not null"), "item_id")
-    own = items.select("row", "item_id", "n_windows", "n_plain", F.explode("hits").alias("h")).select(F.col("row").alias("item"), "item_id", "n_windows", "n_plain", F.col("h.exact").alias("exact"), (F.col("h.exact") | F.col("h.within")).alias("extra"), F.col("h.win").alias("win"), F.col("h.at").alias("item_at"), F.col("h.slots").alias("item_slots"))
+    # an item's two forms are weighed as two items
+    folded, of = F.col("h.folded_at").isNotNull(), lambda c: F.when(F.col("h.folded_at").isNotNull(), F.col("n_folded")).otherwise(F.col(c)).alias(c)
+    own = items.select("row", "item_id", "n_windows", "n_plain", "n_folded", F.explode("hits").alias("h")).select((F.col("row") * 2 + folded.cast("int")).alias("item"), "item_id", of("n_windows"), of("n_plain"), folded.alias("folded"), F.col("h.exact").alias("exact"), (F.col("h.exact") | F.col("h.within")).alias("extra"), F.col("h.win").alias("win"), F.coalesce("h.at", "h.folded_at").alias("item_at"), F.col("h.slots").alias("item_slots"))
     place = F.col("win").bitwiseAND(BITS - 1) + 1
     found = own.groupBy(F.call_function("bitmap_bucket_number", place).alias("b")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", place)).alias("bits")).collect()
     bitmap = bytearray(BITS // 8)
@@ -243,8 +305,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Data
         bitmap[(r.b - 1) * 4096 : r.b * 4096] = r.bits
     widths = sorted({r.width for r in items.where("n_windows > 0").select("width").distinct().collect()})  # 1 to WINDOW
     rows = _windows(docs, "doc_id", spark.sparkContext.broadcast(bytes(bitmap)), widths)
-    hits = rows.select("row", F.explode("hits").alias("h")).select("row", F.col("h.win").alias("win"), F.col("h.at").alias("at"), F.col("h.slots").alias("slots"))
-    both = hits.join(own, "win").withColumn("distance", F.col("at") - F.col("item_at"))
+    hits = rows.select("row", F.explode("hits").alias("h")).select("row", F.col("h.win").alias("win"), F.col("h.at").alias("at"), F.col("h.folded_at").alias("folded_at"), F.col("h.slots").alias("slots"))
+    both = hits.join(own, "win").withColumn("distance", F.when(F.col("folded"), F.col("folded_at")).otherwise(F.col("at")) - F.col("item_at")).where("distance is not null")
     line = ["row", "item", "distance"]
     pairs = both.select(*line, "extra", F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("s"))
     plain, some = ~F.col("extra"), F.col("s.item_slots").isNotNull()
@@ -257,7 +319,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Data
     # what the windows with literals show by themselves stands; all windows speak for the items that these miss
     enough = F.col("coverage") * 100 >= percent - 1e-9
     cover = cover.select("row", "item", "item_id", F.when(enough, F.col("coverage")).otherwise(F.col("wide")).alias("coverage"), F.when(enough, F.col("changed")).otherwise(F.col("wide_changed")).alias("changed")).where(enough)
-    best = cover.groupBy("row").agg(F.count_distinct("item_id").alias("n_items"), F.max_by(F.struct("item_id", "coverage", "changed"), F.struct("coverage", -F.col("item_id"))).alias("best"))
+    best = cover.groupBy("row").agg(F.count_distinct("item_id").alias("n_items"), F.max_by(F.struct("item_id", "coverage", "changed"), F.struct("coverage", -F.col("item_id"), ~F.col("changed"))).alias("best"))
     out = rows.select("row", "doc_id", "text_key").join(best, "row", "left")
     return out.select("doc_id", F.col("best").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.col("best.item_id").alias("item_id"), F.round("best.coverage", 6).alias("coverage"), F.col("best.changed").alias("changed"), "text_key")
 
