@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import struct
@@ -26,9 +27,15 @@ REPORT = "width int, height int, near_bg_ratio double, near_bg_struct double, ls
 # fixed values: fields that are walked, and limits of the screening
 WALKED, LONGEST = ("extra", "fragments", "platform_extra"), 4096
 NEAR, RATIO, STRUCTURE, EDGE, EXTENSIONS = 10.0, 0.5, 0.12, 16, [".png", ".jpg", ".jpeg", ".webp", ".gif", ".bmp"]
+# fixed values: messages, a field of the reported finding
+NESTED_URI, NESTED_LINK, LAYER = "Data-URI image within message structure", "Image reference within message structure", "low-contrast structured text layer (microtext signal)"
 _URI = re.compile(R.DATA_URI, re.I)
 
 
+def _reference(uri: Column) -> Column:
+    return F.when(uri, NESTED_URI).otherwise(NESTED_LINK)
+
+
 def _strings(value, path: str) -> Iterator[tuple[str, str]]:
     """Every string below a JSON value with its path, in the order of the document."""
     todo = [(path, value)]
@@ -168,6 +175,65 @@ def decoded(uri: Column) -> Column:
     return F.try_to_binary(F.substring_index(uri, ",", -1), F.lit("base64"))
 
 
+def _mirrored(folder: str):
+    """Arrow UDF from addresses to the bytes of their files in the folder, as ``mirror`` finds them; read in the task, so rows stay where they are."""
+    from riskweave.sources.jsonlines import filesystem
+
+    filesystem(folder)  # a scheme that pyarrow does not know fails here, not in a task
+
+    def read(system, base: str, url: str) -> bytes | None:
+        from pyarrow import fs
+
+        key = hashlib.sha1(url.encode("utf-8", "surrogatepass")).hexdigest()
+        for info in system.get_file_info([f"{base}/{key}{e}" for e in EXTENSIONS]):
+            if info.type == fs.FileType.File:
+                with system.open_input_file(info.path) as f:
+                    return f.read()
+        return None
+
+    def each(urls: pd.Series) -> pd.Series:
+        system, base = filesystem(folder)
+        return urls.map(lambda u: [read(system, base.rstrip("/"), x) for x in u])
+
+    return F.pandas_udf(each, "array<binary>")
+
+
+def _screen(contents: pd.Series) -> pd.Series:
+    names = [x.split()[0] for x in REPORT.split(", ")]
+    return contents.map(lambda c: [dict(zip(names, screened(pixels(bytes(x) if x is not None else b"")), strict=True)) for x in c])
+
+
+def with_image_hits(rows: DataFrame, mirror_folder: str | None = None) -> DataFrame:
+    """Rows with context (text, links; perhaps ``raw``) and ``image_hits``: what ``image_findings`` finds in each, as hits with a message of their own.
+
+    No join and no shuffle, on streams as well; the images of one record are held at once.
+    """
+    ship(rows.sparkSession)
+    uris = F.regexp_extract_all("text", F.lit(rx.java(R.DATA_URI, "i")), F.lit(0))
+    inline = F.when(F.contains(F.lower("text"), F.lit("data:image/")), uris).otherwise(F.array().cast("array<string>"))
+    refs = F.pandas_udf(lambda raw: raw.map(refs_of), REFS)("raw") if "raw" in rows.columns else F.array().cast(REFS)
+    ends = "|".join(e[1:] for e in R.IMAGE_ENDS)
+    linked = F.filter(F.transform("links", lambda x, n: F.struct(n.alias("n"), x["url"].alias("value"), x["path"].alias("path"))), lambda x: F.lower(x["path"]).rlike(rf"\.({ends})$"))
+    rows = rows.withColumns({"_refs": F.transform(refs, lambda r, n: F.struct(n.alias("n"), r.alias("r"))), "_linked": linked if mirror_folder else F.array().cast("array<struct<n:int,value:string,path:string>>")})
+    files = _mirrored(mirror_folder)(F.transform("_linked", lambda x: x["value"])) if mirror_folder else F.array().cast("array<binary>")
+    image = lambda n, value, content: F.struct(n.cast("int").alias("n"), value.alias("value"), content.alias("content"))
+    nested = F.transform(F.filter("_refs", lambda x: x["r"]["kind"] == "data_uri"), lambda x: image(x["n"], x["r"]["value"], decoded(x["r"]["value"])))
+    found = F.transform(F.arrays_zip("_linked", "_files"), lambda x: image(x["_linked"]["n"] + (1 << 20), x["_linked"]["value"], x["_files"]))
+    within = F.transform(inline, lambda u, n: image(n + (2 << 20), u, decoded(u)))
+    rows = rows.withColumn("_files", files).withColumn("_images", F.filter(F.concat(nested, found, within), lambda x: x["content"].isNotNull()))
+    rows = rows.withColumn("_reports", F.when(F.size("_images") > 0, F.pandas_udf(_screen, f"array<struct<{REPORT.replace(' ', ':').replace(',:', ',')}>>")(F.transform("_images", lambda x: x["content"]))).otherwise(F.array()))
+
+    def hit(rule: str, n: Column, value: Column, message: Column, *evidence: Column) -> Column:
+        null = lambda t: F.lit(None).cast(t)
+        fields = {"rule": F.lit(rule), "n": n.cast("int"), "pos": null("int"), "m": F.substring(value, 1, 120), "up": F.lit(False), "evidence": F.to_json(F.struct(*evidence)), "snippet": null("string"), "at": null("struct<message_index:int,role:string>"), "message": message}
+        return F.struct(*(c.alias(k) for k, c in fields.items()))
+
+    listed = F.transform("_refs", lambda x: hit("G-1", x["n"], x["r"]["value"], _reference(x["r"]["kind"] == "data_uri"), x["r"]["kind"].alias("ref_kind"), x["r"]["path"].alias("field_path"), x["r"]["message_index"].alias("message_index"), x["r"]["role"].alias("ref_role")))
+    flagged = F.filter(F.arrays_zip("_images", "_reports"), lambda x: x["_reports"]["verdict"])
+    shown = F.transform(flagged, lambda x: hit("G-4", x["_images"]["n"], x["_images"]["value"], F.lit(LAYER), x["_reports"].alias("forensics")))
+    return rows.withColumn("image_hits", F.concat(listed, shown)).drop("_refs", "_linked", "_files", "_images", "_reports")
+
+
 def image_findings(records: DataFrame, mirror_folder: str | None = None) -> DataFrame:
     """G-1 for each nested reference of records with ``raw``, and G-4 for each image whose pixels show a low-contrast layer.
 
@@ -193,7 +259,7 @@ def image_findings(records: DataFrame, mirror_folder: str | None = None) -> Data
     if "raw" in records.columns:
         refs = structured_refs(records)
         uri = F.col("kind") == "data_uri"
-        parts.append(row(refs, "G-1", F.when(uri, "Data-URI image within message structure").otherwise("Image reference within message structure"), [F.col("kind").alias("ref_kind"), F.col("path").alias("field_path"), "message_index", F.col("role").alias("ref_role")]))
+        parts.append(row(refs, "G-1", _reference(uri), [F.col("kind").alias("ref_kind"), F.col("path").alias("field_path"), "message_index", F.col("role").alias("ref_role")]))
         images.append(refs.where(uri).select(*keys, "n", "value", decoded(F.col("value")).alias("content")))
     if mirror_folder:
         ends = "|".join(e[1:] for e in R.IMAGE_ENDS)
@@ -202,7 +268,7 @@ def image_findings(records: DataFrame, mirror_folder: str | None = None) -> Data
         images.append(linked.join(files, "value").select(*keys, "n", "value", "content"))
     flagged = forensics(reduce(DataFrame.unionByName, images).where("content is not null")).where("verdict")
     report = F.struct(*(x.split()[0] for x in REPORT.split(", ")))
-    parts.append(row(flagged, "G-4", F.lit("low-contrast structured text layer (microtext signal)"), [report.alias("forensics")]))
+    parts.append(row(flagged, "G-4", F.lit(LAYER), [report.alias("forensics")]))
     return reduce(DataFrame.unionByName, parts)
 
 
