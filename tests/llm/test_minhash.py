@@ -128,7 +128,7 @@ def test_recall_in_a_large_group(spark):
     for d in linked:
         together.setdefault(want[d], []).append(got[d])
     found = sum(max(c.count(x) for x in set(c)) for c in together.values())
-    assert found >= 0.9 * len(linked)  # 0.958 when this was written
+    assert found >= 0.95 * len(linked)  # 0.958 when this was written; not the 0.98 that was wanted first
     if len(rows) < 1000:
         assert {r[0]: r[2] for r in run(df, small=None)} == want
 
