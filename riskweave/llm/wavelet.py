@@ -297,8 +297,8 @@ class Words:
         cut = [[w.lower()] if w.isascii() and w.isalpha() else [w] if self.PLAIN.search(w) else self.PIECE.findall(w.lower()) for w in new]
         k = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(cut)), np.int64)
         fresh, self.pieces.new = self.pieces.new, []
-        for at in range(0, len(fresh), 20_000):
-            self.of_piece.add(*self._ids(fresh[at : at + 20_000]))
+        for at in range(0, len(fresh), 5_000):
+            self.of_piece.add(*self._ids(fresh[at : at + 5_000]))
         flat, end = self.of_piece.take(k)
         last = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
         self.of_word.add(flat, np.diff(np.concatenate([[0], end])[np.concatenate([[0], last])]).astype(np.int32))
@@ -378,8 +378,8 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
                 total = 0
 
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, 250):
+                part = b.slice(at, 250)
                 for doc, where, tokens in zip(part.column("doc_id").to_pylist(), part.column("_range").to_pylist(), encode(part.column("text")), strict=True):
                     if where != place:
                         flush()
