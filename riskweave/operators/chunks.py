@@ -10,7 +10,7 @@ from itertools import accumulate
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.plans.taxonomy import judged
@@ -18,6 +18,7 @@ from riskweave.session import ship
 
 CHUNK, OVERLAP, LEAST = 24_000, 800, 200
 CHUNKS = "array<struct<index:int,text:string,spans:array<struct<mi:int,s:int,e:int>>,truncated:boolean>>"
+CHUNK_ROW = "chunk int, text string, spans array<struct<mi:int,s:int,e:int>>, truncated boolean"
 #: Confidence of a static finding from which the judge need not be asked; the error of a reply without JSON.
 STRONG, NO_JSON = 0.7, "no JSON in the reply"
 VERDICT = "hit boolean, confidence double, evidence string, reasoning string"
@@ -113,6 +114,24 @@ def chunked(records: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> Da
     return rows.select(*names, F.explode("chunks").alias("c")).select(*names, "c.*")
 
 
+class Chunks:
+    """The rows of the table function: a conversation's chunks; null messages are an empty conversation."""
+
+    def eval(self, messages: list | None, size: int | None, overlap: int | None) -> Iterator[tuple]:
+        size, overlap = limits(CHUNK if size is None else size, OVERLAP if overlap is None else overlap)
+        for c in chunk([(m["role"] or "", m["content"] or "") for m in messages or []], size, overlap):
+            yield c["index"], c["text"], [(x["mi"], x["s"], x["e"]) for x in c["spans"]], c["truncated"]
+
+
+def register_chunks(spark: SparkSession, name: str = "chunks") -> None:
+    """Makes ``chunks(messages, size, overlap)`` a table function of SQL, for ``FROM records, LATERAL chunks(messages, 1200, 200)``.
+
+    Its columns are chunk, text, spans and truncated; a null size or overlap takes the default.
+    """
+    ship(spark)
+    spark.udtf.register(name, F.udtf(Chunks, returnType=CHUNK_ROW))
+
+
 def _keys(rows: DataFrame) -> list[str]:
     """What tells records apart, and their platform; ids may be missing or repeat, so ``row_key`` goes along where it is."""
     return [*(["row_key"] if "row_key" in rows.columns else []), "record_id", "platform"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from riskweave.functions import rx
 from riskweave.functions import text as tx
 from riskweave.operators.annotate import findings
-from riskweave.operators.chunks import chunked, judge_all, judged_findings, verdicts
+from riskweave.operators.chunks import chunked, judge_all, judged_findings, register_chunks, verdicts
 from riskweave.operators.context import conversation_records, text_records, with_context
 from riskweave.operators.images import all_findings
 from riskweave.operators.inrow import reports_in_rows
@@ -238,6 +238,22 @@ def conversation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked(conversations(spark, sf_dir), 1_200, 200).select("record_id", "index", F.length("text").alias("chars"), F.size("spans").alias("n_spans"), "truncated", F.sha1(F.col("text").cast("binary")).alias("digest"))
 
 
+def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation, by the table function: its characters, those that some chunk covers, and the chunks above 1,200 characters."""
+    register_chunks(spark)
+    chars = F.expr("aggregate(messages, 0L, (a, m) -> a + length(m.content))")  # before the messages are cut, so that no chunk's row carries them
+    records = conversations(spark, sf_dir).select("record_id", "messages", chars.alias("chars"))
+    cut = spark.sql("select record_id, chars, c.* from {records}, lateral chunks(messages, 1200, 200) c", records=records)
+    # spans overlap: each counts from where the ones before it in its message end
+    spans = "transform(array_distinct(flatten(collect_list(spans))), x -> named_struct('mi', x.mi, 's', x.s, 'e', x.e))"
+    per = cut.groupBy("record_id").agg(F.first("chars").alias("chars"), F.expr(f"array_sort({spans})").alias("spans"), F.sum((F.length("text") > 1_200).cast("long")).alias("n_over"))
+    new = "aggregate(spans, named_struct('mi', -1, 'to', 0, 'n', 0L), (a, x) -> named_struct('mi', x.mi, 'to', if(x.mi = a.mi, greatest(a.to, x.e), x.e), 'n', a.n + if(x.mi = a.mi, greatest(x.e - greatest(a.to, x.s), 0), x.e - x.s)), a -> a.n)"
+    return per.select("record_id", "chars", F.expr(new).alias("covered"), "n_over")
+
+
+CHUNK_COVERAGE = "SELECT CAST(conv_id AS VARCHAR) AS record_id, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS covered, CAST(0 AS BIGINT) AS n_over FROM conversations GROUP BY conv_id"
+
+
 def keyword_judge(name: str, prompt: str) -> str:
     """A judge for tests: a hit where a word of the category's name occurs in the text."""
     low = prompt.lower()
@@ -317,12 +333,12 @@ RECORD_LINES = "SELECT doc_id, coalesce(source, 'unknown') AS platform, 1::BIGIN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (raw_findings, merged_findings, conversation_findings, findings_by_category, needs_review, scan_reports, row_reports, platform_totals, coverage_hits, message_offsets, conversation_texts, keyword_pairs, line_shapes, first_of_equal, best_two_emails, links_by_kind, conversation_chunks, judged_documents, records_by_platform, status_counts, lookalike_words, scripts_near_links, record_lines)
+    for f in (raw_findings, merged_findings, conversation_findings, findings_by_category, needs_review, scan_reports, row_reports, platform_totals, coverage_hits, message_offsets, conversation_texts, keyword_pairs, line_shapes, first_of_equal, best_two_emails, links_by_kind, conversation_chunks, chunk_coverage, judged_documents, records_by_platform, status_counts, lookalike_words, scripts_near_links, record_lines)
 }
 ORACLE_SQL: dict[str, str] = {
     "message_offsets": MESSAGE_OFFSETS, "conversation_texts": CONVERSATION_TEXTS, "keyword_pairs": KEYWORD_PAIRS, "line_shapes": LINE_SHAPES, "first_of_equal": FIRST_OF_EQUAL,
     "best_two_emails": BEST_TWO_EMAILS, "records_by_platform": RECORDS_BY_PLATFORM, "status_counts": status_sql(),
-    "lookalike_words": LOOKALIKE_WORDS, "scripts_near_links": SCRIPTS_NEAR_LINKS, "record_lines": RECORD_LINES,
+    "lookalike_words": LOOKALIKE_WORDS, "scripts_near_links": SCRIPTS_NEAR_LINKS, "record_lines": RECORD_LINES, "chunk_coverage": CHUNK_COVERAGE,
 }
 for _r in R.RULES:
     _name = f"rule_{_r.id.lower().replace('-', '_')}"
