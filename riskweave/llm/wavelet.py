@@ -229,6 +229,14 @@ class _Numbers(dict):
         return n
 
 
+def gather(ids: np.ndarray, start: np.ndarray, size: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the sequences that lie in ``ids``, those numbered ``k`` one after the other, and where each ends."""
+    size = size[k]
+    end = np.cumsum(size, dtype=np.int64)
+    at = np.arange(end[-1] if len(end) else 0, dtype=np.int64)
+    return ids[at + np.repeat(start[k] - end + size, size)], end
+
+
 class _Pool:
     """Id sequences by number, gathered many at a time."""
 
@@ -236,7 +244,8 @@ class _Pool:
         self.ids, self.start, self.size = np.empty(1 << 16, kind), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
         self.used = self.n = 0
 
-    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+    def add(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Adds sequences that lie in ``flat`` at ``start``."""
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, self.ids])
         while self.n + len(size) > len(self.size):
@@ -244,78 +253,115 @@ class _Pool:
         at = slice(self.n, self.n + len(size))
         self.ids[self.used : self.used + len(flat)] = flat
         self.size[at] = size
-        self.start[at] = self.used + np.cumsum(size) - size
+        self.start[at] = self.used + start
         self.used += len(flat)
         self.n += len(size)
 
     def take(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The sequences ``k`` one after the other, and where each ends."""
-        size = self.size[k]
-        end = np.cumsum(size, dtype=np.int64)
-        at = np.arange(end[-1] if len(end) else 0, dtype=np.int64)
-        return self.ids[at + np.repeat(self.start[k] - end + size, size)], end
+        return gather(self.ids, self.start, self.size, k)
 
 
 class Words:
     """Encodes texts with the library, each distinct piece of a word once in a while.
 
     The tokenizer lower-cases character by character, composes within words, and drops white space, so
-    its ids of a text are those of its words in turn. A new word of Latin letters, without an apostrophe,
-    is lower-cased and cut where letters meet other characters, which the tokenizer also does; its pieces,
-    and all other words, go to the library when they are new. Texts with a special token's string or an
-    odd separator go there whole. ``remember`` bounds the words and the
-    pieces kept; when words are forgotten, their pieces are not.
+    its ids of a text are those of its words in turn. Arrow lower-cases A-Z, but not where a mark could
+    compose with them, and cuts words of Latin letters, without an apostrophe, where letters meet other
+    characters, which the tokenizer also does; these pieces, and all other words, go to the library when
+    they are new. Texts with a special token's string, in any case, or an odd separator go there whole.
+    ``remember`` bounds the pieces: beyond the second number all are forgotten but those met in several
+    batches, of which the first number stays at most.
     """
 
-    PLAIN = re.compile("[^\x00-\u017f]|'")
-    PIECE = re.compile("[a-zªµºß-öø-\u017f]+|[^\\sa-zªµºß-öø-\u017f]+")
+    LETTER = "A-Za-zªµºÀ-ÖØ-öø-\u017f"
+    #: The dotted capital I is lower-cased to a letter and a mark, which joins what follows.
+    NOT_PLAIN, BETWEEN = "['\u0130\u0180-\U0010ffff]", f"[^{LETTER}]+"
+    COMPOSING = "[\u0300-\u036f]"
+    #: One pre-token whatever is beside it, of which only the last token ends a word.
+    ONE = re.compile("[a-zß-öø-ÿ]+")
     #: Stands between pieces that go to the library in one string, and is one token; texts that hold it go whole.
     MARK = "\x01"
 
     def __init__(self, path: str, remember: tuple[int, int] = (150_000, 400_000)):
-        self.tok, (self.most_words, self.most_pieces) = load(path), remember
+        self.tok, (self.most_kept, self.most_pieces) = load(path), remember
         own = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.special = "|".join([*own, f"[{self.MARK}\x1c\x1d\x1e\x1f\u180e\ufeff]"])
         (mark,) = encode_all(self.tok, [self.MARK])
         self.mark = mark[0] if len(mark) == 1 else None
-        self.kind = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
-        self.words, self.of_word = _Numbers(), _Pool(self.kind)
-        self.pieces, self.of_piece = _Numbers(), _Pool(self.kind)
+        size = self.tok.get_vocab_size()
+        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        self.ends = np.array([(self.tok.id_to_token(k) or "").endswith(suffix) for k in range(size)]) if suffix else None
+        self.pieces, self.of_piece, self.met = _Numbers(), _Pool(self.kind), np.zeros(1 << 14, np.int32)
+
+    def _flat(self, strings: list[str]) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(encode_all(self.tok, strings)), self.kind)
 
     def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces one after the other, and the number of each one's ids."""
         if self.mark is None:
             ids = encode_all(self.tok, pieces)
             return np.fromiter(chain.from_iterable(ids), self.kind), np.fromiter(map(len, ids), np.int32, len(ids))
-        joined = [f" {self.MARK} ".join([*pieces[at : at + 200], ""]) for at in range(0, len(pieces), 200)]
-        flat = np.fromiter(chain.from_iterable(encode_all(self.tok, joined)), self.kind)
+        flat = self._flat([f" {self.MARK} ".join([*pieces[at : at + 200], ""]) for at in range(0, len(pieces), 200)])
         marks = np.flatnonzero(flat == self.mark)
         return np.delete(flat, marks), np.diff(marks, prepend=-1).astype(np.int32) - 1
 
+    def _ids_of_ones(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pieces that are one pre-token each: the tokens that end a word part them."""
+        if self.ends is None or not pieces:
+            return self._ids(pieces)
+        flat = self._flat([" ".join(pieces[at : at + 200]) for at in range(0, len(pieces), 200)])
+        last = np.flatnonzero(self.ends[flat])
+        if len(last) != len(pieces):  # another tokenizer cuts them
+            return self._ids(pieces)
+        return flat, np.diff(last, prepend=-1).astype(np.int32)
+
     def _learn(self) -> None:
-        new, self.words.new = self.words.new, []
-        cut = [[w.lower()] if w.isascii() and w.isalpha() else [w] if self.PLAIN.search(w) else self.PIECE.findall(w.lower()) for w in new]
-        k = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(cut)), np.int64)
         fresh, self.pieces.new = self.pieces.new, []
         for at in range(0, len(fresh), 5_000):
-            self.of_piece.add(*self._ids(fresh[at : at + 5_000]))
-        flat, end = self.of_piece.take(k)
-        last = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
-        self.of_word.add(flat, np.diff(np.concatenate([[0], end])[np.concatenate([[0], last])]).astype(np.int32))
+            part = fresh[at : at + 5_000]
+            one = np.array([self.ONE.fullmatch(p) is not None for p in part])
+            ones, others = np.flatnonzero(one), np.flatnonzero(~one)
+            flat, of_ones = self._ids_of_ones([part[k] for k in ones])
+            rest, of_others = self._ids([part[k] for k in others])
+            start, size = np.empty(len(part), np.int64), np.empty(len(part), np.int32)
+            size[ones], size[others] = of_ones, of_others
+            start[ones], start[others] = np.cumsum(of_ones) - of_ones, len(flat) + np.cumsum(of_others) - of_others
+            self.of_piece.add(np.concatenate([flat, rest]), start, size)
+
+    def _forget(self) -> None:
+        met = self.met[: len(self.pieces)]
+        keep = np.argsort(-met, kind="stable")[: self.most_kept]
+        keep = keep[met[keep] > 1]
+        names, old = list(self.pieces), self.of_piece
+        self.pieces, self.of_piece = _Numbers(), _Pool(self.kind)
+        self.pieces.update(zip((names[k] for k in keep.tolist()), range(len(keep)), strict=True))
+        flat, end = old.take(keep)
+        self.of_piece.add(flat, end - old.size[keep], old.size[keep])
+        self.met[:] = 0
 
     def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
-        """The ids of each text; null is empty. Arrow cuts the texts at white space and finds the distinct words."""
-        if len(self.words) > self.most_words:
-            self.words, self.of_word = _Numbers(), _Pool(self.kind)
+        """The ids of each text; null is empty. Arrow cuts the texts at white space and their distinct words into pieces."""
         if len(self.pieces) > self.most_pieces:
-            self.pieces, self.of_piece = _Numbers(), _Pool(self.kind)
+            self._forget()
         column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
-        whole = pc.match_substring_regex(column, self.special)
-        cut = pc.utf8_split_whitespace(pc.if_else(whole, "", column))
-        coded = cut.flatten().dictionary_encode()
-        k = np.fromiter(map(self.words.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))
+        whole = pc.match_substring_regex(column, self.special, ignore_case=True)
+        lower = pc.if_else(pc.match_substring_regex(column, self.COMPOSING), column, pc.ascii_lower(column))
+        cut = pc.utf8_split_whitespace(pc.if_else(whole, "", lower))
+        words = cut.flatten().dictionary_encode()
+        distinct = words.dictionary
+        apart = pc.replace_substring_regex(distinct, self.BETWEEN, r" \0 ")
+        pieces = pc.utf8_split_whitespace(pc.if_else(pc.match_substring_regex(distinct, self.NOT_PLAIN), distinct, apart))
+        coded = pieces.flatten().dictionary_encode()
+        k = np.fromiter(map(self.pieces.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))
         self._learn()
-        flat, end = self.of_word.take(k[coded.indices.to_numpy()])
+        while len(self.met) < len(self.pieces):
+            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
+        self.met[k] += 1
+        flat, end = self.of_piece.take(k[coded.indices.to_numpy()])
+        of_word = np.concatenate([[0], end])[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
+        flat, end = gather(flat, of_word[:-1], np.diff(of_word), words.indices.to_numpy())
         last = cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py()
         parts = np.split(flat, np.concatenate([[0], end])[last][:-1]) if len(column) else []
         for at in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():

@@ -69,3 +69,33 @@ def test_many_files(spark, sf, tmp_path):
     m = write_shards(docs, out, PATH, shard_tokens=5_000, range_chars=60_000)
     assert m.count() > 20
     assert sorted((tuple(r) for r in digests(spark, out, m).collect()), key=str) == expect([tuple(r) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_common_pieces_reach_the_library_once(monkeypatch):
+    from riskweave.llm import wavelet
+
+    w, sent = Words(PATH, remember=(50, 60)), []
+    own = wavelet.encode_all
+    monkeypatch.setattr(wavelet, "encode_all", lambda tok, strings: sent.extend(strings) or own(tok, strings))
+    for k in range(20):
+        # new words in every batch, and the same ones with other cases and signs about them
+        text = " ".join([f"fresh{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}{c}" for c in "abcdefghijklmnopqrstuvwxy"] + [f"Common{c}{'.,!%'[k % 4]}" for c in "abcdefghij"])
+        assert w.encode([text])[0].tolist() == TOK.encode(text, add_special_tokens=False).ids
+        assert len(w.pieces) <= 60 + 50
+    assert sum(s.count("commona") + s.count("Commona") for s in sent) == 1
+
+
+def test_odd_words():
+    # marks that compose with small letters only, a letter that becomes a letter and a mark, special strings in other case, long words
+    texts = ["H̱ ẖ T̈ J̌.", "Ħİ\x02¶ İ.", "'<|EndOfText|> <|ENDOFTEXT|>x", "KſÅ Straßeẞ", "It'S DON'T. \"we'LL\"", "a B\u0085c\x0bD", "A.1" * 20_000, ""]
+    assert [x.tolist() for x in W.encode(texts)] == [TOK.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_of_several_tokens_in_any_order():
+    texts = ["12ab ab12 x9y ...", "zzqxv1 qqqq22 éèzz?!", "9 8 7"]
+    w = Words(PATH)
+    assert w.encode(texts)[1].tolist() == TOK.encode(texts[1], add_special_tokens=False).ids
+    assert [x.tolist() for x in w.encode(texts)] == [TOK.encode(t, add_special_tokens=False).ids for t in texts]
+    w = Words(PATH)
+    w.ends = None  # a tokenizer whose tokens do not show where a word ends
+    assert [x.tolist() for x in w.encode(texts)] == [TOK.encode(t, add_special_tokens=False).ids for t in texts]
